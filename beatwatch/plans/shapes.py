@@ -158,13 +158,12 @@ FROM part""",
 }
 
 
-def shape(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A shaped dataset over the whole given table."""
+def shape(spark: SparkSession, sf_dir: str, name: str, source: DataFrame | None = None) -> DataFrame:
+    """A shaped dataset over the whole given table, or over a (streaming) frame of that table."""
     table = SOURCES[name]
-    source = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
-    text = SHAPES[name]
-    head, found, tail = text.rpartition(f"FROM {table}")
-    return spark.sql(f"{head}FROM {{{table}}}{tail}", **{table: source})
+    rows = source if source is not None else spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+    head, _, tail = SHAPES[name].rpartition(f"FROM {table}")
+    return spark.sql(f"{head}FROM {{{table}}}{tail}", **{table: rows})
 
 
 def shape_sql(*names: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -35,12 +36,18 @@ def topic_name(prefix: str, dataset: Column | str = "source_dataset") -> Column:
     return F.concat(F.lit(prefix), F.col(dataset) if isinstance(dataset, str) else dataset)
 
 
-def raw_messages(events: DataFrame, schema_id: int = 1, codec: str = "json") -> DataFrame:
-    """Unified events as wire messages, keyed by event so a busy dataset spreads over partitions."""
+def raw_messages(
+    events: DataFrame, schema_id: int = 1, codec: str = "json", keep: Sequence[Column] = ()
+) -> DataFrame:
+    """Unified events as wire messages, keyed by event so a busy dataset spreads over partitions.
+
+    ``keep`` adds columns to the message, such as its time when files stand in for a broker.
+    """
     return events.select(
         topic_name("raw-events-").alias("topic"),
         F.col("event_id").alias("key"),
         encode(F.struct(*UNIFIED_COLUMNS), schema_id, codec).alias("value"),
+        *keep,
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,12 +22,10 @@ FILE_RULES = (
 )
 
 
-def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType, keep_corrupt: bool = False, name_glob: str | None = None
-) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, keep_corrupt: bool = False) -> DataFrame:
     """All-text CSV with header, multi-line quoted fields and doubled quotes.
 
-    A multi-line file cannot be split, so it is one task; ``land`` it once as Parquet and query that.
+    An empty field is null, quoted or not. A multi-line file cannot be split, so it is one task; ``land`` it once as Parquet and query that.
     With ``keep_corrupt`` rows with a wrong number of fields carry their text in ``_corrupt_record``.
     """
     if keep_corrupt:
@@ -41,8 +40,6 @@ def read_csv(
         .option("columnPruning", False)
         .option("columnNameOfCorruptRecord", CORRUPT)
     )
-    if name_glob:
-        reader = reader.option("pathGlobFilter", name_glob)
     return reader.csv(path)
 
 
@@ -52,11 +49,14 @@ def any_case_glob(keyword: str) -> str:
 
 
 def find_csv(spark: SparkSession, folder: str, keyword: str, dataset: str, keep_corrupt: bool = False) -> DataFrame:
-    """Read every CSV in ``folder`` whose name contains ``keyword`` in any case; none is an error."""
-    df = read_csv(spark, folder, raw_schema(dataset), keep_corrupt, any_case_glob(keyword))
-    if not df.inputFiles():
-        raise FileNotFoundError(f"no CSV matching {keyword!r} in {folder}")
-    return df
+    """Read every CSV file (or folder of CSV parts) in ``folder`` whose name contains ``keyword`` in
+    any case and ends in .csv; none is an error."""
+    try:
+        return read_csv(spark, f"{folder.rstrip('/')}/{any_case_glob(keyword)}", raw_schema(dataset), keep_corrupt)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise FileNotFoundError(f"no CSV matching {keyword!r} in {folder}") from error
 
 
 def classify(file_name: Column) -> Column:
@@ -83,7 +83,10 @@ def project(df: DataFrame, dataset: str) -> DataFrame:
 
 
 def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(well-formed rows, quarantined rows with their text)."""
+    """(well-formed rows, quarantined rows with their text) of a landed dataset.
+
+    Spark does not answer queries on the corrupt-record column straight from the CSV.
+    """
     good = df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
     bad = df.filter(F.col(CORRUPT).isNotNull()).select(
         F.col(CORRUPT).alias("record"), F.lit("wrong_field_count").alias("reason")

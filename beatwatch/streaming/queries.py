@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
-from beatwatch.operators.enrich import enrich, malformed_events, tag_validity, valid_events, with_event_time
+from beatwatch.operators.enrich import malformed_events, tag_validity, valid_events, with_event_time
 from beatwatch.operators.summaries import event_counters
 from beatwatch.operators.windows import district_metrics, score, sliding_stats, volume_anomalies, volume_windows
 from beatwatch.streaming.batches import Outputs, anomaly_fan_out, counted, fan_out, to_console, to_table
@@ -18,10 +18,9 @@ def _start(writer: DataStreamWriter, name: str, checkpoints: str, trigger: dict)
     return (located.trigger(**trigger) if trigger else located).start()
 
 
-def start_main(events: DataFrame, outputs: Outputs, checkpoints: str, **trigger) -> StreamingQuery:
-    """Enrich and fan out (append mode)."""
-    rows = counted(events if "processed_at" in events.columns else enrich(events), "events_in_batch")
-    writer = rows.writeStream.outputMode("append").foreachBatch(fan_out(outputs))
+def start_main(enriched: DataFrame, outputs: Outputs, checkpoints: str, **trigger) -> StreamingQuery:
+    """Fan out enriched events (append mode)."""
+    writer = counted(enriched, "events_in_batch").writeStream.outputMode("append").foreachBatch(fan_out(outputs))
     return _start(writer, "main", checkpoints, trigger)
 
 
