@@ -15,11 +15,6 @@ def null_if_empty(c: Column | str) -> Column:
     return F.nullif(_col(c), F.lit(""))
 
 
-def is_filled(c: Column | str) -> Column:
-    """True when the text has a non-blank character, false for null."""
-    return F.coalesce(F.trim(_col(c)) != "", F.lit(False))
-
-
 def is_present(c: Column | str) -> Column:
     """True when the text is neither null nor empty; blanks count as present."""
     return F.coalesce(_col(c) != "", F.lit(False))

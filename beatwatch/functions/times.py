@@ -21,7 +21,7 @@ def parse_time(c: Column | str, fmt: str = MERIDIEM_FORMAT) -> Column:
 def split_date(c: Column | str) -> Column:
     """Date part: text before the first space; 'unknown' when null or empty."""
     c = _col(c)
-    return F.when(is_present(c), F.split_part(F.trim(c), F.lit(" "), F.lit(1))).otherwise(F.lit(UNKNOWN_DATE))
+    return F.when(is_present(c), F.substring_index(F.trim(c), " ", 1)).otherwise(F.lit(UNKNOWN_DATE))
 
 
 def split_time(c: Column | str, clock: str = "as_is") -> Column:
@@ -31,8 +31,9 @@ def split_time(c: Column | str, clock: str = "as_is") -> Column:
     ``24h`` turns a full ``hh:mm:ss AM/PM`` into a 24-hour clock and falls back to ``as_is``.
     """
     c = F.trim(_col(c))
-    digits = F.regexp_extract(c, r"^[^ ]* +([^ ]+)", 1)
-    as_is = F.when(digits != "", digits)
+    space = F.instr(c, " ")
+    rest = F.ltrim(F.substring(c, space + 1, F.length(c)))
+    as_is = F.when(space > 0, F.substring_index(rest, " ", 1))
     if clock == "as_is":
         return as_is
     if clock != "24h":

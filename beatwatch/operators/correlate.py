@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beatwatch.functions.text import district_number, is_present, truthy
+from beatwatch.functions.text import district_number, truthy
 from beatwatch.operators.enrich import filled
 from beatwatch.operators.rates import flag_rate, ratio
 from beatwatch.schemas import TABLES
@@ -75,11 +75,11 @@ def correlations_of(table: DataFrame, kind: str = "district", k: int = 25) -> Da
 
 def complete_correlations(rows: DataFrame, k: int = 10) -> DataFrame:
     """Largest groups that have a key and both metrics."""
-    whole = rows.filter(is_present("group_key") & F.col("metric_a").isNotNull() & F.col("metric_b").isNotNull())
+    whole = rows.filter((F.col("group_key") != "") & F.col("metric_a").isNotNull() & F.col("metric_b").isNotNull())
     return whole.orderBy(F.desc_nulls_last("total_crimes"), F.asc("group_key")).limit(k)
 
 
 def top_community_crimes(rows: DataFrame, k: int = 10) -> DataFrame:
-    known = rows.filter(is_present("community_area") & F.col("metric_a").isNotNull())
+    known = rows.filter((F.col("community_area") != "") & F.col("metric_a").isNotNull())
     ranked = known.select("community_area", F.col("metric_a").alias("total_crimes"))
     return ranked.orderBy(F.desc("total_crimes"), F.asc("community_area")).limit(k)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from beatwatch.functions.labels import event_label
 from beatwatch.functions.severity import ALERT_FROM
-from beatwatch.functions.text import is_filled, is_present
+from beatwatch.functions.text import is_present
 from beatwatch.functions.times import event_time, lag_ms
 
 
@@ -29,23 +29,24 @@ def alerts_only(events: DataFrame, severity: str = "severity", at_least: int = A
     return events.filter(F.col(severity) >= at_least)
 
 
-def tag_validity(events: DataFrame, required: tuple[str, ...] = ("incident_date", "district")) -> DataFrame:
-    """Add ``invalid_reason``: null for a valid event, else the missing fields."""
-    missing = F.concat_ws(",", *[F.when(~is_present(c), F.lit(f"missing_{c}")) for c in required])
-    return events.withColumn("invalid_reason", F.when(missing != "", missing))
+# Fields an event needs to be counted by place and time.
+REQUIRED = ("incident_date", "district")
 
 
-def valid_events(tagged: DataFrame) -> DataFrame:
-    return tagged.filter(F.col("invalid_reason").isNull()).drop("invalid_reason")
+def valid_events(events: DataFrame, required: tuple[str, ...] = REQUIRED) -> DataFrame:
+    """Events whose required fields are neither null nor empty. Plain comparisons, so the scan can use them."""
+    return events.filter(reduce(lambda a, b: a & b, [F.col(c) != "" for c in required]))
 
 
-def malformed_events(tagged: DataFrame) -> DataFrame:
-    return tagged.filter(F.col("invalid_reason").isNotNull())
+def malformed_events(events: DataFrame, required: tuple[str, ...] = REQUIRED) -> DataFrame:
+    """The other events, each with ``invalid_reason`` naming the missing fields."""
+    reason = F.concat_ws(",", *[F.when(~is_present(c), F.lit(f"missing_{c}")) for c in required])
+    return events.withColumn("invalid_reason", reason).filter(F.col("invalid_reason") != "")
 
 
 def filled(df: DataFrame, *keys: str) -> DataFrame:
     """Rows whose key columns all hold non-blank text."""
-    return df.filter(reduce(lambda a, b: a & b, [is_filled(k) for k in keys]))
+    return df.filter(reduce(lambda a, b: a & b, [F.trim(F.col(k)) != "" for k in keys]))
 
 
 def with_event_time(events: DataFrame, ingested: str = "kafka_timestamp") -> DataFrame:

@@ -44,8 +44,6 @@ def salted_left_join(left: DataFrame, right: DataFrame, key: str, salts: int = 6
     lhs = (
         left.join(F.broadcast(heavy), key, "left")
         .withColumn("_salt", F.when(spread, dealt).otherwise(F.lit(0)))
-        # a null key takes one of many never-matching stand-ins, so it cannot pile up
-        .withColumn("_null_salt", F.when(F.col(key).isNull(), dealt).otherwise(F.lit(-1)))
         .drop("_heavy")
     )
     every = F.sequence(F.lit(0), F.lit(salts - 1))
@@ -53,7 +51,6 @@ def salted_left_join(left: DataFrame, right: DataFrame, key: str, salts: int = 6
         right.filter(F.col(key).isNotNull())
         .join(F.broadcast(heavy), key, "left")
         .withColumn("_salt", F.explode(F.when(F.col("_heavy").isNotNull(), every).otherwise(F.array(F.lit(0)))))
-        .withColumn("_null_salt", F.lit(-1))
         .drop("_heavy")
     )
-    return lhs.join(rhs, [key, "_salt", "_null_salt"], "left").drop("_salt", "_null_salt")
+    return lhs.join(rhs, [key, "_salt"], "left").drop("_salt")

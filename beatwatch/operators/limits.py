@@ -7,52 +7,60 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from beatwatch.session import shared_dir
+
+# Up to this many (group, bucket) states are broadcast; more are met by a shuffle on both keys.
+FEW_STATES = 1_000_000
+
 
 def cap_rows(df: DataFrame, group: str, key: str, n: int, total: int | None = None, digits: int = 4) -> DataFrame:
     """Keep n rows per group, then at most ``total`` rows in all, in the order of the key's digest.
 
-    The digest is uniform, so its first hex digits cut every group into even buckets. Counting
-    the buckets (at most ``16 ** digits`` per group) finds the one bucket where the cap falls;
-    rows before it are kept as they stand and only that bucket's rows are ranked. ``key`` must be
-    unique within a group.
+    The digest is uniform, so its first hex digits cut every group, however large, into
+    ``16 ** digits`` even buckets. The bucket counts, one narrow scan kept as a small table, tell
+    which buckets are kept whole and where each cap falls; only the rows of those last buckets are
+    ranked. ``key`` must be unique within a group.
     """
-    marked = df.withColumn("_digest", F.md5(F.col(key).cast("string").cast("binary")))
-    capped = _cap(marked, [group], key, n, digits)
-    if total is not None:
-        capped = _cap(capped, [], key, total, digits)
-    return capped.drop("_digest")
-
+    spark, names = df.sparkSession, df.columns
+    digest = F.md5(F.col(key).cast("string").cast("binary"))
+    marked = df.withColumn("_digest", digest).withColumn("_bucket", F.substring("_digest", 1, digits))
 
-# Up to this many groups the cut table (one row per group) is broadcast.
-FEW_GROUPS = 1_000
+    stored = shared_dir(spark, "bucket-counts")
+    marked.groupBy(group, "_bucket").agg(F.count("*").alias("_rows")).write.parquet(stored)
+    counts = spark.read.parquet(stored)
 
-
-def _cap(marked: DataFrame, groups: list[str], key: str, n: int, digits: int) -> DataFrame:
-    names = marked.columns
-    marked = marked.withColumn("_bucket", F.substring("_digest", 1, digits))
-    counts = marked.groupBy(*groups, "_bucket").agg(F.count("*").alias("_rows"))
-    ahead = F.sum("_rows").over(Window.partitionBy(*groups).orderBy("_bucket")) - F.col("_rows")
-    # buckets that hold kept rows, and how many rows still fit when each begins
-    open_buckets = counts.withColumn("_fit", F.lit(n) - ahead).filter(F.col("_fit") > 0)
-    if groups and marked.select(*groups).distinct().limit(FEW_GROUPS + 1).count() > FEW_GROUPS:
-        # many groups: meet on (group, bucket), which also spreads a group that is large
-        states = open_buckets.withColumn("_whole", F.col("_fit") >= F.col("_rows")).drop("_rows")
-        placed = _null_safe_join(marked, states, [*groups, "_bucket"])
+    ahead = F.sum("_rows").over(Window.partitionBy(group).orderBy("_bucket")) - F.col("_rows")
+    states = counts.withColumn("_fit", F.lit(n) - ahead).filter(F.col("_fit") > 0)
+    if total is None:
+        states = states.withColumn("_total_fit", F.col("_fit"))
+        spans_total = F.lit(False)
     else:
-        last = F.max(F.struct("_bucket", "_fit")).alias("_cut")
-        if groups:
-            placed = _null_safe_join(marked, F.broadcast(open_buckets.groupBy(*groups).agg(last)), groups)
-        else:
-            placed = marked.withColumn("_cut", open_buckets.agg(last).scalar())
-        placed = (
-            placed.filter(F.col("_bucket") <= F.col("_cut._bucket"))
-            .withColumn("_whole", F.col("_bucket") < F.col("_cut._bucket"))
-            .withColumn("_fit", F.col("_cut._fit"))
-        )
-    order = Window.partitionBy(*groups, "_bucket").orderBy("_digest", key)
-    ranked = placed.filter(~F.col("_whole")).withColumn("_rank", F.row_number().over(order))
-    fits = ranked.filter(F.col("_rank") <= F.col("_fit"))
-    return placed.filter("_whole").select(*names).unionByName(fits.select(*names))
+        # one row per bucket, so at most 16 ** digits rows reach the running total
+        kept = states.groupBy("_bucket").agg(F.sum(F.least("_fit", "_rows")).alias("_kept"))
+        before = F.sum("_kept").over(Window.orderBy("_bucket")) - F.col("_kept")
+        open_buckets = kept.withColumn("_total_fit", F.lit(total) - before).filter(F.col("_total_fit") > 0)
+        states = states.join(open_buckets, "_bucket")
+        spans_total = F.col("_total_fit") < F.col("_kept")
+    states = states.select(
+        group,
+        "_bucket",
+        "_fit",
+        "_total_fit",
+        (F.col("_fit") >= F.col("_rows")).alias("_group_whole"),
+        (~spans_total).alias("_total_whole"),
+    )
+    few = states.count() <= FEW_STATES
+    placed = _null_safe_join(marked, F.broadcast(states) if few else states, [group, "_bucket"])
+
+    whole = F.col("_group_whole") & F.col("_total_whole")
+    in_group = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy("_digest", key))
+    in_total = F.row_number().over(Window.partitionBy("_bucket").orderBy("_digest", key))
+    ranked = placed.filter(~whole).withColumn("_rank", in_group).filter(F.col("_rank") <= F.col("_fit"))
+    fits = ranked.filter("_total_whole")
+    if total is not None:
+        cut = ranked.filter(~F.col("_total_whole")).withColumn("_rank", in_total)
+        fits = fits.unionByName(cut.filter(F.col("_rank") <= F.col("_total_fit")))
+    return placed.filter(whole).select(*names).unionByName(fits.select(*names))
 
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

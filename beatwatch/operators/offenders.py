@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beatwatch.functions.text import is_present
-
 
 def offender_flags(offenders: DataFrame) -> DataFrame:
     minor = F.coalesce(F.upper(F.trim("victim_minor")) == "Y", F.lit(False))
@@ -64,5 +62,5 @@ def offender_summary(flagged: DataFrame) -> DataFrame:
 
 def by_race(flagged: DataFrame, k: int = 10) -> DataFrame:
     """Most frequent races; empty text is left out, blanks are kept."""
-    counts = flagged.filter(is_present("race")).groupBy("race").agg(F.count("*").alias("count"))
+    counts = flagged.filter(F.col("race") != "").groupBy("race").agg(F.count("*").alias("count"))
     return counts.orderBy(F.desc("count"), F.asc("race")).limit(k)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beatwatch.functions.severity import CRITICAL_FROM
-from beatwatch.functions.text import flag, is_present
+from beatwatch.functions.text import flag
 
 
 def clamp(value: int | None, top: int, default: int) -> int:
@@ -105,7 +105,7 @@ def recent_count(events: DataFrame, as_of: datetime | Column, seconds: int = 60,
 
 def active_districts(events: DataFrame, as_of: datetime | Column, seconds: int = 300, ts: str = "processed_at") -> DataFrame:
     """Distinct non-empty districts in the last span."""
-    rows = since(events, as_of, seconds, ts).filter(is_present("district"))
+    rows = since(events, as_of, seconds, ts).filter(F.col("district") != "")
     return rows.agg(F.countDistinct("district").alias("active_districts"))
 
 

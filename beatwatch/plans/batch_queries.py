@@ -139,9 +139,8 @@ FROM gold""",
     "gold",
 )
 def _(t: Tables) -> DataFrame:
-    tagged = enrich.tag_validity(t.gold)
-    both = enrich.valid_events(tagged).select("event_id", F.lit(None).cast("string").alias("invalid_reason"))
-    return both.unionByName(enrich.malformed_events(tagged).select("event_id", "invalid_reason"))
+    valid = enrich.valid_events(t.gold).select("event_id", F.lit(None).cast("string").alias("invalid_reason"))
+    return valid.unionByName(enrich.malformed_events(t.gold).select("event_id", "invalid_reason"))
 
 
 @register("flt3", "SELECT district, community_area, count(*) AS n FROM crimes WHERE trim(district) <> '' AND trim(community_area) <> '' GROUP BY ALL", "crimes")

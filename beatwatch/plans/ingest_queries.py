@@ -216,14 +216,15 @@ def _(t: Tables) -> DataFrame:
 
 @register(
     "nrm5",
-    f"""SELECT source_dataset, district, severity, is_arrest, count(*) AS n, count(DISTINCT event_id) AS events, count(victim_id) AS victims,
+    f"""SELECT source_dataset, district, severity, is_arrest, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id, count(victim_id) AS victims,
   min(incident_date) AS first_date, max(crime_type) AS last_type FROM ({ALL_EVENTS}) GROUP BY ALL""",
     "violence crimes arrests offenders",
 )
 def _(t: Tables) -> DataFrame:
     return normalise.unify(t.raw_sets).groupBy("source_dataset", "district", "severity", "is_arrest").agg(
         F.count("*").alias("n"),
-        F.countDistinct("event_id").alias("events"),
+        F.min("event_id").alias("first_id"),
+        F.max("event_id").alias("last_id"),
         F.count("victim_id").alias("victims"),
         F.min("incident_date").alias("first_date"),
         F.max("crime_type").alias("last_type"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from beatwatch.operators import health, paging, summaries, windows
-from beatwatch.operators.enrich import tag_validity, valid_events, with_event_time
+from beatwatch.operators.enrich import valid_events, with_event_time
 from beatwatch.plans.registry import Tables, register
 from beatwatch.schemas import STREAMED_DATASETS
 from beatwatch.streaming.batches import counted
@@ -213,7 +213,7 @@ CITY_VOLUME = VOLUME.replace("SELECT source_dataset, district, window_start", "S
 
 
 def valid_gold(t: Tables) -> DataFrame:
-    return with_event_time(valid_events(tag_validity(t.gold)))
+    return with_event_time(valid_events(t.gold))
 
 
 @register("str5b", f"WITH {VOLUME} SELECT * FROM volume", "gold")

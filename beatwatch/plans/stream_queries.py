@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from beatwatch.operators import trends, windows
-from beatwatch.operators.enrich import alerts_only, enrich, tag_validity, valid_events, with_event_time
+from beatwatch.operators.enrich import alerts_only, enrich, valid_events, with_event_time
 from beatwatch.operators.normalise import crime_events, offender_events
 from beatwatch.operators.summaries import dataset_summary, topic_counters
 from beatwatch.plans.batch_queries import TRENDS
@@ -23,7 +23,7 @@ from beatwatch.sinks.tables import newest_per_key, overwrite_table, read_batches
 from beatwatch.sinks.topics import TopicTarget, alert_messages, on_topic, raw_messages
 from beatwatch.sources import topics
 from beatwatch.sources.tables import read_table
-from beatwatch.streaming.batches import Outputs, to_table
+from beatwatch.streaming.batches import Outputs, to_console, to_table
 from beatwatch.streaming.queries import start_counters, start_main, start_malformed, start_metrics, start_volume, start_zscore
 
 ONCE = {"availableNow": True}
@@ -53,7 +53,7 @@ def outputs(t: Tables, label: str) -> Outputs:
 
 ENRICHED = f"""SELECT {GOLD_EVENT}, kafka_timestamp, severity >= 3 AS is_alert,
   CASE WHEN crime_type <> '' THEN crime_type ELSE injury_type END AS event_label FROM gold"""
-ALERTS = f"SELECT {GOLD_EVENT}, event_label, 'alerts-' || source_dataset AS topic FROM ({ENRICHED}) WHERE severity >= 3 AND source_dataset IS NOT NULL"
+ALERTS = f"SELECT {GOLD_EVENT}, event_label, 'alerts-' || coalesce(source_dataset, 'unknown') AS topic FROM ({ENRICHED}) WHERE severity >= 3"
 DISTRICT_WINDOWS = """SELECT time_bucket(INTERVAL 10 SECONDS, processed_at, TIMESTAMP '1970-01-01') AS window_start,
   time_bucket(INTERVAL 10 SECONDS, processed_at, TIMESTAMP '1970-01-01') + INTERVAL 10 SECONDS AS window_end, district,
   count(event_id) AS event_count, round(avg(severity), 6) AS avg_severity,
@@ -72,7 +72,7 @@ HOURS = {"size": "6 hours", "slide": "3 hours", "watermark": "30 seconds"}
 @register("src6", f"SELECT kafka_timestamp, {GOLD_EVENT} FROM gold WHERE source_dataset IN ('crimes', 'arrests')", "gold")
 def _(t: Tables) -> DataFrame:
     root = t.work_dir("bus")
-    TopicTarget(folder=root).write(wire(t).filter("topic is not null"), "raw", 0)
+    TopicTarget(folder=root).write(wire(t), "raw", 0)
     messages = topics.folder_stream(t.spark, f"{root}/raw/batch_id=0", "raw-events-(crimes|arrests)")
     out = t.work_dir("decoded")
     with state_partitions(t.spark):
@@ -167,7 +167,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     out = t.work_dir("volume")
     with state_partitions(t.spark):
-        counted = windows.volume_windows(with_event_time(valid_events(tag_validity(gold_stream(t)))))
+        counted = windows.volume_windows(with_event_time(valid_events(gold_stream(t))))
         drain(
             counted.writeStream.outputMode("update")
             .foreachBatch(to_table(out))
@@ -181,7 +181,7 @@ def _(t: Tables) -> DataFrame:
 def _city_volume(t: Tables) -> Outputs:
     """Volume anomalies per dataset over the whole city."""
     out = outputs(t, "volume")
-    city = with_event_time(valid_events(tag_validity(gold_stream(t)))).withColumn("district", F.lit("CITY"))
+    city = with_event_time(valid_events(gold_stream(t))).withColumn("district", F.lit("CITY"))
     with state_partitions(t.spark):
         drain(start_volume(city, out, t.work_dir("checkpoint"), threshold=1, **ONCE))
     return out
@@ -345,8 +345,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """Alert messages of the stream, read back from their topics."""
     sent = read_batches(t.spark, f"{_main(t, 'routed').root}/topics/alerts")
-    known = sent.filter(~F.col("topic").startswith("__"))
-    parsed = topics.parse_alerts(known.select("topic", "value"))
+    parsed = topics.parse_alerts(sent.select("topic", "value"))
     return parsed.select("topic", *[c for c in ALERT_MESSAGE.fieldNames() if c != "processed_timestamp_api"])
 
 
@@ -371,15 +370,24 @@ def _(t: Tables) -> DataFrame:
 
 @register(
     "snk6",
-    """SELECT 'raw-events-' || source_dataset AS topic, count(*) AS messages_total FROM gold WHERE source_dataset IS NOT NULL GROUP BY 1""",
+    """SELECT 'raw-events-' || coalesce(source_dataset, 'unknown') AS topic, count(*) AS messages_total FROM gold GROUP BY 1""",
     "gold",
 )
 def _(t: Tables) -> DataFrame:
     root = t.work_dir("published")
-    TopicTarget(folder=root).write(raw_messages(t.gold.filter("source_dataset is not null")), "raw", 0)
+    TopicTarget(folder=root).write(raw_messages(t.gold), "raw", 0)
     return topic_counters(read_batches(t.spark, f"{root}/raw"))
 
 
+@register("snk7", COUNTERS, "gold")
+def _(t: Tables) -> DataFrame:
+    """The counters as shown on the console: the last batch's rows."""
+    shown: dict[int, list] = {}
+    with state_partitions(t.spark):
+        drain(start_counters(gold_stream(t), None, t.work_dir("checkpoint"), to_console(100, shown.__setitem__), **ONCE))
+    return t.spark.createDataFrame(shown[max(shown)], "severity string, dataset string, events_total bigint")
+
+
 @register("snk8", f"SELECT invalid_reason, count(*) AS n FROM ({MALFORMED}) GROUP BY 1", "gold")
 def _(t: Tables) -> DataFrame:
     """The dead-letter table, by reason."""

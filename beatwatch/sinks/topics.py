@@ -33,7 +33,9 @@ class TopicTarget:
 
 
 def topic_name(prefix: str, dataset: Column | str = "source_dataset") -> Column:
-    return F.concat(F.lit(prefix), F.col(dataset) if isinstance(dataset, str) else dataset)
+    """Topic of a row's dataset; a row without one goes to the 'unknown' topic."""
+    named = F.col(dataset) if isinstance(dataset, str) else dataset
+    return F.concat(F.lit(prefix), F.coalesce(named, F.lit("unknown")))
 
 
 def raw_messages(

@@ -6,7 +6,7 @@ import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Row
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -82,13 +82,16 @@ def to_table(path: str) -> Callable[[DataFrame, int], None]:
     return body
 
 
-def to_console(rows: int = 20) -> Callable[[DataFrame, int], None]:
-    """Print the first rows of each micro-batch. Only those reach the driver; the console format
-    of the engine would send it the whole batch."""
+def print_rows(batch_id: int, rows: list[Row]) -> None:
+    print(f"-- batch {batch_id}", *rows, sep="\n")
+
+
+def to_console(limit: int = 20, emit: Callable[[int, list[Row]], None] = print_rows) -> Callable[[DataFrame, int], None]:
+    """Show the first rows of each micro-batch. Only those reach the driver; the console format of
+    the engine would send it the whole batch."""
 
     def body(batch: DataFrame, batch_id: int) -> None:
-        print(f"-- batch {batch_id}")
-        batch.show(rows, truncate=False)
+        emit(batch_id, batch.limit(limit).collect())
 
     return body
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
-from beatwatch.operators.enrich import malformed_events, tag_validity, valid_events, with_event_time
+from beatwatch.operators.enrich import malformed_events, valid_events, with_event_time
 from beatwatch.operators.summaries import event_counters
 from beatwatch.operators.windows import district_metrics, score, sliding_stats, volume_anomalies, volume_windows
 from beatwatch.streaming.batches import Outputs, anomaly_fan_out, counted, fan_out, to_console, to_table
@@ -39,7 +41,7 @@ def start_zscore(enriched: DataFrame, outputs: Outputs, checkpoints: str, window
 
 def start_volume(events: DataFrame, outputs: Outputs, checkpoints: str, threshold: int = 50, windows: dict | None = None, **trigger) -> StreamingQuery:
     """Volume anomalies of valid events (update mode), every 30 seconds unless told otherwise."""
-    timed = with_event_time(valid_events(tag_validity(events))) if "event_time" not in events.columns else events
+    timed = with_event_time(valid_events(events)) if "event_time" not in events.columns else events
     found = volume_anomalies(volume_windows(timed, **(windows or {})), threshold)
     writer = found.writeStream.outputMode("update").foreachBatch(anomaly_fan_out(outputs, "volume"))
     return _start(writer, "volume", checkpoints, trigger or {"processingTime": "30 seconds"})
@@ -47,11 +49,12 @@ def start_volume(events: DataFrame, outputs: Outputs, checkpoints: str, threshol
 
 def start_malformed(events: DataFrame, path: str | None, checkpoints: str, **trigger) -> StreamingQuery:
     """Events without a date or district, with the reason: the dead-letter table, or the console."""
-    writer = malformed_events(tag_validity(events)).writeStream.outputMode("append")
+    writer = malformed_events(events).writeStream.outputMode("append")
     return _start(writer.foreachBatch(to_table(path) if path else to_console()), "malformed", checkpoints, trigger)
 
 
-def start_counters(events: DataFrame, path: str, checkpoints: str, **trigger) -> StreamingQuery:
-    """Running totals by severity and dataset (complete mode)."""
-    writer = event_counters(events).writeStream.outputMode("complete").foreachBatch(to_table(path))
+def start_counters(events: DataFrame, path: str | None, checkpoints: str, show: Callable | None = None, **trigger) -> StreamingQuery:
+    """Running totals by severity and dataset (complete mode), to a table or shown on the console."""
+    body = to_table(path) if path else show or to_console(100)
+    writer = event_counters(events).writeStream.outputMode("complete").foreachBatch(body)
     return _start(writer, "counters", checkpoints, trigger)
