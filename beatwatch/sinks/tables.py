@@ -32,6 +32,18 @@ def read_batches(spark: SparkSession, path: str, schema=None, form: str = "parqu
     return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
+def compact_events(events: DataFrame, path: str, partitions: int | None = None, ts: str = "processed_at") -> None:
+    """Rewrite the many small micro-batch files for serving, by dataset and day, newest first.
+
+    Rows are spread by ranges of (dataset, time), so a dataset or day that holds a large share
+    is cut into several tasks; filters on dataset, day and time then skip files and row groups.
+    """
+    by = ["source_dataset", "event_date", F.desc(ts)]
+    dated = events.withColumn("event_date", F.to_date(ts))
+    spread = dated.repartitionByRange(partitions, *by) if partitions else dated.repartitionByRange(*by)
+    spread.sortWithinPartitions(*by).write.mode("overwrite").partitionBy("source_dataset", "event_date").parquet(path)
+
+
 def newest_per_key(df: DataFrame, keys: list[str], version: str = "batch_id") -> DataFrame:
     """The last version of every key: what an update-mode stream has to say in the end.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from beatwatch.operators import windows
 from beatwatch.operators.enrich import enrich, valid_events, with_event_time
-from beatwatch.plans.stream_app import start_all
+from beatwatch.plans.stream_app import STREAM_CONF, start_all
 from beatwatch.schemas import ALERT_COLUMNS, TABLES, UNIFIED_COLUMNS, UNIFIED_EVENT
 from beatwatch.session import shared_dir
 from beatwatch.sinks import tables
@@ -159,9 +159,13 @@ def test_volume_and_malformed_queries(spark, bus):
 def test_whole_application(spark, bus):
     path, first = bus
     out = outputs(spark)
+    for key, value in STREAM_CONF.items():  # state in RocksDB, as on a cluster
+        spark.conf.set(key, value)
     running = start_all(stream(spark, path, first.schema), out, shared_dir(spark, "checkpoint"), threshold=10, **ONCE)
     assert sorted(q.name for q in running) == ["counters", "main", "malformed", "metrics", "volume", "zscore"]
     finish(*running)
+    for key in STREAM_CONF:
+        spark.conf.unset(key)
     counters = tables.newest_per_key(tables.read_batches(spark, f"{out.root}/counters"), ["severity", "dataset"])
     assert counters.agg(F.sum("events_total")).first()[0] == 400
     assert counters.filter("severity = 'unknown'").count() == 3
@@ -200,3 +204,16 @@ def test_alert_reader_skips_broken_messages(spark):
 def test_missing_table_reads_empty(spark):
     df = read_table(spark, shared_dir(spark, "none"), "hotspots")
     assert df.schema == TABLES["hotspots"] and df.count() == 0
+
+
+def test_compacted_events_prune_and_spread(spark):
+    df = enrich(events(spark, 300)).withColumn("processed_at", F.col("kafka_timestamp"))
+    path = shared_dir(spark, "served")
+    tables.compact_events(df, path, partitions=6)
+    back = spark.read.parquet(path)
+    assert back.count() == 300
+    named = back.select("source_dataset", F.col("_metadata.file_name").alias("file"))
+    per_dataset = named.groupBy("source_dataset").agg(F.countDistinct("file").alias("files"))
+    assert all(r["files"] >= 2 for r in per_dataset.collect())
+    text = back.filter("source_dataset = 'crimes'").select("event_id")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(source_dataset" in text
