@@ -106,6 +106,15 @@ def _(t: Tables) -> DataFrame:
     return windows.rate_per_second(t.gold, "source_dataset")
 
 
+@register(
+    "agg29b",
+    """SELECT time_bucket(INTERVAL 1 MINUTE, processed_at) AS window_start, severity, count(*) / 60 AS events_per_second FROM gold GROUP BY 1, 2""",
+    "gold",
+)
+def _(t: Tables) -> DataFrame:
+    return windows.rate_per_second(t.gold, "severity")
+
+
 @register("agg30", "SELECT count(*) AS events, count(*) FILTER (WHERE severity >= 3) AS alerts FROM gold", "gold")
 def _(t: Tables) -> DataFrame:
     seen = Observation("batch")
@@ -175,16 +184,23 @@ def slid(source: str, ts: str, size: int, slide: int) -> str:
 STATS = """stats AS (SELECT district, window_start, window_end, count(event_id) AS window_count, avg(m) AS mean_severity,
   stddev_samp(m) AS stddev_severity, max(m) AS max_severity FROM slid GROUP BY 1, 2, 3),
 scored AS (SELECT *, CASE WHEN stddev_severity > 0 THEN (max_severity - mean_severity) / stddev_severity ELSE 0 END AS z_score FROM stats)"""
-# means and deviations are rounded: engines differ in the last bits of a running deviation
-STATS_SHOWN = """district, window_start, window_end, window_count, round(mean_severity, 6) AS mean_severity,
-  round(stddev_severity, 6) AS stddev_severity, max_severity"""
+# deviations are rounded, as engines differ in their last bits; means of whole numbers are exact
+STATS_SHOWN = """district, window_start, window_end, window_count, mean_severity, round(stddev_severity, 6) AS stddev_severity, max_severity"""
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    shown = [c for c in ("mean_severity", "stddev_severity", "z_score", "avg_severity") if c in df.columns]
+    shown = [c for c in ("stddev_severity", "z_score") if c in df.columns]
     return df.withColumns({c: F.round(c, 6) for c in shown})
 
 
+CENTS = "CAST(round(value * 100) AS INT)"
+
+
+def in_cents(events: DataFrame) -> DataFrame:
+    """The event value as a whole number: a measure with more spread than the severity."""
+    return events.withColumn("cents", F.round(F.col("value") * 100).cast("int"))
+
+
 HOURS = {"size": "6 hours", "slide": "3 hours"}
 
 
@@ -195,12 +211,12 @@ def _(t: Tables) -> DataFrame:
 
 @register(
     "str4b",
-    f"""WITH src AS (SELECT *, value AS m FROM gold), {slid('src', 'processed_at', 360, 180)}, {STATS}
-SELECT {STATS_SHOWN}, round(z_score, 6) AS z_score FROM scored WHERE z_score > 2 OR (stddev_severity IS NULL AND max_severity >= 100)""",
+    f"""WITH src AS (SELECT *, {CENTS} AS m FROM gold), {slid('src', 'processed_at', 360, 180)}, {STATS}
+SELECT {STATS_SHOWN}, round(z_score, 6) AS z_score FROM scored WHERE z_score > 2 OR (stddev_severity IS NULL AND max_severity >= 10000)""",
     "gold",
 )
 def _(t: Tables) -> DataFrame:
-    return rounded(windows.score(windows.sliding_stats(t.gold, measure="value", **HOURS), lone_max=100))
+    return rounded(windows.score(windows.sliding_stats(in_cents(t.gold), measure="cents", **HOURS), lone_max=10_000))
 
 
 VALID = """valid AS (SELECT *, coalesce(try_strptime(incident_date || ' ' || incident_time, '%m/%d/%Y %H:%M:%S'),

@@ -14,7 +14,7 @@ from beatwatch.operators.summaries import dataset_summary, topic_counters
 from beatwatch.plans.batch_queries import TRENDS
 from beatwatch.plans.ingest_queries import EVENTS_SQL, GOLD_EVENT, wire
 from beatwatch.plans.registry import Tables, register
-from beatwatch.plans.serving_queries import ANOMALIES, CITY_VOLUME, MEASURES, STATS, STATS_SHOWN, VOLUME, rounded, slid
+from beatwatch.plans.serving_queries import ANOMALIES, CENTS, CITY_VOLUME, MEASURES, STATS, STATS_SHOWN, VOLUME, in_cents, rounded, slid
 from beatwatch.plans.shapes import shape
 from beatwatch.plans.stream_app import start_all
 from beatwatch.schemas import ALERT_MESSAGE, TABLES, UNIFIED_COLUMNS, conform
@@ -56,7 +56,7 @@ ENRICHED = f"""SELECT {GOLD_EVENT}, kafka_timestamp, severity >= 3 AS is_alert,
 ALERTS = f"SELECT {GOLD_EVENT}, event_label, 'alerts-' || coalesce(source_dataset, 'unknown') AS topic FROM ({ENRICHED}) WHERE severity >= 3"
 DISTRICT_WINDOWS = """SELECT time_bucket(INTERVAL 10 SECONDS, processed_at, TIMESTAMP '1970-01-01') AS window_start,
   time_bucket(INTERVAL 10 SECONDS, processed_at, TIMESTAMP '1970-01-01') + INTERVAL 10 SECONDS AS window_end, district,
-  count(event_id) AS event_count, round(avg(severity), 6) AS avg_severity,
+  count(event_id) AS event_count, avg(severity) AS avg_severity,
   CAST(sum(CASE WHEN severity >= 4 THEN 1 ELSE 0 END) AS BIGINT) AS critical_count FROM gold GROUP BY 1, 2, 3"""
 COUNTERS = """SELECT coalesce(CAST(severity AS VARCHAR), 'unknown') AS severity, coalesce(source_dataset, 'unknown') AS dataset, count(*) AS events_total
 FROM gold GROUP BY 1, 2"""
@@ -132,7 +132,7 @@ def _(t: Tables) -> DataFrame:
     out = t.work_dir("metrics")
     with state_partitions(t.spark):
         drain(start_metrics(gold_stream(t), out, t.work_dir("checkpoint"), **ONCE))
-    return rounded(newest_per_key(read_batches(t.spark, out), ["window_start", "window_end", "district"]))
+    return newest_per_key(read_batches(t.spark, out), ["window_start", "window_end", "district"])
 
 
 @register("str3", f"WITH src AS (SELECT *, severity AS m FROM gold), {slid('src', 'processed_at', 360, 180)}, {STATS} SELECT {STATS_SHOWN} FROM stats", "gold")
@@ -152,14 +152,14 @@ def _(t: Tables) -> DataFrame:
 
 @register(
     "str4",
-    f"""WITH src AS (SELECT *, value AS m FROM gold), {slid('src', 'processed_at', 360, 180)}, {STATS}
-SELECT {STATS_SHOWN}, round(z_score, 6) AS z_score FROM scored WHERE z_score > 2 OR (stddev_severity IS NULL AND max_severity >= 100)""",
+    f"""WITH src AS (SELECT *, {CENTS} AS m FROM gold), {slid('src', 'processed_at', 360, 180)}, {STATS}
+SELECT {STATS_SHOWN}, round(z_score, 6) AS z_score FROM scored WHERE z_score > 2 OR (stddev_severity IS NULL AND max_severity >= 10000)""",
     "gold",
 )
 def _(t: Tables) -> DataFrame:
     out = outputs(t, "zscore")
     with state_partitions(t.spark):
-        drain(start_zscore(gold_stream(t), out, t.work_dir("checkpoint"), {"measure": "value", **HOURS}, {"lone_max": 100}, **ONCE))
+        drain(start_zscore(in_cents(gold_stream(t)), out, t.work_dir("checkpoint"), {"measure": "cents", **HOURS}, {"lone_max": 10_000}, **ONCE))
     return rounded(newest_per_key(read_batches(t.spark, f"{out.root}/zscore_alerts"), ["district", "window_start", "window_end"]))
 
 
