@@ -102,9 +102,10 @@ def digest(key):
 
 
 @pytest.mark.parametrize(("n", "total", "digits"), [(50, None, 1), (50, 120, 1), (7, 20, 2), (10_000, None, 1), (10_000, 500, 2), (3, 1, 1)])
-@pytest.mark.parametrize("few", [limits.FEW_STATES, 0])
-def test_cap_rows_matches_ranking_everything(spark, monkeypatch, n, total, digits, few):
+@pytest.mark.parametrize(("few", "bucket_rows"), [(limits.FEW_STATES, 10), (0, 10), (0, limits.BUCKET_ROWS)])
+def test_cap_rows_matches_ranking_everything(spark, monkeypatch, n, total, digits, few, bucket_rows):
     monkeypatch.setattr(limits, "FEW_STATES", few)
+    monkeypatch.setattr(limits, "BUCKET_ROWS", bucket_rows)
     rows = [("hot" if i % 3 == 0 else None if i % 7 == 0 else f"g{i % 5}", i) for i in range(1500)]
     got = limits.cap_rows(spark.createDataFrame(rows, "g string, k int"), "g", "k", n, total, digits)
     ordered = sorted(rows, key=lambda r: digest(r[1]))
