@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,3 +98,11 @@ def land(df: DataFrame, path: str, partitions: int | None = None) -> DataFrame:
     """Write once as Parquet, spread over ``partitions`` tasks, and read it back."""
     (df.repartition(partitions) if partitions else df).write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def land_counted(df: DataFrame, path: str, partitions: int | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """``land`` with the number of rows read and of malformed rows, counted while they are written."""
+    seen = Observation()
+    bad = F.count_if(F.col(CORRUPT).isNotNull())
+    landed = land(df.observe(seen, F.count(F.lit(1)).alias("read"), bad.alias("malformed")), path, partitions)
+    return landed, seen.get

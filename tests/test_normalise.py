@@ -61,7 +61,9 @@ def test_classify_by_scanned_file(spark, folder):
 
 def test_rows_with_wrong_field_count_go_to_quarantine(spark, folder, tmp_path):
     raw = csv_files.read_csv(spark, f"{folder}/POLICE_STATIONS.csv", raw_schema("police-stations"), keep_corrupt=True)
-    good, bad = csv_files.split_corrupt(csv_files.land(csv_files.project(raw, "police-stations"), str(tmp_path / "s")))
+    landed, counts = csv_files.land_counted(csv_files.project(raw, "police-stations"), str(tmp_path / "s"))
+    assert counts == {"read": 3, "malformed": 2}
+    good, bad = csv_files.split_corrupt(landed)
     assert [r["district"] for r in good.collect()] == ["1"]
     assert sorted(r["record"] for r in bad.collect()) == ["2,Short row", "3,Long,Addr,41.0,-87.0,extra,fields"]
 
