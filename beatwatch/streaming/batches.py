@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, Observation, Row
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from beatwatch.functions.severity import ALERT_FROM
 from beatwatch.operators.enrich import alerts_only
 from beatwatch.operators.windows import volume_alerts, zscore_alerts
+from beatwatch.schemas import conform
 from beatwatch.sinks.tables import write_batch, write_documents
 from beatwatch.sinks.topics import TopicTarget, alert_messages, on_topic
 
@@ -45,7 +47,7 @@ def fan_out(outputs: Outputs) -> Callable[[DataFrame, int], None]:
             if kept.isEmpty():
                 return
             alerts = alerts_only(kept)
-            outputs.attempt("events", lambda: write_batch(kept, f"{outputs.root}/events", batch_id))
+            outputs.attempt("events", lambda: write_batch(conform(kept, "events"), f"{outputs.root}/events", batch_id))
             outputs.attempt("documents", lambda: write_documents(alerts, f"{outputs.root}/alert_documents", batch_id))
             outputs.attempt("topics", lambda: outputs.topics.write(alert_messages(alerts), "alerts", batch_id))
         finally:
@@ -57,13 +59,14 @@ def fan_out(outputs: Outputs) -> Callable[[DataFrame, int], None]:
 def anomaly_fan_out(outputs: Outputs, kind: str) -> Callable[[DataFrame, int], None]:
     """Anomalies to a table and to the anomaly topic; volume anomalies also to a document log."""
     message = {"volume": volume_alerts, "zscore": zscore_alerts}[kind]
+    checked = (lambda df: conform(df, "alerts")) if kind == "volume" else (lambda df: df)
 
     def body(batch: DataFrame, batch_id: int) -> None:
         kept = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             if kept.isEmpty():
                 return
-            outputs.attempt("table", lambda: write_batch(kept, f"{outputs.root}/{kind}_alerts", batch_id))
+            outputs.attempt("table", lambda: write_batch(checked(kept), f"{outputs.root}/{kind}_alerts", batch_id))
             if kind == "volume":
                 outputs.attempt("log", lambda: write_documents(kept, f"{outputs.root}/volume_log", batch_id))
             outputs.attempt("topic", lambda: outputs.topics.write(on_topic(message(kept)), kind, batch_id))
@@ -99,5 +102,5 @@ def to_console(limit: int = 20, emit: Callable[[int, list[Row]], None] = print_r
 def counted(df: DataFrame, name: str | Observation) -> DataFrame:
     """Count events and alerts while they pass, instead of running extra count jobs."""
     return df.observe(
-        name, F.count(F.lit(1)).alias("events"), F.count_if(F.coalesce(F.col("severity") >= 3, F.lit(False))).alias("alerts")
+        name, F.count(F.lit(1)).alias("events"), F.count_if(F.coalesce(F.col("severity") >= ALERT_FROM, F.lit(False))).alias("alerts")
     )
