@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beatwatch.llm import mixing, sharding
+from beatwatch.llm import minhash, mixing, repetition, sharding
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
+def op2_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component and survivor of every document, linked at 85 percent of five-word shingles."""
+    return minhash.near_duplicates(documents(spark, sf_dir), percent=85)
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of each document by the mix of all sources."""
     mixed = mixing.mix(documents(spark, sf_dir))
@@ -21,6 +26,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken, "source", "copies")
 
 
+def op5_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition measures and verdict of every document."""
+    return repetition.quality(documents(spark, sf_dir))
+
+
 def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 equal shards, and where they go with one shard more."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -35,6 +45,8 @@ def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_minhash_near_duplicates": op2_minhash_near_duplicates,
     "op3_mix_sources": op3_mix_sources,
+    "op5_repetition_rules": op5_repetition_rules,
     "op8_rendezvous_shards": op8_rendezvous_shards,
 }
