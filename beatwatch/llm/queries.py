@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beatwatch.llm import minhash, mixing, repetition, sharding
+from beatwatch.llm import minhash, mixing, repetition, sharding, tiling
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
 
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+
+
 def op2_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component and survivor of every document, linked at 85 percent of five-word shingles."""
     return minhash.near_duplicates(documents(spark, sf_dir), percent=85)
@@ -44,9 +48,15 @@ def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 
+def op10_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in every document, by greedy string tiling."""
+    return tiling.contaminated(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_duplicates": op2_minhash_near_duplicates,
     "op3_mix_sources": op3_mix_sources,
     "op5_repetition_rules": op5_repetition_rules,
     "op8_rendezvous_shards": op8_rendezvous_shards,
+    "op10_benchmark_tiling": op10_benchmark_tiling,
 }
