@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beatwatch.llm import minhash, mixing, repetition, sharding, tiling
+from beatwatch.llm import minhash, mixing, recompression, repetition, sharding, tiling
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,12 @@ def op5_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality(documents(spark, sf_dir))
 
 
+def op6_recompression_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without passages of 20 words that came before."""
+    left = recompression.remove_repeats(documents(spark, sf_dir), window=20)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 equal shards, and where they go with one shard more."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -57,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_duplicates": op2_minhash_near_duplicates,
     "op3_mix_sources": op3_mix_sources,
     "op5_repetition_rules": op5_repetition_rules,
+    "op6_recompression_repeats": op6_recompression_repeats,
     "op8_rendezvous_shards": op8_rendezvous_shards,
     "op10_benchmark_tiling": op10_benchmark_tiling,
 }
