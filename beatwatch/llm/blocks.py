@@ -24,9 +24,11 @@ from beatwatch.llm.words import text_bytes
 
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 32 << 20
-BLOCK = "block long, n_bytes long, doc_ids binary, offsets binary, body binary"
-ASK = "bucket int, block long, keys binary, extra binary"
-ANSWER = "bucket int, block long, reply binary"
+BLOCK = "block long, n_bytes long, doc_ids binary, offsets binary, body binary, body_bytes long"
+ASK = "bucket long, block long, keys binary, extra binary"
+ANSWER = "bucket long, block long, reply binary, total long, kinds long"
+# questions of one stage have buckets from stage << STAGE on
+STAGE = 32
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -45,9 +47,14 @@ def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_CLEANUP, before)
 
 
-def write_blocks(docs: DataFrame, where: str, size: int = BLOCK_BYTES) -> DataFrame:
+Pack = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, bytes]]
+
+
+def write_blocks(docs: DataFrame, where: str, size: int = BLOCK_BYTES, pack: Pack | None = None) -> DataFrame:
     """Whole texts in doc_id order, some ``size`` bytes to a block; block numbers ascend with doc_id.
 
+    ``pack`` makes offsets and body from doc_ids, offsets and bytes; without it the texts are kept.
+
     Null texts are empty ones. Rows of one doc_id stay together, equal ones side by side; a null
     doc_id comes first and is kept as the least long.
     """
@@ -62,8 +69,14 @@ def write_blocks(docs: DataFrame, where: str, size: int = BLOCK_BYTES) -> DataFr
 
         def block() -> pa.RecordBatch:
             offsets = np.concatenate(([0], np.cumsum(np.concatenate(lens)))).astype(np.int64)
-            row = [[number], [held], [np.concatenate(ids).tobytes()], [offsets.tobytes()], [packer.compress(b"".join(bodies))]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["block", "n_bytes", "doc_ids", "offsets", "body"])
+            names, body = np.concatenate(ids), b"".join(bodies)
+            if pack:
+                offsets, body = pack(names, offsets, np.frombuffer(body, np.uint8))
+            row = [[number], [held], [names.tobytes()], [offsets.tobytes()], [packer.compress(body)], [len(body)]]
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(row, kinds)], names=["block", "n_bytes", "doc_ids", "offsets", "body", "body_bytes"]
+            )
 
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
@@ -90,7 +103,7 @@ def write_blocks(docs: DataFrame, where: str, size: int = BLOCK_BYTES) -> DataFr
 
 def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """doc_ids, offsets and bytes of a block row."""
-    body = zstandard.ZstdDecompressor().decompress(row["body"], max_output_size=max(1, row["n_bytes"]))
+    body = zstandard.ZstdDecompressor().decompress(row["body"], max_output_size=max(1, row["body_bytes"]))
     return np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["offsets"], np.int64), np.frombuffer(body, np.uint8)
 
 
@@ -130,13 +143,13 @@ def unpack_keys(packed: bytes, count: int) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def ask(block: int, keys: np.ndarray, buckets: int, extra: Callable[[np.ndarray], bytes] | None = None) -> pa.RecordBatch:
+def ask(block: int, keys: np.ndarray, buckets: int, extra: Callable[[np.ndarray], bytes] | None = None, stage: int = 0) -> pa.RecordBatch:
     """The ``ASK`` rows of a block: for each bucket its keys, and what ``extra`` makes of their places."""
     rows: list[tuple] = []
     for b, at in enumerate(split(keys, buckets)):
         if len(at):
-            rows.append((b, block, len(at).to_bytes(4, "little") + pack_keys(keys[at]), extra(at) if extra else b""))
-    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+            rows.append(((stage << STAGE) + b, block, len(at).to_bytes(4, "little") + pack_keys(keys[at]), extra(at) if extra else b""))
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names=["bucket", "block", "keys", "extra"])
 
 
@@ -144,13 +157,23 @@ def asked(packed: bytes) -> np.ndarray:
     return unpack_keys(packed[4:], int.from_bytes(packed[:4], "little"))
 
 
-def answers(asks: DataFrame, merge: Callable[[list[np.ndarray], list[bytes]], list[bytes]]) -> DataFrame:
-    """``ANSWER`` rows: ``merge`` gets the key arrays and extras of a bucket by ascending block, and answers each."""
+Merge = Callable[[int, list[np.ndarray], list[bytes]], tuple[list[bytes], int, int]]
+
+
+def answers(asks: DataFrame, merge: Merge) -> DataFrame:
+    """``ANSWER`` rows of all buckets.
+
+    ``merge`` gets stage, key arrays and extras of a bucket by ascending block; it returns the answers in
+    that order and two numbers, which stand on the bucket's first row.
+    """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
-        replies = merge([asked(k) for k in table.column("keys").to_pylist()], table.column("extra").to_pylist())
-        return pa.table({"bucket": table.column("bucket"), "block": table.column("block"), "reply": pa.array(replies, pa.binary())})
+        keys = [asked(k) for k in table.column("keys").to_pylist()]
+        replies, total, kinds = merge(key[0].as_py() >> STAGE, keys, table.column("extra").to_pylist())
+        rest = [0] * (len(replies) - 1)
+        numbers = {"total": pa.array([total, *rest], pa.int64()), "kinds": pa.array([kinds, *rest], pa.int64())}
+        return pa.table({"bucket": table.column("bucket"), "block": table.column("block"), "reply": pa.array(replies, pa.binary())} | numbers)
 
     return asks.groupBy("bucket").applyInArrow(run, ANSWER)
 
@@ -176,10 +199,28 @@ def on_blocks(blocks: DataFrame, work: Callable[[dict], Iterator[pa.RecordBatch]
     return blocks.mapInArrow(run, schema)
 
 
-def read_bits(replies: dict[int, bytes], places: list[np.ndarray], count: int) -> np.ndarray:
+def read_bits(replies: dict[int, bytes], places: list[np.ndarray], count: int, stage: int = 0) -> np.ndarray:
     """One flag for each of ``count`` keys, from the answers of their buckets."""
     out = np.zeros(count, bool)
     for b, at in enumerate(places):
         if len(at):
-            out[at] = np.unpackbits(np.frombuffer(replies[b], np.uint8), count=len(at)).astype(bool)
+            out[at] = np.unpackbits(np.frombuffer(replies[(stage << STAGE) + b], np.uint8), count=len(at)).astype(bool)
+    return out
+
+
+def pack_numbers(values: np.ndarray, kind: type) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype(kind)).tobytes())
+
+
+def unpack_numbers(packed: bytes, count: int, kind: type) -> np.ndarray:
+    size = count * np.dtype(kind).itemsize
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed, max_output_size=max(1, size)), kind)
+
+
+def read_numbers(replies: dict[int, bytes], places: list[np.ndarray], count: int, kind: type, stage: int = 0) -> np.ndarray:
+    """One number for each of ``count`` keys, from the answers of their buckets."""
+    out = np.zeros(count, kind)
+    for b, at in enumerate(places):
+        if len(at):
+            out[at] = unpack_numbers(replies[(stage << STAGE) + b], len(at), kind)
     return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beatwatch.llm import minhash, mixing, recompression, repetition, sharding, tiling
+from beatwatch.llm import minhash, mixing, recompression, repetition, sharding, suffix_tree, tiling
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,11 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
 
 
+def op1_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a suffix tree of four fifths of the documents."""
+    return suffix_tree.score_texts(documents(spark, sf_dir))
+
+
 def op2_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component and survivor of every document, linked at 85 percent of five-word shingles."""
     return minhash.near_duplicates(documents(spark, sf_dir), percent=85)
@@ -60,6 +65,7 @@ def op10_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_tree_scores": op1_suffix_tree_scores,
     "op2_minhash_near_duplicates": op2_minhash_near_duplicates,
     "op3_mix_sources": op3_mix_sources,
     "op5_repetition_rules": op5_repetition_rules,

@@ -96,23 +96,23 @@ def _windows(row: dict, n: int) -> tuple:
     return ids, words, hashes, symbols[use], low[use], high[use]
 
 
-def _twice(keys: list[np.ndarray], extras: list[bytes]) -> list[bytes]:
+def _twice(stage: int, keys: list[np.ndarray], extras: list[bytes]) -> tuple[list[bytes], int, int]:
     """Which keys are in two blocks or more, or twice in one."""
     held = np.sort(np.concatenate(keys))
     many = held[1:][held[1:] == held[:-1]]
     more = [k[np.unpackbits(np.frombuffer(e, np.uint8), count=len(k)).astype(bool)] for k, e in zip(keys, extras)]
     many = np.unique(np.concatenate([many, *more]))
-    return [np.packbits(np.isin(k, many, assume_unique=True)).tobytes() for k in keys]
+    return [np.packbits(np.isin(k, many, assume_unique=True)).tobytes() for k in keys], 0, 0
 
 
-def _first(keys: list[np.ndarray], extras: list[bytes]) -> list[bytes]:
+def _first(stage: int, keys: list[np.ndarray], extras: list[bytes]) -> tuple[list[bytes], int, int]:
     """Which keys no earlier block has."""
     cut = np.cumsum([0, *map(len, keys)])
     held = np.concatenate(keys)
     order = np.argsort(held, kind="stable")
     lead = np.ones(len(held), bool)
     lead[order[1:]] = held[order[1:]] != held[order[:-1]]
-    return [np.packbits(lead[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:])]
+    return [np.packbits(lead[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:])], 0, 0
 
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,18 +159,18 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
 
     def ask_windows(row: dict, replies: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
         *_, found = _candidates(row, replies, buckets, window)
-        yield B.ask(row["block"], _distinct(found)[0], buckets)
+        yield B.ask(row["block"], _distinct(found)[0], buckets, stage=1)
 
     with B.dropping_shuffles(spark):
         B.answers(B.on_blocks(blocks, ask_symbols, B.ASK), _twice).write.parquet(f"{where}/symbols")
         symbols = spark.read.parquet(f"{where}/symbols")
         B.answers(B.with_answers(blocks, symbols, ask_windows, B.ASK), _first).write.parquet(f"{where}/windows")
-    both = symbols.selectExpr("bucket", "block", "reply").union(spark.read.parquet(f"{where}/windows").selectExpr("bucket - 1000000000", "block", "reply"))
+    both = symbols.union(spark.read.parquet(f"{where}/windows"))
 
     def removed(row: dict, replies: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
         ids, words, hashes, at, found = _candidates(row, replies, buckets, window)
         keys, _ = _distinct(found)
-        lead = B.read_bits({b + 1000000000: r for b, r in replies.items() if b < 0}, B.split(keys, buckets), len(keys))
+        lead = B.read_bits(replies, B.split(keys, buckets), len(keys), stage=1)
         order = np.argsort(found, kind="stable")
         own_first = np.zeros(len(found), bool)
         if len(found):
