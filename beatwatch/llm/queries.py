@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beatwatch.llm import minhash, mixing, recompression, repetition, sharding, suffix_tree, tiling
+from beatwatch.llm import minhash, mixing, recompression, records, repetition, sharding, suffix_tree, tiling
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,19 @@ def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
 
 
+def byte_bpe() -> str:
+    """The tokenizer file of the machine that calls."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts, starts and checksums of every document, read back from record files."""
+    read = records.encoded_documents(documents(spark, sf_dir), byte_bpe, digest=True)
+    return read.select("doc_id", "start", F.col("n_ids").alias("n_tokens"), "ids_crc32")
+
+
 def op10_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items in every document, by greedy string tiling."""
     return tiling.contaminated(documents(spark, sf_dir), benchmark(spark, sf_dir))
@@ -71,5 +84,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_repetition_rules": op5_repetition_rules,
     "op6_recompression_repeats": op6_recompression_repeats,
     "op8_rendezvous_shards": op8_rendezvous_shards,
+    "op9_token_records": op9_token_records,
     "op10_benchmark_tiling": op10_benchmark_tiling,
 }
