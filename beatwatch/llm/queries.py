@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beatwatch.llm import minhash, mixing, recompression, records, repetition, sharding, suffix_tree, tiling
+from beatwatch.llm import minhash, mixing, pii, recompression, records, repetition, sharding, suffix_tree, tiling
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +35,18 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", taken, "source", "copies")
 
 
+def op4_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and digest of the base kinds, and all spans."""
+    found = pii.personal_data(documents(spark, sf_dir))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE_KINDS))
+    counts = [of(kind).alias(f"n_{kind}") for kind in pii.KINDS[:4]]
+    more = [of(kind).alias(f"n_{kind}") for kind in pii.KINDS[4:]]
+    digest = F.sha2(F.encode(written(base), "UTF-8"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, written(F.col("spans")).alias("spans"), *more)
+
+
 def op5_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetition measures and verdict of every document."""
     return repetition.quality(documents(spark, sf_dir))
@@ -81,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_tree_scores": op1_suffix_tree_scores,
     "op2_minhash_near_duplicates": op2_minhash_near_duplicates,
     "op3_mix_sources": op3_mix_sources,
+    "op4_anchor_pii": op4_anchor_pii,
     "op5_repetition_rules": op5_repetition_rules,
     "op6_recompression_repeats": op6_recompression_repeats,
     "op8_rendezvous_shards": op8_rendezvous_shards,
