@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beatwatch.llm import minhash, mixing, pii, recompression, records, repetition, sharding, suffix_tree, tiling
+from beatwatch.llm import language, minhash, mixing, pii, recompression, records, repetition, sharding, suffix_tree, tiling
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,13 @@ def op6_recompression_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op7_byte_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by a network trained on three quarters of them."""
+    docs = documents(spark, sf_dir)
+    net = language.fit(docs.filter(~language.held_out()).select("doc_id", "text", "lang"))
+    return language.predict(docs, net).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 equal shards, and where they go with one shard more."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -96,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_anchor_pii": op4_anchor_pii,
     "op5_repetition_rules": op5_repetition_rules,
     "op6_recompression_repeats": op6_recompression_repeats,
+    "op7_byte_gru_language": op7_byte_gru_language,
     "op8_rendezvous_shards": op8_rendezvous_shards,
     "op9_token_records": op9_token_records,
     "op10_benchmark_tiling": op10_benchmark_tiling,
