@@ -24,6 +24,8 @@ from beatwatch.session import shared_dir
 
 END = mix64(np.array([0x656E64], np.uint64))[0]
 NULL_ID = -(1 << 63)
+# n-grams that repeat within a block are asked for once, so larger blocks ask less; a task holds some 15 times this
+BLOCK_BYTES = 16 << 20
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_states long"
 
 
@@ -33,7 +35,7 @@ class Settings:
 
     least: int = 4
     gain: float = 3.0
-    pull: tuple[float, float] = (30.0, 1.0)
+    pull: tuple[float, float] = (1000.0, 5.0)
     parts: int = 5
     held: int = 1
 
@@ -44,15 +46,30 @@ def held_out(ids: np.ndarray, parts: int, held: int) -> np.ndarray:
 
 
 def pack_tokens(ids: np.ndarray, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """Token offsets, and as body: count of kinds, their sorted hashes, the kind of each token."""
+    """Token offsets, and as body: count of kinds, their hashes by falling frequency, byte planes of each token's rank."""
     words = find_words(data, offsets)
     first = words.first + np.arange(len(words.first))
     tokens = np.full(int(first[-1]), END, np.uint64)
     inside = np.ones(len(tokens), bool)
     inside[first[1:] - 1] = False
     tokens[inside] = words.hashes(lower=True)
-    kinds, at = np.unique(tokens, return_inverse=True)
-    return first, np.int64(len(kinds)).tobytes() + kinds.tobytes() + at.astype(np.int32).tobytes()
+    kinds, at, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+    order = np.argsort(-counts, kind="stable")
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
+    planes = rank[at].view(np.uint8).reshape(-1, 4).T
+    return first, np.int64(len(kinds)).tobytes() + kinds[order].tobytes() + planes.tobytes()
+
+
+def unpack_tokens(body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the kinds, and the kind of each token."""
+    count = int(body[:8].view(np.int64)[0])
+    ranked = body[8 : 8 + 8 * count].view(np.uint64)
+    order = np.argsort(ranked)
+    place = np.empty(count, np.int32)
+    place[order] = np.arange(count, dtype=np.int32)
+    rank = np.ascontiguousarray(body[8 + 8 * count :].reshape(4, -1).T).view(np.uint32).ravel()
+    return ranked[order], place[rank]
 
 
 class Block:
@@ -60,9 +77,7 @@ class Block:
 
     def __init__(self, row: dict, settings: Settings) -> None:
         self.ids, self.first, body = B.unpack(row)
-        count = int(body[:8].view(np.int64)[0])
-        self.kinds = body[8 : 8 + 8 * count].view(np.uint64)
-        self.token = body[8 + 8 * count :].view(np.int32)
+        self.kinds, self.token = unpack_tokens(body)
         self.held = held_out(self.ids, settings.parts, settings.held)
         n = len(self.token)
         doc = np.repeat(np.arange(len(self.ids)), np.diff(self.first))
@@ -106,7 +121,7 @@ def score_texts(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """
     spark = docs.sparkSession
     where = shared_dir(spark, "suffix_tree")
-    blocks = B.write_blocks(docs, f"{where}/blocks", pack=pack_tokens)
+    blocks = B.write_blocks(docs, f"{where}/blocks", BLOCK_BYTES, pack_tokens)
     buckets = B.bucket_count(blocks)
     s = settings
 
