@@ -10,6 +10,7 @@ from beatwatch.operators.enrich import filled
 from beatwatch.operators.rates import flag_rate, ratio
 from beatwatch.schemas import TABLES
 
+# The correlation types.
 BY_DISTRICT = "violence_rate_vs_arrest_rate_by_district"
 BY_COMMUNITY = "sex_offender_density_vs_crime_rate_by_community"
 
@@ -64,11 +65,14 @@ def correlations(crimes: DataFrame, violence: DataFrame, offenders: DataFrame) -
     return by_district.unionByName(by_community)
 
 
+def of_kind(table: DataFrame, kind: str = "district") -> DataFrame:
+    """All groups of one correlation type; anything but 'community' means district."""
+    return table.filter(F.col("correlation_type") == (BY_COMMUNITY if kind == "community" else BY_DISTRICT))
+
+
 def correlations_of(table: DataFrame, kind: str = "district", k: int = 25) -> DataFrame:
-    """Largest groups of one correlation type; anything but 'community' means district."""
-    wanted = BY_COMMUNITY if kind == "community" else BY_DISTRICT
-    rows = table.filter(F.col("correlation_type") == wanted)
-    return rows.orderBy(
+    """The page of the largest groups of one correlation type."""
+    return of_kind(table, kind).orderBy(
         F.desc_nulls_last("total_crimes"), F.asc_nulls_last("group_key"), F.asc_nulls_last("community_area")
     ).limit(k)
 

@@ -2,57 +2,81 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+DAY = 86_400
+
 
-def expected_windows(events: DataFrame, minutes: int, ts: str, key: str | None = None) -> DataFrame:
-    """Every window from the first event's to the last event's, per key seen.
+def windowed_rates(events: DataFrame, minutes: int, ts: str = "processed_at", key: str | None = None, as_of: datetime | Column | None = None) -> DataFrame:
+    """Count and rate of every whole window (per key seen), 0 where nothing arrived.
 
-    The grid grows with the time span and the number of keys, not with the rows.
+    Windows run from the first event to ``as_of`` (default: the last event); those that these two cut
+    are left out, as they could only look low. A feed that has stopped shows up when ``as_of`` is the
+    present. The events are counted once; span and keys come from the counts. The grid is laid out by day
+    and then by window, so it grows by rows and is never one array.
     """
     length = minutes * 60
-    first, last = F.min(F.col(ts).cast("timestamp")), F.max(F.col(ts).cast("timestamp"))
-    begin = F.timestamp_seconds(F.floor(F.unix_timestamp(first) / length) * length)
-    limits = events.agg(F.struct(begin.alias("lo"), last.alias("hi")).alias("s")).scalar()
-    owners = events.select(key).distinct() if key else events.sparkSession.range(1, numPartitions=1)
-    starts = F.sequence(F.col("_s.lo"), F.col("_s.hi"), F.expr(f"interval {minutes} minutes"))
-    grid = owners.withColumn("_s", limits).withColumn("window_start", F.explode(starts))
-    return grid.select("window_start", *([key] if key else []))
-
-
-def windowed_rates(events: DataFrame, minutes: int, ts: str = "processed_at", key: str | None = None) -> DataFrame:
-    """Count and rate of every window of the grid, 0 where nothing arrived."""
-    size = f"{minutes} minutes"
+    second = F.unix_timestamp(F.col(ts).cast("timestamp"))
     keys = [key] if key else []
-    seen = (
-        events.groupBy(F.window(ts, size).alias("w"), *keys)
-        .agg(F.count("*").alias("n"))
-        .select(F.col("w.start").cast("timestamp").alias("window_start"), *keys, "n")
-    )
-    grid = expected_windows(events, minutes, ts, key)
+    counts = events.filter(F.col(ts).isNotNull()).groupBy(F.floor(second / length).cast("long").alias("_w"), *keys)
+    counts = counts.agg(F.count("*").alias("n"), F.min(second).alias("_first"), F.max(second).alias("_last"))
+    end = F.max("_last") if as_of is None else F.unix_timestamp(as_of if isinstance(as_of, Column) else F.lit(as_of))
+    # the first window that begins at or after the first event, and the last that ends by the end
+    span = counts.agg(
+        F.struct(F.ceil(F.min("_first") / length).cast("long").alias("lo"), (F.floor(end / length) - 1).cast("long").alias("hi")).alias("s")
+    ).scalar()
+    owners = counts.select(*keys).distinct() if key else counts.agg(F.count("*").alias("_n")).filter("_n > 0").select()
+    per_day = DAY // length if DAY % length == 0 else 1
+    days = owners.withColumn("_s", span).filter("_s.lo <= _s.hi")
+    days = days.withColumn("_d", F.explode(F.sequence(F.floor(F.col("_s.lo") / per_day), F.floor(F.col("_s.hi") / per_day))))
+    grid = days.repartition("_d").withColumn("_w", F.explode(F.sequence(F.col("_d") * per_day, F.col("_d") * per_day + per_day - 1)))
+    grid = grid.filter(F.col("_w").between(F.col("_s.lo"), F.col("_s.hi"))).select("_w", *keys)
+    seen = counts.select("_w", *[F.col(k).alias("_k") for k in keys], "n")
+    same = F.col("g._w") == F.col("s._w")
     if key:
-        seen = seen.withColumnRenamed(key, "_k")
-        same = (F.col("g.window_start") == F.col("s.window_start")) & F.col(f"g.{key}").eqNullSafe(F.col("s._k"))
-    else:
-        same = F.col("g.window_start") == F.col("s.window_start")
+        same = same & F.col(f"g.{key}").eqNullSafe(F.col("s._k"))
     joined = grid.alias("g").join(seen.alias("s"), same, "left")
     count = F.coalesce(F.col("s.n"), F.lit(0).cast("long"))
     return joined.select(
-        F.col("g.window_start").alias("window_start"),
+        F.timestamp_seconds(F.col("g._w") * length).alias("window_start"),
         *[F.col(f"g.{k}").alias(k) for k in keys],
         count.alias("event_count"),
-        (count / (minutes * 60)).alias("events_per_second"),
+        (count / length).alias("events_per_second"),
     )
 
 
-def no_events(events: DataFrame, ts: str = "processed_at", minutes: int = 2) -> DataFrame:
-    return windowed_rates(events, minutes, ts).filter(F.col("event_count") == 0)
+def held(failing: DataFrame, minutes: int, hold: int, key: str | None = None) -> DataFrame:
+    """Failing windows whose condition has held for ``hold`` minutes at their end.
+
+    Each failing window counts for itself and the ones after it; a window that all of its
+    predecessors count for has held.
+    """
+    need = max(1, -(-hold // minutes))
+    if need == 1:
+        return failing
+    keys = [key] if key else []
+    length = minutes * 60
+    votes = failing.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(need - 1))))
+    at = F.timestamp_seconds(F.unix_timestamp("window_start") + F.col("_j") * length)
+    own = [F.max(F.when(F.col("_j") == 0, F.col(c))).alias(c) for c in ("event_count", "events_per_second")]
+    voted = votes.withColumn("window_start", at).groupBy("window_start", *keys).agg(F.count("*").alias("_votes"), *own)
+    return voted.filter(F.col("_votes") == need).select(*failing.columns)
+
+
+def no_events(events: DataFrame, ts: str = "processed_at", minutes: int = 2, as_of: datetime | Column | None = None, hold: int = 0) -> DataFrame:
+    return held(windowed_rates(events, minutes, ts, as_of=as_of).filter(F.col("event_count") == 0), minutes, hold)
 
 
-def low_rate(events: DataFrame, ts: str = "processed_at", minutes: int = 5, below: float = 0.5) -> DataFrame:
-    return windowed_rates(events, minutes, ts).filter(F.col("events_per_second") < below)
+def low_rate(
+    events: DataFrame, ts: str = "processed_at", minutes: int = 5, below: float = 0.5, as_of: datetime | Column | None = None, hold: int = 0
+) -> DataFrame:
+    return held(windowed_rates(events, minutes, ts, as_of=as_of).filter(F.col("events_per_second") < below), minutes, hold)
 
 
-def silent_datasets(events: DataFrame, ts: str = "processed_at", minutes: int = 5, key: str = "source_dataset") -> DataFrame:
-    return windowed_rates(events, minutes, ts, key).filter(F.col("event_count") == 0)
+def silent_datasets(
+    events: DataFrame, ts: str = "processed_at", minutes: int = 5, key: str = "source_dataset", as_of: datetime | Column | None = None, hold: int = 0
+) -> DataFrame:
+    return held(windowed_rates(events, minutes, ts, key, as_of).filter(F.col("event_count") == 0), minutes, hold, key)

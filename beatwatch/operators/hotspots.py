@@ -51,8 +51,8 @@ def cluster_stats(clustered: DataFrame, kind: str = "primary_type", lat: str = "
 
 
 def with_centroids(stats: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Inner join on cluster_id. ``centroids`` is the model's k rows, so it is broadcast."""
-    return stats.join(F.broadcast(centroids), "cluster_id")
+    """Inner join on cluster_id; the engine broadcasts a side that is small enough."""
+    return stats.join(centroids, "cluster_id")
 
 
 def hotspots(crimes: DataFrame, k: int = 10, **options) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Keyed dedup and a skew-proof left join."""
+"""Keyed dedup and a left join that heavy keys do not skew."""
 
 from __future__ import annotations
 
@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def one_per_key(df: DataFrame, key: str, order_by: list[str]) -> DataFrame:
     """One row per key: the smallest by ``order_by``, then by the remaining columns.
 
-    An aggregate, not a row_number window, so copies of a hot key are merged before the shuffle.
+    An aggregate, not a row_number window, so copies of a hot key are merged before the shuffle, by
+    sorting each task's rows, as text has no hashed minimum.
     """
     rest = [c for c in df.columns if c != key and c not in order_by]
     kept = F.min(F.struct(*order_by, *rest)).alias("_kept")
@@ -31,26 +32,16 @@ def heavy_keys(df: DataFrame, key: str, share: float = 0.01, tracked: int = 10_0
     )
 
 
-def salted_left_join(left: DataFrame, right: DataFrame, key: str, salts: int = 64, share: float = 0.01) -> DataFrame:
+def left_join_one(left: DataFrame, right: DataFrame, key: str, share: float = 0.01) -> DataFrame:
     """``left`` join ``right`` on ``key`` where the right side holds one row per key.
 
-    Rows of a heavy left key, and of the null key that never matches, are dealt over ``salts``
-    partitions; the right rows of heavy keys (at most ``1 / share``) are repeated once per salt.
-    Salts come from row positions, so ``left`` should be a table scan or a written table.
+    The heavy left keys, at most ``1 / share`` values, are found once, by a job, and stand in the plan as
+    literals. Their rows, and those of the null key that never matches, stay where they are and meet the few
+    right rows of these keys by broadcast; the rest meets on ``key``. Which keys are found heavy
+    never changes the result.
     """
-    heavy = heavy_keys(left, key, share).withColumn("_heavy", F.lit(True))
-    dealt = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
-    spread = F.col("_heavy").isNotNull() | F.col(key).isNull()
-    lhs = (
-        left.join(F.broadcast(heavy), key, "left")
-        .withColumn("_salt", F.when(spread, dealt).otherwise(F.lit(0)))
-        .drop("_heavy")
-    )
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    rhs = (
-        right.filter(F.col(key).isNotNull())
-        .join(F.broadcast(heavy), key, "left")
-        .withColumn("_salt", F.explode(F.when(F.col("_heavy").isNotNull(), every).otherwise(F.array(F.lit(0)))))
-        .drop("_heavy")
-    )
-    return lhs.join(rhs, [key, "_salt"], "left").drop("_salt")
+    heavy = [r[0] for r in heavy_keys(left, key, share).filter(F.col(key).isNotNull()).collect()]
+    is_heavy = F.col(key).isin(heavy) if heavy else F.lit(False)
+    usual = left.filter(F.col(key).isNotNull() & ~is_heavy).join(right.filter(F.col(key).isNotNull() & ~is_heavy), key, "left")
+    spread = left.filter(F.col(key).isNull() | is_heavy).join(F.broadcast(right.filter(is_heavy)), key, "left")
+    return usual.unionByName(spread)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beatwatch.functions.text import flag, truthy
-from beatwatch.operators.joins import one_per_key, salted_left_join
+from beatwatch.operators.joins import one_per_key, left_join_one
 
 
 def ratio(part: Column | str, whole: Column | str, digits: int = 4) -> Column:
@@ -31,7 +31,7 @@ def flag_rate(
 def with_race(crimes: DataFrame, arrests: DataFrame) -> DataFrame:
     """Every crime row with the race of its case's arrest, where there is one."""
     races = one_per_key(arrests.select("case_number", "arrest_date", "cb_no", "race"), "case_number", ["arrest_date", "cb_no"])
-    return salted_left_join(crimes, races.select("case_number", "race"), "case_number")
+    return left_join_one(crimes, races.select("case_number", "race"), "case_number")
 
 
 def arrest_rates(crimes: DataFrame, arrests: DataFrame) -> DataFrame:

@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beatwatch.functions.severity import CRITICAL_FROM
 from beatwatch.functions.text import flag
 
-_EXACT_TYPES = ("tinyint", "smallint", "int", "bigint")
+_UNIT_MS = {"millisecond": 1, "second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000, "week": 604_800_000}
 
 
 def _late(df: DataFrame, ts: str, watermark: str | None) -> DataFrame:
     return df.withWatermark(ts, watermark) if df.isStreaming and watermark else df
 
 
-def _panes(df: DataFrame, ts: str, slide: str | None, keys: list[str], partials: list[Column]) -> DataFrame:
-    """Counts per slide-long pane. A sliding window is a run of whole panes, so merging panes gives
-    the window without first copying every row into each window it belongs to."""
-    pane = F.window(ts, slide)
+def _length(text: str) -> int:
+    """Milliseconds of a length such as '2 minutes'."""
+    number, unit = text.split()
+    return int(number) * _UNIT_MS[unit.lower().rstrip("s")]
+
+
+def _panes(df: DataFrame, ts: str, size: str, slide: str, keys: list[str], partials: list[Column]) -> DataFrame:
+    """Partials per pane, as long as the greatest common divisor of size and slide. A sliding window is a run of
+    whole panes, so merging panes gives the window without copying every row into each window it belongs to."""
+    pane = F.window(ts, f"{gcd(_length(size), _length(slide))} milliseconds")
     return df.groupBy(pane.alias("_pane"), *keys).agg(*partials).withColumn(ts, F.col("_pane.start")).drop("_pane")
 
 
@@ -52,11 +60,11 @@ def sliding_stats(
 ) -> DataFrame:
     """Count, mean, sample standard deviation and maximum per window and key.
 
-    A batch frame with an integer measure is merged from panes: integer sums make that exact.
+    A batch frame is merged from panes by sums of the measure and its square, in double: exact for whole
+    numbers up to 2^53 in the sum of squares; for others good while the mean is not millions of deviations.
     """
-    whole = not events.isStreaming and dict(events.dtypes)[measure] in _EXACT_TYPES
-    if whole:
-        x = F.col(measure).cast("bigint")
+    if not events.isStreaming:
+        x = F.col(measure).cast("double")
         partials = [
             F.count("event_id").alias("_c"),
             F.count(x).alias("_n"),
@@ -64,7 +72,7 @@ def sliding_stats(
             F.sum(x * x).alias("_q"),
             F.max(measure).alias("_m"),
         ]
-        rows = _panes(events, ts, slide, [key], partials).groupBy(F.window(ts, size, slide).alias("w"), key)
+        rows = _panes(events, ts, size, slide, [key], partials).groupBy(F.window(ts, size, slide).alias("w"), key)
         sums = rows.agg(*[F.sum(c).alias(c) for c in ("_c", "_n", "_s", "_q")], F.max("_m").alias("max_severity"))
         n, s, q = (F.col(c).cast("double") for c in ("_n", "_s", "_q"))
         stats = sums.select(
@@ -105,6 +113,7 @@ def score(stats: DataFrame, above: float = 2.0, lone_max: float = CRITICAL_FROM)
 
 def zscore_alerts(scored: DataFrame, now: Column | None = None) -> DataFrame:
     """(key, value) alert messages, figures rounded to two digits."""
+    # fixed values: the fields of the message
     detected = now if now is not None else F.unix_millis(F.current_timestamp())
     return scored.select(
         F.col("district").alias("key"),
@@ -144,7 +153,7 @@ def volume_windows(
     else:
         merged = [F.sum("event_count").alias("event_count"), F.min("window_first_event").alias("window_first_event")]
         merged.append(F.max("window_last_event").alias("window_last_event"))
-        panes = _panes(events, ts, slide, list(keys), firsts)
+        panes = _panes(events, ts, size, slide, list(keys), firsts)
         rows = panes.groupBy(F.window(ts, size, slide).alias("w"), *keys).agg(*merged)
     return rows.select(
         *keys,
@@ -170,6 +179,7 @@ def volume_anomalies(windows: DataFrame, threshold: int = 50, now: Column | None
 
 def volume_alerts(anomalies: DataFrame) -> DataFrame:
     """(key, value) alert messages."""
+    # fixed values: the fields of the message
     fields = ("source_dataset", "district", "window_start", "window_end", "event_count", "threshold", "detected_at", "alert_severity")
     body = F.struct(F.lit("volume_threshold").alias("alert_type"), *fields)
     return anomalies.select(F.col("district").alias("key"), F.to_json(body).alias("value"))

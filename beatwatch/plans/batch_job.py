@@ -14,7 +14,7 @@ from beatwatch.operators.trends import crime_trends
 from beatwatch.operators.violence import top_communities, violence_analysis
 from beatwatch.session import build_session, shared_dir
 from beatwatch.sinks.tables import overwrite_table
-from beatwatch.sources.csv_files import find_csv, land, project
+from beatwatch.sources.csv_files import find_csv, land_counted, project, split_corrupt
 
 # The part of each dataset's file name that identifies it.
 FILE_KEYWORDS = {
@@ -26,13 +26,21 @@ FILE_KEYWORDS = {
 }
 
 
-def load_raw(spark: SparkSession, data_dir: str, landing: str | None = None, partitions: int | None = None) -> dict[str, DataFrame]:
-    """Read the five datasets once into Parquet; a multi-line CSV would be re-read by every table."""
+def load_raw(
+    spark: SparkSession, data_dir: str, landing: str | None = None, partitions: int | None = None
+) -> tuple[dict[str, DataFrame], dict[str, dict[str, int]]]:
+    """The well-formed rows of the five datasets, and how many rows were read and malformed in each.
+
+    Each CSV is read once into Parquet over ``partitions`` tasks (default: twice the cores); a multi-line
+    CSV is one task and would be re-read by every table. Malformed rows stay in the landed table.
+    """
     landing = landing or shared_dir(spark, "landing")
-    return {
-        dataset: land(project(find_csv(spark, data_dir, word, dataset), dataset), f"{landing}/{dataset}", partitions)
-        for dataset, word in FILE_KEYWORDS.items()
-    }
+    rows, counts = {}, {}
+    for dataset, word in FILE_KEYWORDS.items():
+        raw = project(find_csv(spark, data_dir, word, dataset, keep_corrupt=True), dataset)
+        landed, counts[dataset] = land_counted(raw, f"{landing}/{dataset}", partitions or 2 * spark.sparkContext.defaultParallelism)
+        rows[dataset], _ = split_corrupt(landed)
+    return rows, counts
 
 
 def result_tables(raw: dict[str, DataFrame], k: int = 10, min_crimes: int = 100) -> dict[str, DataFrame]:
@@ -53,8 +61,15 @@ def result_tables(raw: dict[str, DataFrame], k: int = 10, min_crimes: int = 100)
 
 
 def run(spark: SparkSession, data_dir: str, out: str, k: int = 10, min_crimes: int = 100, jdbc: dict[str, str] | None = None, partitions: int | None = None) -> list[str]:
-    """Write every table; returns their names."""
-    tables = result_tables(load_raw(spark, data_dir, partitions=partitions), k, min_crimes)
+    """Write every table, and the dead letters and row counts of each dataset; returns the tables' names."""
+    landing = f"{out.rstrip('/')}/landing"
+    raw, counts = load_raw(spark, data_dir, landing, partitions)
+    for dataset in FILE_KEYWORDS:
+        _, bad = split_corrupt(spark.read.parquet(f"{landing}/{dataset}"))
+        bad.write.mode("overwrite").parquet(f"{out.rstrip('/')}/malformed/{dataset}")
+    read = [(name, c["read"], c["malformed"]) for name, c in counts.items()]
+    spark.createDataFrame(read, "dataset string, read long, malformed long").coalesce(1).write.mode("overwrite").parquet(f"{out.rstrip('/')}/row_counts")
+    tables = result_tables(raw, k, min_crimes)
     for name, df in tables.items():
         overwrite_table(df, out, name, jdbc)
     return list(tables)
@@ -67,9 +82,10 @@ def main() -> None:
     args.add_argument("--clusters", type=int, default=10)
     args.add_argument("--min-crimes", type=int, default=100)
     args.add_argument("--landing-partitions", type=int)
+    args.add_argument("--jdbc", nargs="*", default=[], metavar="OPTION=VALUE", help="also write the tables over JDBC, with these writer options")
     given = args.parse_args()
     spark = build_session("beatwatch-batch")
-    run(spark, given.data_dir, given.out, given.clusters, given.min_crimes, partitions=given.landing_partitions)
+    run(spark, given.data_dir, given.out, given.clusters, given.min_crimes, dict(o.split("=", 1) for o in given.jdbc) or None, given.landing_partitions)
 
 
 if __name__ == "__main__":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from beatwatch.functions import labels, severity, text, times
@@ -520,7 +520,7 @@ ORDER BY total_crimes DESC, group_key LIMIT 10""",
 )
 def _(t: Tables) -> DataFrame:
     table = correlate.correlations(t.crimes, t.violence, t.offenders)
-    return correlate.complete_correlations(correlate.correlations_of(table, k=1000))
+    return correlate.complete_correlations(correlate.of_kind(table))
 
 
 @register(
@@ -559,21 +559,44 @@ def _(t: Tables) -> DataFrame:
     return capped.select("o_orderkey", "o_orderpriority").join(first, "o_orderkey", "left")
 
 
-# Clustering (no SQL check: an iterative fit; tests compare with brute force) -------------------
+# Clustering: a fit has no SQL form, but what must hold of any fit has ------------------------------
 
+VALID_POINTS = "points WHERE TRY_CAST(latitude AS DOUBLE) IS NOT NULL AND TRY_CAST(longitude AS DOUBLE) IS NOT NULL"
+K = 10
 
-@register("ml1")
+
+def _distances(centres: list) -> list[Column]:
+    """Squared distance of a row to each of the model's centres, which stand in the plan as literals."""
+    return [F.pow(F.col("latitude") - float(c[0]), 2) + F.pow(F.col("longitude") - float(c[1]), 2) for c in centres]
+
+
+@register("ml1", f"SELECT count(*) AS points, CAST(0 AS BIGINT) AS misplaced, CAST({K} AS BIGINT) AS clusters FROM {VALID_POINTS}", "points")
 def _(t: Tables) -> DataFrame:
+    """Points, those that are nearer to another centre than to their own, and clusters that have points."""
     points = enrich.with_coordinates(t.points)
-    return _tally(hotspots.assign_clusters(points, hotspots.fit_hotspots(points)), "cluster_id")
+    model = hotspots.fit_hotspots(points, K)
+    away = _distances(model.clusterCenters())
+    own = F.element_at(F.array(*away), F.col("cluster_id") + 1)
+    misplaced = F.count_if(own > F.least(*away) + 1e-9)
+    return hotspots.assign_clusters(points, model).agg(F.count("*").alias("points"), misplaced.alias("misplaced"), F.countDistinct("cluster_id").alias("clusters"))
 
 
-@register("ml2")
+@register("ml2", f"SELECT count(*) AS points, CAST({K} AS BIGINT) AS centres, CAST(0 AS BIGINT) AS off_centre FROM {VALID_POINTS}", "points")
 def _(t: Tables) -> DataFrame:
+    """Centres of a fit that has settled, and those away from the mean of their members."""
     points = enrich.with_coordinates(t.points)
-    return hotspots.centroid_table(points, hotspots.fit_hotspots(points))
+    model = hotspots.fit_hotspots(points, K, max_iter=500)
+    means = hotspots.assign_clusters(points, model).groupBy("cluster_id").agg(F.count("*").alias("n"), F.avg("latitude").alias("lat"), F.avg("longitude").alias("lon"))
+    both = means.join(hotspots.centroid_table(points, model), "cluster_id")
+    off = (F.abs(F.col("lat") - F.col("centroid_lat")) > 0.5) | (F.abs(F.col("lon") - F.col("centroid_lon")) > 0.5)
+    return both.agg(F.sum("n").alias("points"), F.count("*").alias("centres"), F.count_if(off).alias("off_centre"))
 
 
-@register("ml3")
+@register("ml3", f"SELECT count(*) AS points, CAST({K} AS BIGINT) AS hotspots, CAST(0 AS BIGINT) AS out_of_order FROM {VALID_POINTS}", "points")
 def _(t: Tables) -> DataFrame:
-    return hotspots.ranked_hotspots(hotspots.hotspots(t.points))
+    """Points in the ranked hotspots, and hotspots that stand above a larger one."""
+    ranked = hotspots.ranked_hotspots(hotspots.hotspots(t.points, K))
+    above = F.lag("crime_count").over(Window.orderBy(F.desc("crime_count"), F.asc("cluster_id")))
+    return ranked.withColumn("above", above).agg(
+        F.sum("crime_count").alias("points"), F.count("*").alias("hotspots"), F.count_if(F.col("above") < F.col("crime_count")).alias("out_of_order")
+    )

@@ -28,7 +28,9 @@ def _write_csv(df: DataFrame, path: str) -> str:
 
 
 def _with_headers(df: DataFrame, dataset: str) -> DataFrame:
-    return df.select(*[F.col(c).alias(h) for h, c in RAW_COLUMNS[dataset].items()])
+    """As published: the columns in another order and among others."""
+    own = [F.col(c).alias(h) for h, c in RAW_COLUMNS[dataset].items()]
+    return df.select(F.lit("7").alias("ID"), *reversed(own), F.lit("(41.8, -87.6)").alias("Location"))
 
 
 def _offender_csv(t: Tables, name: str) -> tuple[str, str]:
@@ -80,7 +82,7 @@ def _(t: Tables) -> DataFrame:
 
 
 # A station line with one field too many or too few for some suppliers.
-STATION_LINE = """district || ',' || district_name || ',' || address || CASE WHEN district = '7' THEN '' WHEN district = '9' THEN ',1,2,3' ELSE ',41.5,-87.5' END"""
+STATION_LINE = """district || ',' || 'x' || ',' || district_name || ',' || address || CASE WHEN district = '7' THEN '' WHEN district = '9' THEN ',1,2,3' ELSE ',41.5,-87.5' END"""
 
 
 @register(
@@ -91,7 +93,8 @@ STATION_LINE = """district || ',' || district_name || ',' || address || CASE WHE
 def _(t: Tables) -> DataFrame:
     path = f"{t.work_dir('csv')}/stations.csv"
     # one column named like the header line; a tab as separator leaves its commas alone
-    lines = t.stations.select(F.expr(STATION_LINE).alias(",".join(RAW_COLUMNS["police-stations"])))
+    first, *rest = RAW_COLUMNS["police-stations"]
+    lines = t.stations.select(F.expr(STATION_LINE).alias(",".join([first, "WEBSITE", *rest])))
     lines.write.option("header", True).option("sep", "\t").csv(path)
     raw = csv_files.read_csv(t.spark, path, raw_schema("police-stations"), keep_corrupt=True)
     raw = csv_files.land(csv_files.project(raw, "police-stations"), t.work_dir("landed"))
@@ -318,13 +321,13 @@ def _(t: Tables) -> DataFrame:
 @register(
     "src8",
     f"""SELECT {GOLD_EVENT}, CASE WHEN crime_type <> '' THEN crime_type ELSE injury_type END AS event_label,
-  epoch_us(processed_at) // 1000 AS processed_timestamp_api FROM gold WHERE severity >= 3 AND CAST(event_id AS BIGINT) % 29 <> 0 AND source_dataset IS NOT NULL""",
+  epoch_us(processed_at) // 1000 AS processed_timestamp_api FROM gold WHERE severity >= 3 AND CAST(event_id AS BIGINT) % 29 <> 0""",
     "gold",
 )
 def _(t: Tables) -> DataFrame:
     from beatwatch.functions.labels import event_label
 
-    enriched = t.gold.filter("severity >= 3 and source_dataset is not null").withColumn("event_label", event_label("crime_type", "injury_type"))
+    enriched = t.gold.filter("severity >= 3").withColumn("event_label", event_label("crime_type", "injury_type"))
     messages = alert_messages(enriched)
     # some messages arrive cut off; the reader skips them
     broken = messages.withColumn(

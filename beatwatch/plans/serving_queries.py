@@ -178,7 +178,7 @@ def slid(source: str, ts: str, size: int, slide: int) -> str:
     """Each row once per sliding window it lies in, as SQL (sizes in minutes)."""
     base = f"time_bucket(INTERVAL {slide} MINUTES, {ts}, TIMESTAMP '1970-01-01') - to_minutes(i * {slide})"
     return f"""slid AS (SELECT s.*, {base} AS window_start, {base} + INTERVAL {size} MINUTES AS window_end
-  FROM {source} s, range(0, {size // slide}) k(i))"""
+  FROM {source} s, range(0, {-(-size // slide)}) k(i) WHERE {ts} < {base} + INTERVAL {size} MINUTES)"""
 
 
 STATS = """stats AS (SELECT district, window_start, window_end, count(event_id) AS window_count, avg(m) AS mean_severity,
@@ -250,28 +250,56 @@ def _(t: Tables) -> DataFrame:
 # Stream health ------------------------------------------------------------------------------
 
 
-def grid(minutes: int, keyed: bool) -> str:
-    """Every window of the span (per dataset), with its count, as SQL."""
+AS_OF = "2024-01-31 06:01:00"
+
+
+def grid(minutes: int, keyed: bool, failing: str, hold: int) -> str:
+    """Every whole window up to AS_OF (per dataset) with its count, and the failing ones that have held, as SQL."""
     bucket = f"time_bucket(INTERVAL {minutes} MINUTES, processed_at, TIMESTAMP '1970-01-01')"
+    length = f"INTERVAL {minutes} MINUTES"
     key = "source_dataset" if keyed else "1 AS one"
     name = "source_dataset" if keyed else "one"
-    return f"""grid AS (SELECT window_start, {name} FROM (SELECT unnest(generate_series(
-    (SELECT min({bucket}) FROM gold), (SELECT max(processed_at) FROM gold), INTERVAL {minutes} MINUTES)) AS window_start), (SELECT DISTINCT {key} FROM gold)),
+    need = max(1, -(-hold // minutes))
+    return f"""first AS (SELECT min({bucket}) AS b, min(processed_at) AS t FROM gold),
+grid AS (SELECT window_start, {name} FROM (SELECT unnest(generate_series((SELECT CASE WHEN t > b THEN b + {length} ELSE b END FROM first),
+    TIMESTAMP '{AS_OF}' - {length}, {length})) AS window_start), (SELECT DISTINCT {key} FROM gold)),
 seen AS (SELECT {bucket} AS window_start, {key}, count(*) AS n FROM gold GROUP BY 1, 2),
 rates AS (SELECT g.window_start, g.{name}, coalesce(n, 0) AS event_count, coalesce(n, 0) / {minutes * 60} AS events_per_second
-  FROM grid g LEFT JOIN seen s ON g.window_start = s.window_start AND g.{name} IS NOT DISTINCT FROM s.{name})"""
+  FROM grid g LEFT JOIN seen s ON g.window_start = s.window_start AND g.{name} IS NOT DISTINCT FROM s.{name}),
+run AS (SELECT *, sum(CASE WHEN {failing} THEN 1 ELSE 0 END) OVER (PARTITION BY {name} ORDER BY window_start ROWS BETWEEN {need - 1} PRECEDING AND CURRENT ROW) AS held FROM rates)
+SELECT * EXCLUDE (held{'' if keyed else ', one'}) FROM run WHERE held = {need}"""
+
+
+def as_of() -> Column:
+    return F.lit(AS_OF).cast("timestamp")
+
+
+@register("str14", f"WITH {grid(5, True, 'event_count = 0', 5)}", "gold")
+def _(t: Tables) -> DataFrame:
+    return health.silent_datasets(t.gold, as_of=as_of(), hold=5)
 
 
-@register("str14", f"WITH {grid(5, True)} SELECT * FROM rates WHERE event_count = 0", "gold")
+@register("str14b", f"WITH {grid(2, False, 'event_count = 0', 3)}", "gold")
 def _(t: Tables) -> DataFrame:
-    return health.silent_datasets(t.gold)
+    return health.no_events(t.gold, as_of=as_of(), hold=3)
 
 
-@register("str14b", f"WITH {grid(2, False)} SELECT * EXCLUDE (one) FROM rates WHERE event_count = 0", "gold")
+@register("str14c", f"WITH {grid(5, False, 'events_per_second < 0.005', 10)}", "gold")
 def _(t: Tables) -> DataFrame:
-    return health.no_events(t.gold)
+    return health.low_rate(t.gold, below=0.005, as_of=as_of(), hold=10)
 
 
-@register("str14c", f"WITH {grid(5, False)} SELECT * EXCLUDE (one) FROM rates WHERE events_per_second < 0.005", "gold")
+# Windows whose size is no multiple of the slide ------------------------------------------------
+
+
+ODD = slid("valid", "event_time", 7, 3)
+
+
+@register(
+    "str5c",
+    f"""WITH {VALID}, {ODD} SELECT source_dataset, district, window_start, window_end, count(*) AS event_count, min(kafka_timestamp) AS window_first_event,
+  max(kafka_timestamp) AS window_last_event FROM slid GROUP BY 1, 2, 3, 4""",
+    "gold",
+)
 def _(t: Tables) -> DataFrame:
-    return health.low_rate(t.gold, below=0.005)
+    return windows.volume_windows(valid_gold(t), size="7 minutes", slide="3 minutes")

@@ -23,7 +23,7 @@ from beatwatch.sinks.tables import newest_per_key, overwrite_table, read_batches
 from beatwatch.sinks.topics import TopicTarget, alert_messages, on_topic, raw_messages
 from beatwatch.sources import topics
 from beatwatch.sources.tables import read_table
-from beatwatch.streaming.batches import Outputs, to_console, to_table
+from beatwatch.streaming.batches import Outputs, to_table
 from beatwatch.streaming.queries import start_counters, start_main, start_malformed, start_metrics, start_volume, start_zscore
 
 ONCE = {"availableNow": True}
@@ -381,11 +381,13 @@ def _(t: Tables) -> DataFrame:
 
 @register("snk7", COUNTERS, "gold")
 def _(t: Tables) -> DataFrame:
-    """The counters as shown on the console: the last batch's rows."""
-    shown: dict[int, list] = {}
+    """The counters that the console shows, whole, from a table: the last batch's rows."""
+    out = t.work_dir("counters")
     with state_partitions(t.spark):
-        drain(start_counters(gold_stream(t), None, t.work_dir("checkpoint"), to_console(100, shown.__setitem__), **ONCE))
-    return t.spark.createDataFrame(shown[max(shown)], "severity string, dataset string, events_total bigint")
+        drain(start_counters(gold_stream(t), out, t.work_dir("checkpoint"), **ONCE))
+    rows = read_batches(t.spark, out)
+    last = rows.agg(F.max("batch_id").alias("b")).scalar()
+    return rows.filter(F.col("batch_id") == last).select("severity", "dataset", "events_total")
 
 
 @register("snk8", f"SELECT invalid_reason, count(*) AS n FROM ({MALFORMED}) GROUP BY 1", "gold")

@@ -16,8 +16,6 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # HotSpot interprets methods above 8000 bytes of bytecode; such stages run faster unfused
-    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,25 +24,44 @@ FILE_RULES = (
 )
 
 
+def _reader(spark: SparkSession) -> DataFrameReader:
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE")
+
+
+def files_by_header(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The files under ``path`` by their header; for each file one job that reads its first record. Files without a line are left out."""
+    found: dict[tuple[str, ...], list[str]] = {}
+    for file in sorted(spark.read.format("text").load(path).inputFiles()):
+        header = tuple(_reader(spark).csv(file).columns)
+        if header:
+            found.setdefault(header, []).append(file)
+    return found
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, keep_corrupt: bool = False) -> DataFrame:
-    """All-text CSV with header, multi-line quoted fields and doubled quotes.
+    """The columns of ``schema`` by name from all-text CSV with header, multi-line quoted fields and doubled quotes.
 
-    An empty field is null, quoted or not. A multi-line file cannot be split, so it is one task; ``land`` it once as Parquet and query that.
+    Columns may stand in any order and among others; a missing one is an error. Files with
+    different headers are read apart. An empty field is null, quoted or not. A multi-line file cannot be split, so
+    it is one task; ``land`` it once as Parquet and query that.
     With ``keep_corrupt`` rows with a wrong number of fields carry their text in ``_corrupt_record``.
     """
-    if keep_corrupt:
-        schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    reader = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        # all columns are parsed even when few are asked for, so short rows are always noticed
-        .option("columnPruning", False)
-        .option("columnNameOfCorruptRecord", CORRUPT)
-    )
-    return reader.csv(path)
+    parts = []
+    for header, files in files_by_header(spark, path).items():
+        if missing := [f.name for f in schema if f.name not in header]:
+            raise ValueError(f"{files[0]} has no column {', '.join(missing)}")
+        fields = [T.StructField(name, T.StringType()) for name in header]
+        reader = _reader(spark)
+        if keep_corrupt:
+            fields.append(T.StructField(CORRUPT, T.StringType()))
+            # all columns are parsed even when few are asked for, so short rows are always noticed
+            reader = reader.option("columnPruning", False).option("columnNameOfCorruptRecord", CORRUPT)
+        rows = reader.schema(T.StructType(fields)).csv(files)
+        parts.append(rows.select(*[F.col(f"`{f.name}`") for f in schema], *([CORRUPT] if keep_corrupt else [])))
+    if not parts:
+        empty = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]) if keep_corrupt else schema
+        return spark.createDataFrame([], empty)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def any_case_glob(keyword: str) -> str:

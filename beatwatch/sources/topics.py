@@ -52,8 +52,9 @@ def folder_stream(spark: SparkSession, path: str, pattern: str = RAW_TOPIC_PATTE
 
 def replay(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 100) -> DataFrame:
     """A static Parquet table as a stream of micro-batches. ``path`` may be one file or a folder."""
-    # the trailing star lets the file source take a path that is a single file
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path.rstrip('/')}*")
+    # a pattern lets the file source take a path that is a single file; the class of one letter names just this path
+    whole = path.rstrip("/")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{whole[:-1]}[{whole[-1]}]")
 
 
 def decode_events(messages: DataFrame, codec: str = "json") -> DataFrame:

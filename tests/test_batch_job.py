@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from beatwatch.plans import batch_job
 from beatwatch.plans.registry import Tables
 from beatwatch.schemas import RAW_COLUMNS, TABLES
+from beatwatch.sources.csv_files import find_csv
 from beatwatch.sources.tables import read_table
 
 FILES = {
@@ -25,8 +26,11 @@ def data_dir(spark, tmp_path_factory):
     t = Tables(spark, "/root/testdata/sf0.001")
     frames = {"crimes": t.crimes, "arrests": t.arrests, "violence": t.violence, "sex-offenders": t.offenders, "police-stations": t.stations}
     for dataset, df in frames.items():
-        headed = df.select(*[F.col(c).alias(h) for h, c in RAW_COLUMNS[dataset].items()])
+        # as published: other columns among ours, in another order
+        headed = df.select(F.lit("1").alias("ID"), *reversed([F.col(c).alias(h) for h, c in RAW_COLUMNS[dataset].items()]), F.lit("x, y").alias("Location"))
         headed.toPandas().to_csv(root / FILES[dataset], index=False)
+        with (root / FILES[dataset]).open("a") as out:
+            out.write("too,short\n")
     return str(root)
 
 
@@ -42,6 +46,15 @@ def test_nine_tables_with_their_contracts(spark, data_dir, tmp_path):
     assert read_table(spark, out, "crime_trends").agg(F.sum("crime_count")).first()[0] == crimes
     assert read_table(spark, out, "arrest_rate_analysis").agg(F.sum("total_crimes")).first()[0] == crimes
     assert read_table(spark, out, "hotspots").count() == 4
+    counts = {r["dataset"]: (r["read"], r["malformed"]) for r in spark.read.parquet(f"{out}/row_counts").collect()}
+    assert counts["crimes"] == (crimes + 1, 1) and all(bad == 1 for _, bad in counts.values())
+    assert spark.read.parquet(f"{out}/malformed/crimes").count() == 1
     first = {n: sorted(map(str, read_table(spark, out, n).collect())) for n in names if n != "hotspots"}
     batch_job.run(spark, data_dir, out, k=4, min_crimes=50)
     assert first == {n: sorted(map(str, read_table(spark, out, n).collect())) for n in first}
+
+
+def test_a_missing_column_is_an_error(spark, tmp_path):
+    (tmp_path / "Police_Stations.csv").write_text("DISTRICT,ADDRESS\n1,x\n")
+    with pytest.raises(ValueError, match="no column"):
+        find_csv(spark, str(tmp_path), "tations", "police-stations")

@@ -60,14 +60,14 @@ def test_heavy_keys_are_few_and_found(spark):
 
 
 @pytest.mark.parametrize("broadcast", ["-1", "10485760"])
-def test_salted_left_join_keeps_every_row_once(spark, broadcast):
+def test_left_join_one_keeps_every_row_once(spark, broadcast):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     try:
         df, rows = skewed_cases(spark)
         races = {"hot": "H", **{f"c{i}": f"r{i}" for i in range(0, 400, 2)}}
         right = spark.createDataFrame([*races.items(), (None, "never")], "case_number string, race string")
-        got = joins.salted_left_join(df, right, "case_number", salts=16)
+        got = joins.left_join_one(df, right, "case_number")
         assert got.columns == ["case_number", "i", "race"]
         assert Counter(tuples(got)) == Counter((c, i, races.get(c)) for c, i in rows)
     finally:
@@ -80,7 +80,7 @@ def test_hot_key_is_dealt_over_partitions(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        joined = joins.salted_left_join(df, right, "case_number", salts=16)
+        joined = joins.left_join_one(df, right, "case_number")
         parts = joined.filter("case_number = 'hot'").groupBy(F.spark_partition_id()).count().collect()
         assert len(parts) > 1
     finally:
@@ -301,11 +301,23 @@ def test_panes_equal_native_sliding_windows(spark):
     rows = [(str(i), "hot" if i % 3 == 0 else f"d{i % 4}", i % 5 + 1, START + timedelta(seconds=17 * i)) for i in range(500)]
     df = spark.createDataFrame(rows, "event_id string, district string, severity int, processed_at timestamp")
     exact = windows.sliding_stats(df)
-    native = windows.sliding_stats(df.withColumn("severity", F.col("severity").cast("double")))
+    x = df.groupBy(F.window("processed_at", "2 minutes", "30 seconds").alias("w"), "district").agg(
+        F.count("event_id").alias("window_count"), F.avg("severity").alias("mean_severity"), F.stddev("severity").alias("stddev_severity"), F.max("severity").alias("max_severity")
+    )
+    native = x.withColumn("window_start", F.col("w.start"))
     shown = ["district", "window_start", "window_count", *[F.round(c, 9) for c in ("mean_severity", "stddev_severity", "max_severity")]]
     assert Counter(tuples(exact, *shown)) == Counter(tuples(native, *shown))
 
 
+@pytest.mark.parametrize(("size", "slide"), [("2 minutes", "45 seconds"), ("70 seconds", "1 minute"), ("5 minutes", "1 minute")])
+def test_panes_fit_any_size_and_slide(spark, size, slide):
+    rows = [("a", "1", START + timedelta(seconds=10 * i)) for i in range(90)]
+    df = spark.createDataFrame(rows, "source_dataset string, district string, event_time timestamp").withColumn("kafka_timestamp", F.col("event_time"))
+    got = windows.volume_windows(df, size=size, slide=slide)
+    native = df.groupBy(F.window("event_time", size, slide).alias("w")).count()
+    assert Counter(tuples(got, "window_start", "event_count")) == Counter(tuples(native, "w.start", "count"))
+
+
 @pytest.mark.parametrize(("count", "level"), [(50, None), (51, "MEDIUM"), (100, "MEDIUM"), (101, "HIGH"), (150, "HIGH"), (151, "CRITICAL")])
 def test_volume_thresholds(spark, count, level):
     df = spark.range(count).select(
@@ -325,8 +337,20 @@ def test_health_finds_silence(spark):
     silent = [r["window_start"] for r in health.no_events(df, minutes=2).collect()]
     assert sorted(silent) == [START + timedelta(minutes=m) for m in (4, 6, 8)]
     quiet = {(r["source_dataset"], r["window_start"].minute) for r in health.silent_datasets(df).collect()}
-    assert quiet == {(None, 5), (None, 10), ("a", 5)}
-    assert health.low_rate(df).count() == 3
+    # the windows that the first and the last event cut are not judged
+    assert quiet == {(None, 5), ("a", 5)}
+    assert health.low_rate(df).count() == 1
+
+
+def test_health_sees_an_ongoing_outage(spark):
+    df = gold(spark, [("1", "a", "1", 1, START), ("2", "a", "1", 1, START + timedelta(seconds=130))])
+    now = START + timedelta(minutes=11)
+    assert health.no_events(df, minutes=2).count() == 0
+    silent = sorted(r["window_start"] for r in health.no_events(df, minutes=2, as_of=now).collect())
+    assert silent == [START + timedelta(minutes=m) for m in (4, 6, 8)]
+    late = sorted(r["window_start"] for r in health.no_events(df, minutes=2, as_of=now, hold=3).collect())
+    assert late == [START + timedelta(minutes=m) for m in (6, 8)]
+    assert health.no_events(df.limit(0), minutes=2, as_of=now).count() == 0
 
 
 # Enrichment and clustering ------------------------------------------------------------------------
