@@ -39,7 +39,7 @@ class Settings:
     pieces: int = 4
     segment: int = 64
     hidden: int = 8
-    epochs: int = 4
+    steps: int = 250
     batch: int = 256
     rate: float = 0.02
     seed: int = 7
@@ -169,21 +169,20 @@ def train(names: list[str], text: np.ndarray, lang: np.ndarray, mask: np.ndarray
     draw = np.random.default_rng(settings.seed)
     first = [np.zeros_like(w) for w in net.weights()]
     second = [np.zeros_like(w) for w in net.weights()]
-    n, turn = text.shape[1], 0
-    turns = settings.epochs * max(1, -(-n // settings.batch))
-    for _ in range(settings.epochs):
-        order = draw.permutation(n)
-        for a in range(0, n, settings.batch):
-            at = order[a : a + settings.batch]
-            _, grads = gradients(net, text[:, at], lang[at], mask[:, at])
-            turn += 1
-            size = np.sqrt(sum(float((g * g).sum()) for g in grads))
-            rate = settings.rate * (1 - 0.9 * turn / turns)
-            for w, g, m, v in zip(net.weights(), grads, first, second):
-                g = g * np.float32(min(1.0, 1.0 / (size + 1e-9)))
-                m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                w -= (rate / (1 - 0.9**turn) * m / (np.sqrt(v / (1 - 0.99**turn)) + 1e-8)).astype(np.float32)
+    n = text.shape[1]
+    waiting = np.zeros(0, np.int64)
+    for turn in range(1, settings.steps + 1):
+        if len(waiting) < min(settings.batch, n):
+            waiting = draw.permutation(n)
+        at, waiting = waiting[: settings.batch], waiting[settings.batch :]
+        _, grads = gradients(net, text[:, at], lang[at], mask[:, at])
+        size = np.sqrt(sum(float((g * g).sum()) for g in grads))
+        rate = settings.rate * (1 - 0.9 * turn / settings.steps)
+        for w, g, m, v in zip(net.weights(), grads, first, second):
+            g = g * np.float32(min(1.0, 1.0 / (size + 1e-9)))
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            w -= (rate / (1 - 0.9**turn) * m / (np.sqrt(v / (1 - 0.99**turn)) + 1e-8)).astype(np.float32)
     return net
 
 

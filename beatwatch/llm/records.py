@@ -54,11 +54,11 @@ def frames(data: bytes, at: int = 0, end: int | None = None) -> Iterator[bytes]:
     end = len(data) if end is None else end
     while at < end:
         length = data[at : at + 8]
-        if len(length) < 8 or struct.unpack_from("<I", data, at + 8)[0] != masked(length):
+        if len(data) < at + 16 or struct.unpack_from("<I", data, at + 8)[0] != masked(length):
             raise ValueError(f"broken frame length at {at}")
         size = struct.unpack("<Q", length)[0]
         body = data[at + 12 : at + 12 + size]
-        if len(body) < size or struct.unpack_from("<I", data, at + 12 + size)[0] != masked(body):
+        if len(data) < at + 16 + size or struct.unpack_from("<I", data, at + 12 + size)[0] != masked(body):
             raise ValueError(f"broken frame body at {at}")
         yield body
         at += size + 16

@@ -135,3 +135,16 @@ def quality(docs: DataFrame, *, most: Mapping[int, float] = MOST_COVERED, most_l
                 yield pa.RecordBatch.from_pydict(columns)
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, SCHEMA)
+
+
+def keep_good(docs: DataFrame, *, most: Mapping[int, float] = MOST_COVERED, most_line_chars: float = MOST_LINE_CHARS) -> DataFrame:
+    """The rows of ``docs`` that ``quality`` keeps, with all their columns."""
+    most = dict(most)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, end, data, offsets in chunks(batch.column("text")):
+                kept = measure(data, offsets, most, most_line_chars)["kept"]
+                yield batch.slice(row, end - row).filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)

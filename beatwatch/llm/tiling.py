@@ -195,3 +195,10 @@ def contaminated(docs: DataFrame, items: DataFrame, *, least: int = SEED, covera
     )
     bad = F.size("item_ids") > 0
     return full.withColumn("contaminated", bad).withColumn("kept", ~bad)
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, *, least: int = SEED, coverage: float = COVERAGE) -> DataFrame:
+    """The rows of ``docs`` whose doc_id holds no benchmark item, with all columns; a null doc_id stays."""
+    tiled, _ = matches(docs, items, least=least, coverage=coverage)
+    bad = tiled.filter(F.col("coverage") >= coverage).select("doc_id").distinct()
+    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
