@@ -51,7 +51,9 @@ def op4_anchor_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetition measures and verdict of every document."""
-    return repetition.quality(documents(spark, sf_dir))
+    found = repetition.quality(documents(spark, sf_dir))
+    covered = [F.col("covered")[i].alias(f"covered_{n}") for i, n in enumerate(repetition.MOST_COVERED)]
+    return found.select(*[c for c in found.columns if c != "covered"], *covered)
 
 
 def op6_recompression_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
