@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -10,25 +9,18 @@ from pyspark.sql import functions as F
 
 from beatwatch.session import shared_dir
 
-# A bucket of this many rows or fewer is ranked without a thought; larger ones are cut finer.
-BUCKET_ROWS = 100_000
-# Up to this many (group, bucket) states are broadcast; more are met by a shuffle on both keys.
-FEW_STATES = 1_000_000
-
 
 def cap_rows(df: DataFrame, group: str, key: str, n: int, total: int | None = None, digits: int = 4) -> DataFrame:
     """Keep n rows per group, then at most ``total`` rows in all, in the order of the key's digest.
 
-    The digest is uniform, so its first hex digits cut every group, however large, into even
-    buckets: as few as keep each below ``BUCKET_ROWS``, at most ``16 ** digits``. The bucket
-    counts, one narrow scan kept as a small table, tell which buckets are kept whole and where each
-    cap falls; only the rows of those last buckets are ranked. ``key`` must be unique within a group.
+    The digest is uniform, so its first hex digits cut every group, however large, into ``16 ** digits``
+    even buckets. The bucket counts, one narrow scan kept as a small table, tell which buckets are kept
+    whole and where each cap falls; only the rows of those last buckets are ranked, the 65,536th part of a group at
+    the default. ``key`` must be unique within a group.
     """
     spark, names = df.sparkSession, df.columns
-    # no group is larger than the table, so its row count bounds every bucket
-    width = min(digits, max(1, math.ceil(math.log(max(df.count(), 1) / BUCKET_ROWS, 16))))
     digest = F.md5(F.col(key).cast("string").cast("binary"))
-    marked = df.withColumn("_digest", digest).withColumn("_bucket", F.substring("_digest", 1, width))
+    marked = df.withColumn("_digest", digest).withColumn("_bucket", F.substring("_digest", 1, digits))
 
     stored = shared_dir(spark, "bucket-counts")
     marked.groupBy(group, "_bucket").agg(F.count("*").alias("_rows")).write.parquet(stored)
@@ -54,8 +46,7 @@ def cap_rows(df: DataFrame, group: str, key: str, n: int, total: int | None = No
         (F.col("_fit") >= F.col("_rows")).alias("_group_whole"),
         (~spans_total).alias("_total_whole"),
     )
-    few = states.count() <= FEW_STATES
-    placed = _null_safe_join(marked, F.broadcast(states) if few else states, [group, "_bucket"])
+    placed = _null_safe_join(marked, states, [group, "_bucket"])
 
     whole = F.col("_group_whole") & F.col("_total_whole")
     in_group = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy("_digest", key))

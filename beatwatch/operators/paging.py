@@ -9,29 +9,8 @@ from pyspark.sql import functions as F
 
 from beatwatch.operators.summaries import clamp
 
-HISTORY_COLUMNS = [
-    "event_id",
-    "source_dataset",
-    "victim_id",
-    "incident_date",
-    "incident_time",
-    "location",
-    "district",
-    "beat",
-    "crime_type",
-    "injury_type",
-    "event_label",
-    "severity",
-    "latitude",
-    "longitude",
-    "is_arrest",
-    "processed_timestamp",
-    "processed_at",
-    "is_alert",
-]
-
-# Up to this many rows a page is a plain top-k: each task keeps that many and the driver merges them.
-SHALLOW_ROWS = 10_000
+# deep_page stops counting when no more than this many rows are left for its top-k
+LEFT_ROWS = 10_000
 
 
 def event_history(
@@ -44,12 +23,13 @@ def event_history(
     max_limit: int = 500,
     default_limit: int = 50,
 ) -> DataFrame:
-    """One page of events, newest first, ties by key; deep pages do not sort the table."""
+    """One page of events, newest first, ties by key: a lazy top-k, which runs no job of its own.
+
+    Its cost grows with ``offset``; ``deep_page`` is the form for pages far from the newest end.
+    """
     rows = events.filter(F.col("source_dataset") == dataset) if dataset else events
     size, skip = clamp(limit, max_limit, default_limit), max(offset, 0)
-    if skip + size <= SHALLOW_ROWS:
-        return rows.orderBy(F.desc(ts), F.asc(key)).offset(skip).limit(size)
-    return deep_page(rows, skip, size, ts, key)
+    return rows.orderBy(F.desc(ts), F.asc(key)).offset(skip).limit(size)
 
 
 def recent_alerts(
@@ -107,20 +87,20 @@ def _narrow_time(rows: DataFrame, ts: str, step: tuple[str, str], skip: int, siz
 def deep_page(rows: DataFrame, skip: int, size: int, ts: str = "processed_at", key: str = "event_id") -> DataFrame:
     """A page far from the newest end: count by day, hour, second, instant, then by key range.
 
-    Each step reads the rows of the step before and keeps only the buckets the page touches, so
+    Runs a job for each step while the page is built. Each step reads the rows of the step before and keeps only the buckets the page touches, so
     few rows are left for the final top-k even when one instant holds a large share.
     """
     left, inner, kept = rows, skip, None
     for step in _TIME_STEPS:
         left, inner, kept = _narrow_time(left, ts, step, inner, size)
-        if kept <= SHALLOW_ROWS:
+        if kept <= LEFT_ROWS:
             break
-    if kept > SHALLOW_ROWS and dict(rows.dtypes)[key] == "string":
+    if kept > LEFT_ROWS and dict(rows.dtypes)[key] == "string":
         for width in (2, 4, 8, 16, 32, 64):
             left, inner, kept = _narrow_ties(left, ts, F.substring(key, 1, width), inner, size)
-            if kept <= SHALLOW_ROWS:
+            if kept <= LEFT_ROWS:
                 break
-    elif kept > SHALLOW_ROWS:
+    elif kept > LEFT_ROWS:
         points = [i / 1000 for i in range(1, 1000)]
         edges = left.agg(F.percentile_approx(key, points, 100_000).alias("e")).first()["e"]
         bounds = F.array(*[F.lit(e) for e in sorted(set(edges))])

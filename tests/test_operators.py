@@ -102,10 +102,7 @@ def digest(key):
 
 
 @pytest.mark.parametrize(("n", "total", "digits"), [(50, None, 1), (50, 120, 1), (7, 20, 2), (10_000, None, 1), (10_000, 500, 2), (3, 1, 1)])
-@pytest.mark.parametrize(("few", "bucket_rows"), [(limits.FEW_STATES, 10), (0, 10), (0, limits.BUCKET_ROWS)])
-def test_cap_rows_matches_ranking_everything(spark, monkeypatch, n, total, digits, few, bucket_rows):
-    monkeypatch.setattr(limits, "FEW_STATES", few)
-    monkeypatch.setattr(limits, "BUCKET_ROWS", bucket_rows)
+def test_cap_rows_matches_ranking_everything(spark, n, total, digits):
     rows = [("hot" if i % 3 == 0 else None if i % 7 == 0 else f"g{i % 5}", i) for i in range(1500)]
     got = limits.cap_rows(spark.createDataFrame(rows, "g string, k int"), "g", "k", n, total, digits)
     ordered = sorted(rows, key=lambda r: digest(r[1]))
@@ -122,7 +119,7 @@ def test_cap_rows_matches_ranking_everything(spark, monkeypatch, n, total, digit
 
 @pytest.mark.parametrize("kind", ["string", "bigint"])
 def test_deep_page_matches_a_full_sort(spark, monkeypatch, kind):
-    monkeypatch.setattr(paging, "SHALLOW_ROWS", 40)
+    monkeypatch.setattr(paging, "LEFT_ROWS", 40)
     # a third of all rows carry the same instant; some have none
     times = [START if i % 3 == 0 else None if i % 50 == 1 else START + timedelta(hours=i % 60, microseconds=i) for i in range(1200)]
     rows = [(i * 7919 % 1200 if kind == "bigint" else hashlib.sha256(str(i).encode()).hexdigest(), t) for i, t in enumerate(times)]
