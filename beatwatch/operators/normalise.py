@@ -17,8 +17,12 @@ OFFENDER_CRIME_TYPE = "SEX OFFENDER REGISTRATION"
 _BODY = [c for c in UNIFIED_COLUMNS if c not in ("event_id", "processed_timestamp")]
 
 
-def _event(df: DataFrame, dataset: str, ids: str, now: Column | None, **fields: Column) -> DataFrame:
-    """Fill the unified columns; those not given are typed nulls, empty text becomes null."""
+def _event(df: DataFrame, dataset: str, ids: str | Column, now: Column | None, **fields: Column) -> DataFrame:
+    """Fill the unified columns; those not given are typed nulls, empty text becomes null.
+
+    ``ids``: 'content' (equal rows share an id), 'random', or a column that tells rows apart, such as
+    ``ids.source_place()`` of a landed table: then ids are unique and the same when the table is read again.
+    """
 
     def one(name: str) -> Column:
         kind = UNIFIED_EVENT[name].dataType
@@ -27,8 +31,10 @@ def _event(df: DataFrame, dataset: str, ids: str, now: Column | None, **fields:
             value = null_if_empty(value)
         return value.alias(name)
 
-    body = df.select(F.lit(dataset).alias("source_dataset"), *[one(c) for c in _BODY if c != "source_dataset"])
-    event_id = content_id(*_BODY) if ids == "content" else random_id()
+    placed = isinstance(ids, Column)
+    place = [ids.alias("_place")] if placed else []
+    body = df.select(F.lit(dataset).alias("source_dataset"), *[one(c) for c in _BODY if c != "source_dataset"], *place)
+    event_id = content_id(*_BODY, "_place") if placed else content_id(*_BODY) if ids == "content" else random_id()
     stamp = now if now is not None else F.unix_millis(F.current_timestamp())
     return body.select(event_id.alias("event_id"), *_BODY, stamp.cast("long").alias("processed_timestamp"))
 
@@ -37,7 +43,7 @@ def _place(location: str = "location_description", block: str = "block") -> Colu
     return F.coalesce(null_if_empty(location), null_if_empty(block))
 
 
-def violence_events(df: DataFrame, clock: str = "as_is", ids: str = "content", now: Column | None = None) -> DataFrame:
+def violence_events(df: DataFrame, clock: str = "as_is", ids: str | Column = "content", now: Column | None = None) -> DataFrame:
     hour = null_if_empty("hour")
     victim = null_if_empty("victimization_primary")
     return _event(
@@ -59,7 +65,7 @@ def violence_events(df: DataFrame, clock: str = "as_is", ids: str = "content", n
     )
 
 
-def crime_events(df: DataFrame, clock: str = "as_is", ids: str = "content", now: Column | None = None) -> DataFrame:
+def crime_events(df: DataFrame, clock: str = "as_is", ids: str | Column = "content", now: Column | None = None) -> DataFrame:
     return _event(
         df,
         "crimes",
@@ -80,7 +86,7 @@ def crime_events(df: DataFrame, clock: str = "as_is", ids: str = "content", now:
     )
 
 
-def arrest_events(df: DataFrame, clock: str = "as_is", ids: str = "content", now: Column | None = None) -> DataFrame:
+def arrest_events(df: DataFrame, clock: str = "as_is", ids: str | Column = "content", now: Column | None = None) -> DataFrame:
     return _event(
         df,
         "arrests",
@@ -96,7 +102,7 @@ def arrest_events(df: DataFrame, clock: str = "as_is", ids: str = "content", now
     )
 
 
-def offender_events(df: DataFrame, ids: str = "content", now: Column | None = None) -> DataFrame:
+def offender_events(df: DataFrame, ids: str | Column = "content", now: Column | None = None) -> DataFrame:
     last, first = null_if_empty("last"), null_if_empty("first")
     minor = null_if_empty("victim_minor")
     return _event(
@@ -121,7 +127,7 @@ NORMALISERS = {
 }
 
 
-def unify(raw: dict[str, DataFrame], clock: str = "as_is", ids: str = "content", now: Column | None = None) -> DataFrame:
+def unify(raw: dict[str, DataFrame], clock: str = "as_is", ids: str | Column = "content", now: Column | None = None) -> DataFrame:
     """One event stream from any of the four streamed datasets; works for batch and streams."""
     parts = []
     for dataset, df in raw.items():

@@ -269,6 +269,17 @@ def _(t: Tables) -> DataFrame:
     )
 
 
+@register("nrm8b", "SELECT 2 * count(*) AS n, 2 * count(*) AS ids, 2 * count(*) AS same_again FROM arrests", "arrests")
+def _(t: Tables) -> DataFrame:
+    """Ids by place over a landed table in which every row stands twice, and how many a second read repeats."""
+    path = t.work_dir("landed")
+    t.arrests.unionAll(t.arrests).write.parquet(path)
+    read = lambda: normalise.arrest_events(t.spark.read.parquet(path), ids=ids.source_place())
+    first = read().agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
+    again = read().join(read().select("event_id"), "event_id", "left_semi").agg(F.count("*").alias("same_again"))
+    return first.select("n", "ids", again.scalar().alias("same_again"))
+
+
 @register("nrm9", "SELECT arrest, lower(trim(arrest)) IN ('true', 'yes', '1') AS arrested, count(*) AS n FROM crimes GROUP BY ALL", "crimes")
 def _(t: Tables) -> DataFrame:
     return t.crimes.groupBy("arrest", text.truthy("arrest").alias("arrested")).agg(F.count("*").alias("n"))
