@@ -12,9 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from beatwatch.llm.blocks import dropping_shuffles
 from beatwatch.llm.graph import components
 from beatwatch.llm.words import chunks, find_words, gram_hashes, mix64, odd_numbers
 from beatwatch.session import shared_dir
@@ -26,6 +27,8 @@ BAND = 4
 # six standard deviations of the estimate below the link threshold of 0.85
 LEAST_ESTIMATE = 0.62
 TILE = 1024
+# 32-bit hashes kept of a set to compare it in tiles; larger sets are estimated from so many
+BOTTOM = 1024
 
 _A = (odd_numbers(MINIMA, 11) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = odd_numbers(MINIMA, 12).astype(np.uint32)
@@ -48,6 +51,20 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> lis
     return out
 
 
+def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """Two sums of scrambled hashes for each set; zero for an empty one."""
+    out = np.zeros((len(sets), 2), np.uint64)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        flat = np.concatenate([sets[i] for i in some])
+        at = np.concatenate(([0], np.cumsum(sizes[some])[:-1]))
+        with np.errstate(over="ignore"):
+            out[some, 0] = np.add.reduceat(mix64(flat), at)
+            out[some, 1] = np.add.reduceat(mix64(flat ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at)
+    return out.view(np.int64)
+
+
 def pack_planes(minima: np.ndarray) -> np.ndarray:
     """The low bits of (texts, 128) minima as four longs a text: plane of bit 0, then of bit 1."""
     planes = [np.packbits(((minima >> np.uint32(bit)) & np.uint32(1)).astype(np.uint8), axis=1) for bit in range(BITS)]
@@ -62,7 +79,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             for row, end, data, offsets in chunks(batch.column("text")):
                 sets = shingle_sets(data, offsets)
                 sizes = np.array([len(s) for s in sets], np.int64)
-                prints = np.zeros((len(sets), 2), np.uint64)
+                prints = fingerprints(sets)
                 some = np.flatnonzero(sizes)
                 bands = np.zeros((len(sets), MINIMA // BAND), np.int64)
                 planes = np.zeros((len(sets), 4), np.int64)
@@ -71,8 +88,6 @@ def sketches(docs: DataFrame) -> DataFrame:
                     at = np.zeros(len(some), np.int64)
                     np.cumsum(sizes[some][:-1], out=at[1:])
                     with np.errstate(over="ignore"):
-                        prints[some, 0] = np.add.reduceat(mix64(flat), at)
-                        prints[some, 1] = np.add.reduceat(mix64(flat ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at)
                         low = (flat >> np.uint64(32)).astype(np.uint32)
                         value = np.empty_like(low)
                         minima = np.empty((MINIMA, len(some)), np.uint32)
@@ -90,7 +105,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     pa.array(np.concatenate(([0], np.cumsum(np.where(sizes > 0, MINIMA // BAND, 0)))).astype(np.int32)), pa.array(bands[some].ravel())
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(row, end - row), pa.array(sizes), *(pa.array(prints[:, j].view(np.int64)) for j in (0, 1)), lists]
+                    [batch.column("doc_id").slice(row, end - row), pa.array(sizes), *(pa.array(prints[:, j].copy()) for j in (0, 1)), lists]
                     + [pa.array(planes[:, j]) for j in range(4)],
                     names=["doc_id", "n_shingles", "fp1", "fp2", "bands", "s0", "s1", "s2", "s3"],
                 )
@@ -105,14 +120,48 @@ def estimate(left: str, right: str) -> Column:
     return (F.lit(1.0) - (part(0, 2) + part(1, 3)) / F.lit(float(MINIMA)) - F.lit(chance)) / F.lit(1.0 - chance)
 
 
-def similar_pairs(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
+def node_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``id, text``: one text of each node ``id, fp1, fp2`` whose set has the node's fingerprint."""
+    found = docs.select(F.col("doc_id").alias("id"), "text").join(nodes.select("id", "fp1", "fp2"), "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("text")
+            got = [fingerprints([s]) for *_, data, offsets in chunks(column) for s in shingle_sets(data, offsets)]
+            want = zip(batch.column("fp1").to_pylist(), batch.column("fp2").to_pylist())
+            yield batch.select(["id", "text"]).filter(pa.array([tuple(g[0].tolist()) == w for g, w in zip(got, want)], pa.bool_()))
+
+    return found.mapInArrow(run, "id long, text string").dropDuplicates(["id"])
+
+
+def private_shingles(texts: DataFrame) -> DataFrame:
+    """``id, private``: shingles of a node that no other node of ``texts`` has. Counts combine before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, end, data, offsets in chunks(batch.column("text")):
+                sets = shingle_sets(data, offsets)
+                ids = np.repeat(batch.column("id").to_numpy()[row:end], [len(s) for s in sets])
+                flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(flat.view(np.int64))], names=["id", "shingle"])
+
+    rows = texts.mapInArrow(run, "id long, shingle long")
+    once = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1")
+    return once.groupBy("id").agg(F.count("*").alias("private"))
+
+
+def may_be_similar(n: Column, p: Column, m: Column, q: Column, num: int, den: int) -> Column:
+    """Whether sets of ``n`` and ``m`` shingles, ``p`` and ``q`` of them private, can reach the threshold.
+
+    At most the smaller rest is shared, and the private shingles of both are in the union besides it.
+    """
+    shared = F.least(n - p, m - q)
+    return den * shared >= num * (shared + p + q)
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
     """The rows ``a, b`` of ``pairs`` whose full sets have ``den * intersection >= num * union``."""
-    spark = docs.sparkSession
-    where = shared_dir(spark, "confirm")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").write.parquet(where)
-    texts = spark.read.parquet(where)
-    side = lambda n: texts.select(F.col("doc_id").alias(n), F.col("text").alias(f"text_{n}"))
+    side = lambda n: texts.select(F.col("id").alias(n), F.col("text").alias(f"text_{n}"))
     joined = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,13 +182,51 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, num: int, den: int) -> Data
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
-def cross_pairs(members: DataFrame, least: float) -> DataFrame:
-    """Pairs ``a < b`` of different labels within a bucket whose estimate reaches ``least``.
+def bottom_values(texts: DataFrame, seed: int) -> DataFrame:
+    """``id, vals``: the least ``BOTTOM`` 32-bit hashes of each node's set, sorted; the whole set if it is that small."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, end, data, offsets in chunks(batch.column("text")):
+                sets = shingle_sets(data, offsets)
+                with np.errstate(over="ignore"):
+                    vals = [np.unique((mix64(s + np.uint64(seed)) >> np.uint64(32)).astype(np.uint32))[:BOTTOM].tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(row, end - row), pa.array(vals, pa.binary())], names=["id", "vals"])
+
+    return texts.mapInArrow(run, "id long, vals binary")
+
+
+def shared_counts(one: list[np.ndarray], two: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """How many values each array of ``one`` shares with each of ``two``: products of 0/1 matrices, some columns at a time."""
+    out = np.zeros((len(one), len(two)), np.float32)
+    if not one or not two:
+        return out
+    flat = [np.concatenate(side) for side in (one, two)]
+    rows = [np.repeat(np.arange(len(side)), [len(v) for v in side]) for side in (one, two)]
+    both = np.intersect1d(*flat)
+    for at in range(0, len(both), width):
+        part = both[at : at + width]
+        sides = []
+        for v, r, n in zip(flat, rows, (len(one), len(two))):
+            place = np.minimum(np.searchsorted(part, v), len(part) - 1)
+            hit = part[place] == v
+            matrix = np.zeros((n, len(part)), np.float32)
+            matrix[r[hit], place[hit]] = 1
+            sides.append(matrix)
+        out += sides[0] @ sides[1].T
+    return out
 
-    ``members``: key, label, id, s0..s3. A bucket's largest label is dealt over tiles, each of which meets
-    all rows of the other labels; these meet each other tile by tile. So a bucket of any size is compared
-    whole, by many tasks of bounded memory, and only the passing pairs become rows.
+
+def cross_links(members: DataFrame, vals: DataFrame, least: float, num: int, den: int) -> DataFrame:
+    """Pairs ``a < b`` that join different labels of a bucket, and whether they were compared ``whole``.
+
+    ``members``: key, label, id, n_shingles, private, s0..s3. A bucket's largest label is dealt over tiles, each
+    of which meets all rows of the other labels; these meet each other tile by tile. So a bucket of any
+    size is compared whole, by many tasks of bounded memory. A pair whose packed bits reach ``least`` is
+    counted on 32-bit hashes of its sets. Of pairs of whole sets that pass, a tile gives one for each two labels that it
+    joins; those of larger sets, whose least hashes only estimate, are all given.
     """
+    held = ["label", "id", "n_shingles", "private", "s0", "s1", "s2", "s3", "vals"]
     per_label = members.groupBy("key", "label").agg(F.count("*").alias("n"))
     per_key = per_label.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("labels"))
     per_key = per_key.filter("labels > 1").select(
@@ -148,33 +235,53 @@ def cross_pairs(members: DataFrame, least: float) -> DataFrame:
         F.ceil(F.col("top.n") / TILE).cast("int").alias("main_tiles"),
         F.ceil((F.col("all") - F.col("top.n")) / TILE).cast("int").alias("tiles"),
     )
-    rows = members.join(per_key, "key")
+    rows = members.join(per_key, "key").join(vals, "id")
     tile = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
-    in_main = rows.filter("label = main").select(
-        "key", F.lit(-1).alias("t"), F.pmod(F.xxhash64("id"), F.col("main_tiles")).cast("int").alias("u"), F.lit(-1).alias("own"), "label", "id", "s0", "s1", "s2", "s3"
-    )
+    in_main = rows.filter("label = main").select("key", F.lit(-1).alias("t"), F.pmod(F.xxhash64("id"), F.col("main_tiles")).cast("int").alias("u"), F.lit(-1).alias("own"), *held)
     other = rows.filter("label <> main").withColumn("own", tile)
-    against_main = other.select("key", F.lit(-1).alias("t"), F.explode(F.sequence(F.lit(0), F.col("main_tiles") - 1)).alias("u"), "own", "label", "id", "s0", "s1", "s2", "s3")
-    with_each = other.select("key", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o"), "own", "label", "id", "s0", "s1", "s2", "s3")
-    among = with_each.select("key", F.least("own", "o").alias("t"), F.greatest("own", "o").alias("u"), "own", "label", "id", "s0", "s1", "s2", "s3")
+    against_main = other.select("key", F.lit(-1).alias("t"), F.explode(F.sequence(F.lit(0), F.col("main_tiles") - 1)).alias("u"), "own", *held)
+    with_each = other.select("key", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o"), "own", *held)
+    among = with_each.select("key", F.least("own", "o").alias("t"), F.greatest("own", "o").alias("u"), "own", *held)
+    margin = 6 * (num / den * (1 - num / den) / BOTTOM) ** 0.5
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         t, u = key[1].as_py(), key[2].as_py()
         own = table.column("own").to_numpy()
-        ids, label = table.column("id").to_numpy(), table.column("label").to_numpy()
+        ids, label = table.column("id").to_numpy(), table.column("label").to_numpy().copy()
+        private, n = table.column("private").to_numpy(), table.column("n_shingles").to_numpy()
         sig = np.stack([table.column(f"s{j}").to_numpy() for j in range(4)], axis=1)
-        # the smaller set of rows is walked, the other is compared at once
+        sets = [np.frombuffer(v, np.uint32) for v in table.column("vals").to_pylist()]
+        large = n > BOTTOM
         first, second = (np.flatnonzero(own >= 0), np.flatnonzero(own < 0)) if t < 0 else (np.flatnonzero(own == t), np.flatnonzero(own == u))
-        found = [np.zeros((0, 2), np.int64)]
-        for i in first:
+        counts = shared_counts([sets[i] for i in first], [sets[j] for j in second])
+        found: list[tuple[int, int, bool]] = []
+        for row, i in enumerate(first.tolist()):
             unlike = (sig[second, :2] ^ sig[i, :2]) | (sig[second, 2:] ^ sig[i, 2:])
-            share = 1 - np.bitwise_count(unlike).sum(axis=1) / MINIMA
-            hit = second[((share - 0.25) / 0.75 >= least) & (label[second] != label[i])]
-            found.append(np.stack([np.minimum(ids[hit], ids[i]), np.maximum(ids[hit], ids[i])], axis=1))
-        both = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"a": both[:, 0], "b": both[:, 1]})
-
-    return in_main.union(against_main).union(among).groupBy("key", "t", "u").applyInArrow(compare, "a long, b long").distinct()
+            # of a signed number numpy would count the bits of its absolute value
+            share = 1 - np.bitwise_count(unlike.view(np.uint64)).sum(axis=1) / MINIMA
+            rest = np.minimum(n[second] - private[second], n[i] - private[i])
+            able = den * rest >= num * (rest + private[second] + private[i])
+            may = ((share - 0.25) / 0.75 >= least) & (label[second] != label[i]) & able
+            both = counts[row]
+            exact = ~large[second] & (not large[i])
+            hit = second[may & exact & (den * both >= num * (n[second] + n[i] - both))]
+            kinds, at = np.unique(label[hit], return_index=True)
+            for kind, j in zip(kinds.tolist(), hit[at].tolist()):
+                found.append((i, j, True))
+                label[label == kind] = label[i]
+            for place in np.flatnonzero(may & ~exact).tolist():
+                j = int(second[place])
+                # below the lesser of the two largest kept hashes both sets are known
+                end = min(sets[i][-1] if large[i] else 0xFFFFFFFF, sets[j][-1] if large[j] else 0xFFFFFFFF)
+                union = np.searchsorted(sets[i], end, "right") + np.searchsorted(sets[j], end, "right") - both[place]
+                if both[place] >= (num / den - margin) * union:
+                    found.append((i, j, False))
+        one, two = np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], np.int64)
+        pairs = np.stack([np.minimum(ids[one], ids[two]), np.maximum(ids[one], ids[two])]) if found else np.zeros((2, 0), np.int64)
+        return pa.table({"a": pairs[0], "b": pairs[1], "whole": pa.array([f[2] for f in found], pa.bool_())})
+
+    found = in_main.union(against_main).union(among).groupBy("key", "t", "u").applyInArrow(compare, "a long, b long, whole boolean")
+    return found.distinct()
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
@@ -182,13 +289,15 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
 
     Documents are linked where 100 * intersection >= ``percent`` * union of their shingle sets (Jaccard
     0.8 or more is what bands and margin are laid out for). A component is named by its smallest doc_id,
-    which is the one kept. Null, empty and blank texts have size 0 and are linked with nothing. Equal sets
+    which is the one kept. A null doc_id is kept and linked with nothing. Null, empty and blank texts have size 0 and are linked with nothing. Equal sets
     are one node from the start. Rows that share a doc_id are one document: each is returned, and a link
     of one holds for all. An empty table gives no rows; other columns are ignored.
 
-    First each node is confirmed against the best of the pivots of its band buckets, which settles groups
-    of copies in about one check a node. Then every pair of still different components that shares a
-    bucket is estimated, and those that pass are confirmed, so no link between components is left out.
+    Shingles that only one node has bound its similarity to all others, which settles without a pair the nodes that
+    are too far from every other. Each other node is first confirmed against the best of the pivots of
+    its band buckets, the nodes with the least share of private shingles. Then all pairs of still
+    different components in a bucket are estimated and counted in tiles, and those that join
+    components are confirmed on the full sets, so no link between components is left out.
     """
     if not 80 <= percent <= 100:
         raise ValueError("bands and margin are laid out for 80 to 100 percent")
@@ -199,37 +308,76 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     sketches(docs).write.parquet(f"{where}/sketches")
     all_docs = spark.read.parquet(f"{where}/sketches")
     bits = ["s0", "s1", "s2", "s3"]
-    alike = all_docs.filter("n_shingles > 0").groupBy("fp1", "fp2", "n_shingles")
-    alike.agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), *[F.first(c).alias(c) for c in bits]).write.parquet(f"{where}/nodes")
+    some = all_docs.filter("n_shingles > 0 and doc_id is not null")
+    alike = some.groupBy("fp1", "fp2", "n_shingles")
+    with dropping_shuffles(spark):
+        alike.agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), *[F.first(c).alias(c) for c in bits]).write.parquet(f"{where}/nodes")
     nodes = spark.read.parquet(f"{where}/nodes")
 
     in_buckets = nodes.select("id", F.explode("bands").alias("key"))
-    spread = F.xxhash64("id", "key")
-    buckets = in_buckets.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(spread.alias("h"), "id"))["id"].alias("pivot")).filter("n > 1")
-    in_buckets.join(buckets.select("key", "pivot"), "key").write.parquet(f"{where}/members")
+    shared = in_buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    with dropping_shuffles(spark):
+        in_buckets.join(shared, "key").write.parquet(f"{where}/in_buckets")
+        in_buckets = spark.read.parquet(f"{where}/in_buckets")
+        near = nodes.join(in_buckets.select("id").distinct(), "id", "left_semi")
+        node_texts(docs, near).write.parquet(f"{where}/texts")
+        texts = spark.read.parquet(f"{where}/texts")
+        private_shingles(texts).write.parquet(f"{where}/private")
+        own = near.join(spark.read.parquet(f"{where}/private"), "id", "left").withColumn("private", F.coalesce("private", F.lit(0).cast("long")))
+        own = own.select("id", "n_shingles", "private", *bits)
+        # what is too far from all others has no link
+        close = 100 * (F.col("n_shingles") - F.col("private")) >= percent * F.col("n_shingles")
+        own.filter(close).write.parquet(f"{where}/near")
+        near = spark.read.parquet(f"{where}/near")
+        in_buckets.join(near, "id").write.parquet(f"{where}/members")
     members = spark.read.parquet(f"{where}/members")
 
-    sigs = lambda name, p: nodes.select(F.col("id").alias(name), *[F.col(c).alias(f"{p}{i}") for i, c in enumerate(bits)])
-    pairs = members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    scored = pairs.join(sigs("b", "y"), "b").join(sigs("a", "x"), "a").withColumn("est", estimate("x", "y"))
-    best = scored.filter(F.col("est") >= least).groupBy("b").agg(F.max(F.struct("est", "a"))["a"].alias("a"))
-    best.select("a", "b").write.parquet(f"{where}/best")
-    similar_pairs(spark.read.parquet(f"{where}/best"), docs, percent, 100).write.parquet(f"{where}/links1")
-    first = spark.read.parquet(f"{where}/links1").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    components(first).write.parquet(f"{where}/labels1")
-    labels = spark.read.parquet(f"{where}/labels1")
-
-    named = nodes.select("id", *bits).join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    cross_pairs(members.select("key", "id").join(named, "id"), least).write.parquet(f"{where}/cross")
-    similar_pairs(spark.read.parquet(f"{where}/cross"), docs, percent, 100).write.parquet(f"{where}/links2")
-    links = first.union(spark.read.parquet(f"{where}/links2").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    central = F.struct(F.floor(20 * F.col("private") / F.col("n_shingles")).alias("far"), F.xxhash64("id", "key").alias("h"), "id")
+    pivots = members.groupBy("key").agg(F.min(central)["id"].alias("a"))
+    pairs = members.select("key", F.col("id").alias("b")).join(pivots, "key").filter("a <> b").select("a", "b").distinct()
+    sides = lambda name, p: near.select(F.col("id").alias(name), F.col("n_shingles").alias(f"{p}n"), F.col("private").alias(f"{p}p"), *[F.col(c).alias(f"{p}{i}") for i, c in enumerate(bits)])
+    scored = pairs.join(sides("b", "y"), "b").join(sides("a", "x"), "a").withColumn("est", estimate("x", "y"))
+    able = may_be_similar(F.col("xn"), F.col("xp"), F.col("yn"), F.col("yp"), percent, 100)
+    best = scored.filter((F.col("est") >= least) & able).groupBy("b").agg(F.max(F.struct("est", "a"))["a"].alias("a"))
+    with dropping_shuffles(spark):
+        best.select("a", "b").write.parquet(f"{where}/best")
+        similar_pairs(spark.read.parquet(f"{where}/best"), texts, percent, 100).write.parquet(f"{where}/links1")
+        first = spark.read.parquet(f"{where}/links1").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        components(first).write.parquet(f"{where}/labels1")
+    links, labels, turn = first, spark.read.parquet(f"{where}/labels1"), 0
+    while True:
+        turn += 1
+        named = members.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+        with dropping_shuffles(spark):
+            vals = bottom_values(texts.join(near.select("id"), "id", "left_semi"), turn)
+            cross_links(named, vals, least, percent, 100).write.parquet(f"{where}/cross{turn}")
+            cross = spark.read.parquet(f"{where}/cross{turn}")
+            similar_pairs(cross, texts, percent, 100).write.parquet(f"{where}/links{turn + 1}")
+        more = spark.read.parquet(f"{where}/links{turn + 1}")
+        links = links.union(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        # a pair that two 32-bit hashes only seemed to link may have hidden another one of its labels: look again with other hashes
+        if cross.filter("whole").join(more, ["a", "b"], "left_anti").isEmpty():
+            break
+        components(links).write.parquet(f"{where}/labels{turn + 1}")
+        labels = spark.read.parquet(f"{where}/labels{turn + 1}")
     # rows of one doc_id with different texts are one document
-    same = all_docs.filter("n_shingles > 0").join(nodes.select("fp1", "fp2", "n_shingles", "id"), ["fp1", "fp2", "n_shingles"])
+    same = some.join(nodes.select("fp1", "fp2", "n_shingles", "id"), ["fp1", "fp2", "n_shingles"])
     joined = same.filter("doc_id <> id").groupBy("doc_id").agg(F.min("id").alias("v"), F.max("id").alias("w"))
     links = links.union(joined.filter("v <> w").select(F.col("v").alias("u"), F.col("w").alias("v")))
     final = components(links)
 
     found = same.select("doc_id", "n_shingles", "id").join(final, "id", "left")
     found = found.select("doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    empty = all_docs.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return found.union(empty).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    empty = all_docs.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return found.union(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
+    """One document of each group of near-duplicates, with all columns.
+
+    Of rows that share a doc_id one stays, that with the least hash of its text; a null doc_id stays.
+    """
+    gone = near_duplicates(docs, percent=percent).filter(~F.col("kept")).select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    return left.withColumn("_nth", F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(order))).filter("_nth = 1").select(*docs.columns)
