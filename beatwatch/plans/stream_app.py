@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from beatwatch.operators.enrich import enrich
-from beatwatch.session import build_session
+from beatwatch.session import build_session, state_partitions
 from beatwatch.sinks.topics import TopicTarget
 from beatwatch.sources.topics import decode_events, kafka_stream
 from beatwatch.streaming.batches import Outputs
@@ -27,14 +27,15 @@ STREAM_CONF = {
 }
 
 
-def start_all(events: DataFrame, outputs: Outputs, checkpoints: str, threshold: int = 50, **trigger) -> list[StreamingQuery]:
+def start_all(events: DataFrame, outputs: Outputs, checkpoints: str, threshold: int = 50, windows: dict | None = None, **trigger) -> list[StreamingQuery]:
+    """All six queries; ``windows`` sets size, slide and watermark of the volume windows."""
     enriched = enrich(events)
     return [
         start_main(enriched, outputs, checkpoints, **trigger),
         start_metrics(enriched, f"{outputs.root}/metrics", checkpoints, **trigger),
         start_zscore(enriched, outputs, checkpoints, **trigger),
         start_malformed(events, f"{outputs.root}/malformed", checkpoints, **trigger),
-        start_volume(events, outputs, checkpoints, threshold, **trigger),
+        start_volume(events, outputs, checkpoints, threshold, windows, **trigger),
         start_counters(events, f"{outputs.root}/counters", checkpoints, **trigger),
     ]
 
@@ -46,12 +47,17 @@ def main() -> None:
     args.add_argument("checkpoints", help="shared folder for the checkpoints")
     args.add_argument("--codec", choices=("avro", "json"), default="avro")
     args.add_argument("--threshold", type=int, default=50)
+    args.add_argument("--window", default="5 minutes")
+    args.add_argument("--slide", default="1 minute")
+    args.add_argument("--watermark", default="10 minutes")
+    args.add_argument("--state-partitions", type=int, help="default: one for each core; fixed for the life of a checkpoint")
     args.add_argument("--best-effort", action="store_true")
     given = args.parse_args()
     spark = build_session("beatwatch-stream", **STREAM_CONF)
     events = decode_events(kafka_stream(spark, given.brokers), given.codec)
     outputs = Outputs(given.out, TopicTarget(brokers=given.brokers), given.best_effort)
-    start_all(events, outputs, given.checkpoints, given.threshold)
+    with state_partitions(spark, given.state_partitions):
+        start_all(events, outputs, given.checkpoints, given.threshold, {"size": given.window, "slide": given.slide, "watermark": given.watermark})
     spark.streams.awaitAnyTermination()
 
 
