@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from beatwatch.session import shared_dir
+
 WORD = r"[^\x20\x09-\x0D]+"
 ONE = 1 << 32
 ROWS_PER_RANGE = 1_000_000
@@ -62,7 +64,7 @@ def source_targets(sized: DataFrame, weights: Sequence[float], share: float, cei
 
 
 def systematic_copies(sized: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
-    """The rows of ``sized`` (doc_id, source, size) with ``source_size``, ``target`` and ``copies``.
+    """The rows of ``sized`` (row, doc_id, source, size) with ``source_size``, ``target`` and ``copies``.
 
     Order within a source: size class (eight to the octave), then MD5 of seed and doc_id. Documents of a
     class and digest range are summed by one task; the sums of the ranges before it come from the
@@ -86,13 +88,13 @@ def systematic_copies(sized: DataFrame, targets: DataFrame, seed: str) -> DataFr
     )
     first = first.join(rated, first["_s"].eqNullSafe(rated["source"])).drop("source")
     same = placed["source"].eqNullSafe(first["_s"]) & (placed["_class"] == first["_c"]) & (placed["_range"] == first["_r"])
-    within = Window.partitionBy("source", "_class", "_range").orderBy("_at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source", "_class", "_range").orderBy("_at", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     summed = placed.withColumn("_nth", F.count("*").over(within)).join(first, same)
     # copies expected up to and with this row; decimals of 2^-32 copies would pass a long at 2^31 copies
     upto = (F.col("_before") + F.col("_nth")).cast("decimal(20,0)") * F.col("_step").cast("decimal(18,0)") + F.col("_offset")
     back = upto - F.col("_step")
     whole = lambda c: F.floor(c / F.lit(ONE)).cast("long")
-    return summed.select("doc_id", placed["source"], "size", "source_size", "target", (whole(upto) - whole(back)).alias("copies"))
+    return summed.select("row", "doc_id", placed["source"], "size", "source_size", "target", (whole(upto) - whole(back)).alias("copies"))
 
 
 def mix(
@@ -102,12 +104,33 @@ def mix(
     share: float = 1.5,
     ceiling: float = 2.0,
     seed: str = "mix-1",
+    row: Column | None = None,
 ) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies`` of every document.
+    """``row, doc_id, source, size, source_size, target, copies`` of every document.
+
+    ``row`` tells rows apart, by default their place in the scan. The narrow rows are written to the shared
+    folder, so the texts are counted once and later steps see the same rows.
 
     Null or empty texts have size 0: they are rows of the result and add no words. A source whose texts
     are all empty has target 0 and no copies. Null sources form the last source. Rows that share a doc_id are documents of
-    their own; equal ones may get different copies, the same in every run. Other columns are ignored.
+    their own; equal ones may get different copies. Other columns are ignored.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    where = shared_dir(docs.sparkSession, "mixing")
+    place = F.monotonically_increasing_id() if row is None else row
+    docs.select(place.alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size")).write.parquet(where)
+    sized = docs.sparkSession.read.parquet(where)
     return systematic_copies(sized, source_targets(sized, weights, share, ceiling), seed)
+
+
+def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
+    """The mix itself: the rows of ``docs`` with all their columns, each as often as ``mix`` says.
+
+    The rows are numbered in a copy in the shared folder, and the copies come back by that number; a
+    column named ``_mix_row`` or ``_mix_copies`` would be taken for it. ``settings`` are those of ``mix``.
+    """
+    where = shared_dir(docs.sparkSession, "mixing_rows")
+    docs.withColumn("_mix_row", F.monotonically_increasing_id()).write.parquet(where)
+    numbered = docs.sparkSession.read.parquet(where)
+    copies = mix(numbered, row=F.col("_mix_row"), **settings).filter("copies > 0").select(F.col("row").alias("_mix_row"), F.col("copies").alias("_mix_copies"))
+    found = numbered.join(copies, "_mix_row")
+    return found.withColumn("_mix_copies", F.explode(F.array_repeat(F.lit(1), F.col("_mix_copies").cast("int")))).select(*docs.columns)
