@@ -378,6 +378,7 @@ def without_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     Of rows that share a doc_id one stays, that with the least hash of its text; a null doc_id stays.
     """
     gone = near_duplicates(docs, percent=percent).filter(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return left.withColumn("_nth", F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(order))).filter("_nth = 1").select(*docs.columns)
+    one = left.filter(F.col("doc_id").isNotNull()).withColumn("_nth", F.row_number().over(order)).filter("_nth = 1")
+    return one.select(*docs.columns).union(left.filter(F.col("doc_id").isNull()))
