@@ -19,7 +19,7 @@ from beatwatch.plans.shapes import shape
 from beatwatch.plans.stream_app import start_all
 from beatwatch.schemas import ALERT_MESSAGE, TABLES, UNIFIED_COLUMNS, conform
 from beatwatch.session import state_partitions
-from beatwatch.sinks.tables import newest_per_key, overwrite_table, read_batches, write_batch, write_documents
+from beatwatch.sinks.tables import compact_versions, newest_per_key, overwrite_table, read_batches, read_versions, write_batch, write_documents
 from beatwatch.sinks.topics import TopicTarget, alert_messages, on_topic, raw_messages
 from beatwatch.sources import topics
 from beatwatch.sources.tables import read_table
@@ -239,6 +239,25 @@ def _(t: Tables) -> DataFrame:
     return newest_per_key(read_batches(t.spark, out), ["window_start"])
 
 
+@register("str10b", "SELECT district, count(*) AS n, max(severity) AS worst FROM gold GROUP BY 1", "gold")
+def _(t: Tables) -> DataFrame:
+    """Versions of running counts, compacted twice, with the last batch repeated in between."""
+    out = t.work_dir("versions")
+    part = F.pmod(F.xxhash64("event_id"), F.lit(4))
+
+    def batch(i: int) -> None:
+        write_batch(t.gold.filter(part <= i).groupBy("district").agg(F.count("*").alias("n"), F.max("severity").alias("worst")), out, i)
+
+    for i in range(3):
+        batch(i)
+    compact_versions(t.spark, out, ["district"])
+    batch(2)
+    batch(3)
+    compact_versions(t.spark, out, ["district"])
+    batch(3)
+    return read_versions(t.spark, out, ["district"])
+
+
 @register(
     "str10",
     """WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, processed_at, TIMESTAMP '1970-01-01') AS window_start, count(*) AS n FROM gold GROUP BY 1)

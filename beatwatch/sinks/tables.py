@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +54,64 @@ def newest_per_key(df: DataFrame, keys: list[str], version: str = "batch_id") ->
     rest = [c for c in df.columns if c not in (*keys, version)]
     last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("_last"))
     return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
+
+
+def _children(spark: SparkSession, path: str, prefix: str) -> dict[int, str]:
+    """Folders ``<prefix>=<number>`` right under ``path``, by number."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(folder):
+        return {}
+    names = [str(s.getPath().getName()) for s in store.listStatus(folder)]
+    found = (n.partition("=") for n in names if n.startswith(f"{prefix}="))
+    return {int(number): f"{path}/{prefix}={number}" for _, _, number in found}
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _whole(spark: SparkSession, path: str) -> bool:
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+
+
+def read_versions(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The newest version of every key: the last compaction and the batches after it.
+
+    ``path`` must hold a batch or a compaction.
+    """
+    path = path.rstrip("/")
+    bases = {n: p for n, p in _children(spark, f"{path}/_base", "upto").items() if _whole(spark, p)}
+    upto = max(bases, default=-1)
+    parts = [spark.read.parquet(bases[upto]).withColumn("batch_id", F.lit(upto).cast("long"))] if bases else []
+    later = [p for n, p in sorted(_children(spark, path, "batch_id").items()) if n > upto]
+    if later:
+        parts.append(spark.read.option("basePath", path).parquet(*later).withColumn("batch_id", F.col("batch_id").cast("long")))
+    return newest_per_key(reduce(DataFrame.unionByName, parts), keys)
+
+
+def compact_versions(spark: SparkSession, path: str, keys: list[str]) -> None:
+    """Fold all batches but the last into one version per key, then drop what was folded.
+
+    The last batch stays as it is, so a stream that repeats it after a failure replaces it. What was
+    folded goes only after the new table is complete; a run that broke off in between leaves folders
+    that ``read_versions`` passes over and the next run drops. Readers that began before may have to start again.
+    """
+    path = path.rstrip("/")
+    batches = _children(spark, path, "batch_id")
+    upto = max(batches, default=0) - 1
+    bases = _children(spark, f"{path}/_base", "upto")
+    if any(n <= upto for n in batches) and not (upto in bases and _whole(spark, bases[upto])):
+        old = max((n for n, p in bases.items() if _whole(spark, p)), default=-1)
+        fold = [p for n, p in sorted(batches.items()) if old < n <= upto]
+        parts = [spark.read.option("basePath", path).parquet(*fold).withColumn("batch_id", F.col("batch_id").cast("long"))] if fold else []
+        if old >= 0:
+            parts.append(spark.read.parquet(bases[old]).withColumn("batch_id", F.lit(old).cast("long")))
+        newest_per_key(reduce(DataFrame.unionByName, parts), keys).write.mode("overwrite").parquet(f"{path}/_base/upto={upto}")
+    whole = {n for n, p in _children(spark, f"{path}/_base", "upto").items() if _whole(spark, p)}
+    newest = max(whole, default=-1)
+    for n, p in [*batches.items(), *((n + 1, p) for n, p in bases.items() if n != newest)]:
+        if n <= newest:
+            _drop(spark, p)

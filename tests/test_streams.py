@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections import Counter
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -217,3 +218,20 @@ def test_compacted_events_prune_and_spread(spark):
     assert all(r["files"] >= 2 for r in per_dataset.collect())
     text = back.filter("source_dataset = 'crimes'").select("event_id")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(source_dataset" in text
+
+
+def test_versions_are_compacted_and_survive_a_repeated_batch(spark):
+    path = shared_dir(spark, "versions")
+    newest = {}
+    for i in range(6):
+        rows = [(f"k{j}", i * 10 + j) for j in range(i, 8)] + [(None, i)]
+        newest |= dict(rows)
+        tables.write_batch(spark.createDataFrame(rows, "k string, v int"), path, i)
+        if i in (2, 3, 5):
+            tables.compact_versions(spark, path, ["k"])
+            left = sorted(p.name for p in Path(path.removeprefix("file:")).iterdir() if not p.name.startswith("."))
+            assert left == ["_base", f"batch_id={i}"] and len([p for p in (Path(path.removeprefix("file:")) / "_base").iterdir()]) == 1
+        tables.write_batch(spark.createDataFrame(rows, "k string, v int"), path, i)
+        assert {r["k"]: r["v"] for r in tables.read_versions(spark, path, ["k"]).collect()} == newest
+    tables.compact_versions(spark, path, ["k"])
+    assert {r["k"]: r["v"] for r in tables.read_versions(spark, path, ["k"]).collect()} == newest
