@@ -5,11 +5,13 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from beatwatch.plans import batch_job
+from beatwatch.plans import batch_job, ingest_job
 from beatwatch.plans.registry import Tables
 from beatwatch.schemas import RAW_COLUMNS, TABLES
+from beatwatch.sinks.topics import TopicTarget
 from beatwatch.sources.csv_files import find_csv
 from beatwatch.sources.tables import read_table
+from beatwatch.sources.topics import decode_events
 
 FILES = {
     "crimes": "Crimes_-_2001_to_Present.csv",
@@ -58,3 +60,13 @@ def test_a_missing_column_is_an_error(spark, tmp_path):
     (tmp_path / "Police_Stations.csv").write_text("DISTRICT,ADDRESS\n1,x\n")
     with pytest.raises(ValueError, match="no column"):
         find_csv(spark, str(tmp_path), "tations", "police-stations")
+
+
+def test_ingest_publishes_every_good_row_once(spark, data_dir, tmp_path):
+    bus, landing = str(tmp_path / "bus"), str(tmp_path / "landing")
+    counts = {r["dataset"]: r for r in ingest_job.publish(spark, data_dir, landing, TopicTarget(folder=bus), partitions=2).collect()}
+    assert sorted(counts) == ["arrests", "crimes", "sex-offenders", "violence"]
+    events = decode_events(spark.read.parquet(f"{bus}/raw").withColumn("timestamp", F.current_timestamp()))
+    got = {r["source_dataset"]: (r["n"], r["ids"]) for r in events.groupBy("source_dataset").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids")).collect()}
+    for dataset, r in counts.items():
+        assert r["malformed"] == 1 and r["published"] == r["read"] - 1 and got[dataset] == (r["published"], r["published"])
