@@ -121,8 +121,8 @@ def estimate(left: str, right: str) -> Column:
 
 
 def node_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``id, text``: one text of each node ``id, fp1, fp2`` whose set has the node's fingerprint."""
-    found = docs.select(F.col("doc_id").alias("id"), "text").join(nodes.select("id", "fp1", "fp2"), "id")
+    """``id, text``: one text of each node ``id, at, fp1, fp2``: that of doc_id ``at`` with the node's fingerprint."""
+    found = docs.select(F.col("doc_id").alias("at"), "text").join(nodes.select("id", "at", "fp1", "fp2"), "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,8 +311,11 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     some = all_docs.filter("n_shingles > 0 and doc_id is not null")
     alike = some.groupBy("fp1", "fp2", "n_shingles")
     with dropping_shuffles(spark):
-        alike.agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), *[F.first(c).alias(c) for c in bits]).write.parquet(f"{where}/nodes")
-    nodes = spark.read.parquet(f"{where}/nodes")
+        alike.agg(F.min("doc_id").alias("at"), F.first("bands").alias("bands"), *[F.first(c).alias(c) for c in bits]).write.parquet(f"{where}/sets")
+    nodes = spark.read.parquet(f"{where}/sets")
+    # a node is named by its smallest doc_id; where one doc_id has several sets, by a hash of the set
+    several = nodes.groupBy("at").agg(F.count("*").alias("_n")).filter("_n > 1").select("at", F.lit(True).alias("_several"))
+    nodes = nodes.join(several, "at", "left").withColumn("id", F.when(F.col("_several"), F.xxhash64("fp1", "fp2", "n_shingles")).otherwise(F.col("at"))).drop("_several")
 
     in_buckets = nodes.select("id", F.explode("bands").alias("key"))
     shared = in_buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
@@ -360,14 +363,16 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
             break
         components(links).write.parquet(f"{where}/labels{turn + 1}")
         labels = spark.read.parquet(f"{where}/labels{turn + 1}")
-    # rows of one doc_id with different texts are one document
-    same = some.join(nodes.select("fp1", "fp2", "n_shingles", "id"), ["fp1", "fp2", "n_shingles"])
-    joined = same.filter("doc_id <> id").groupBy("doc_id").agg(F.min("id").alias("v"), F.max("id").alias("w"))
-    links = links.union(joined.filter("v <> w").select(F.col("v").alias("u"), F.col("w").alias("v")))
-    final = components(links)
-
-    found = same.select("doc_id", "n_shingles", "id").join(final, "id", "left")
-    found = found.select("doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    # the sets of one doc_id are one document
+    mixed = some.groupBy("doc_id").agg(F.min("fp1").alias("a"), F.max("fp1").alias("b")).filter("a <> b").select("doc_id")
+    same = some.select("doc_id", "fp1", "fp2", "n_shingles").join(mixed, "doc_id", "left_semi")
+    same = same.join(nodes.select("fp1", "fp2", "n_shingles", "id"), ["fp1", "fp2", "n_shingles"]).select("doc_id", "id").distinct()
+    links = links.union(same.join(same.groupBy("doc_id").agg(F.min("id").alias("u")), "doc_id").select("u", F.col("id").alias("v")))
+
+    named = nodes.select("fp1", "fp2", "n_shingles", "id", "at").join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    names = named.groupBy("component").agg(F.min("at").alias("component_id"))
+    named = named.join(names, "component").select("fp1", "fp2", "n_shingles", "component_id")
+    found = some.join(named, ["fp1", "fp2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
     empty = all_docs.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.union(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

@@ -120,6 +120,13 @@ def test_chains_of_near_copies(spark):
     assert got == brute.components(data)
 
 
+def test_texts_of_one_doc_id_are_one_document(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    data = [(7, a), (3, a + " end"), (7, b), (9, b), (9, c), (1, c + " end"), (5, "alone here with five words"), (5, "and once more with others")]
+    got = minhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert len(got) == 8 and {(r["doc_id"], r["component_id"]) for r in got} == {(7, 1), (3, 1), (9, 1), (1, 1), (5, 5)}
+
+
 def test_near_duplicates_edges(edge, empty):
     got = minhash.near_duplicates(edge).collect()
     assert len(got) == edge.count()
