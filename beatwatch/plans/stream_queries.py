@@ -20,7 +20,7 @@ from beatwatch.plans.stream_app import start_all
 from beatwatch.schemas import ALERT_MESSAGE, TABLES, UNIFIED_COLUMNS, conform
 from beatwatch.session import state_partitions
 from beatwatch.sinks.tables import compact_versions, newest_per_key, overwrite_table, read_batches, read_versions, write_batch, write_documents
-from beatwatch.sinks.topics import TopicTarget, alert_messages, on_topic, raw_messages
+from beatwatch.sinks.topics import TopicTarget, on_topic, raw_messages
 from beatwatch.sources import topics
 from beatwatch.sources.tables import read_table
 from beatwatch.streaming.batches import Outputs, to_table
