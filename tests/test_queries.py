@@ -6,6 +6,7 @@ import pytest
 from oracle_check import compare, connect
 
 import __spark_entry__ as entry
+from beatwatch.plans import all_entries
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,7 +20,7 @@ def duck():
 MAY_BE_EMPTY = {"pag1b", "str6", "str6b", "str7", "agg3", "top3c", "str4", "str4b", "snk5"}
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(all_entries()))
 def test_query_matches_sql(spark, duck, name):
     problem = compare(spark, duck, SF, entry.queries()[name], entry.oracle_sql().get(name))
     assert problem == "" or (problem == "both empty" and name in MAY_BE_EMPTY)
@@ -31,5 +32,6 @@ def test_entry_runs(spark):
     assert df.count() > 0
 
 
-def test_only_the_fits_have_no_sql_check():
-    assert sorted(set(entry.queries()) - set(entry.oracle_sql())) == ["ml1", "ml2", "ml3"]
+def test_every_query_has_a_sql_check():
+    assert all(e.sql for e in all_entries().values())
+    assert set(all_entries()) <= set(entry.queries())
