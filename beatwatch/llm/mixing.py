@@ -129,7 +129,7 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     column named ``_mix_row`` or ``_mix_copies`` would be taken for it. ``settings`` are those of ``mix``.
     """
     where = shared_dir(docs.sparkSession, "mixing_rows")
-    docs.withColumn("_mix_row", F.monotonically_increasing_id()).write.parquet(where)
+    docs.withColumn("_mix_row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(where)
     numbered = docs.sparkSession.read.parquet(where)
     copies = mix(numbered, row=F.col("_mix_row"), **settings).filter("copies > 0").select(F.col("row").alias("_mix_row"), F.col("copies").alias("_mix_copies"))
     found = numbered.join(copies, "_mix_row")

@@ -20,7 +20,7 @@ from beatwatch.session import shared_dir
 
 SEED = 5
 COVERAGE = 0.5
-# size of the seed filter in bits, whatever the benchmark holds: 2 MB
+# the seed filter has 2^24 bits, 2 MB, whatever the benchmark holds; a seed sets two of them
 FILTER_BITS = 24
 
 
@@ -29,6 +29,15 @@ def seed_hashes(hashes: np.ndarray, n: int = SEED) -> np.ndarray:
     return np.unique(gram_hashes(hashes, n))
 
 
+def may_be_seed(own: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """Whether both bits of a hash are set."""
+    hit = np.ones(len(own), bool)
+    for shift in (64 - FILTER_BITS, 64 - 2 * FILTER_BITS):
+        place = (own >> np.uint64(shift)) & np.uint64((1 << FILTER_BITS) - 1)
+        hit &= (keep[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    return hit
+
+
 def _runs(a: np.ndarray, b: np.ndarray, free_a: np.ndarray, free_b: np.ndarray, n: int) -> list[tuple[int, int]]:
     """Starts in ``a`` and ``b`` of equal unmarked runs of ``n`` words, found by hash and confirmed by word."""
     def starts(free: np.ndarray) -> np.ndarray:
@@ -97,8 +106,8 @@ def _seeded(df: DataFrame, key: str, least: int, keep: np.ndarray | None) -> Dat
                 own = grams[at]
                 doc = np.repeat(np.arange(len(counts)), counts)
                 if keep is not None:
-                    hit = keep[own >> np.uint64(64 - FILTER_BITS + 3)] >> ((own >> np.uint64(64 - FILTER_BITS)) & np.uint64(7)).astype(np.uint8) & 1
-                    own, doc = own[hit == 1], doc[hit == 1]
+                    hit = may_be_seed(own, keep)
+                    own, doc = own[hit], doc[hit]
                 cut = np.searchsorted(doc, np.arange(len(counts) + 1))
                 seeds: list = [[]] * len(counts)
                 for d in np.flatnonzero(np.diff(cut)).tolist():
@@ -118,9 +127,9 @@ def _seeded(df: DataFrame, key: str, least: int, keep: np.ndarray | None) -> Dat
 
 
 def _filter_of(seeds: DataFrame) -> np.ndarray:
-    """A bit for each top part of a seed hash: 2 MB for any benchmark. Full, it keeps every document."""
-    part = F.shiftrightunsigned("seed", 64 - FILTER_BITS)
-    words = seeds.select(part.alias("p")).selectExpr("p div 64 as w", "shiftleft(1L, cast(p % 64 as int)) as bit")
+    """Bits for the two top parts of each seed hash: 2 MB for any benchmark. Full, it keeps every document."""
+    parts = [F.shiftrightunsigned("seed", 64 - n * FILTER_BITS) % (1 << FILTER_BITS) for n in (1, 2)]
+    words = seeds.select(F.explode(F.array(*parts)).alias("p")).selectExpr("p div 64 as w", "shiftleft(1L, cast(p % 64 as int)) as bit")
     found = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
     bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     bits[found.column("w").to_numpy()] = found.column("bits").to_numpy()
