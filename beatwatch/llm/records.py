@@ -36,7 +36,7 @@ NULL_DOC = 1
 
 FILE_BYTES = 16 << 20
 MANIFEST = "part int, file_no int, file string, n_docs long, n_ids long, n_bytes long"
-_ENCODERS: dict[str, PieceIds] = {}
+_ENCODERS: dict[tuple[str, bool], PieceIds] = {}
 
 
 def masked(data: bytes) -> int:
@@ -74,18 +74,26 @@ def unpack_body(body: bytes) -> tuple[int | None, np.ndarray]:
     return None if flags & NULL_DOC else doc_id, np.frombuffer(body, f"<u{width}", offset=10)
 
 
-def encoder(path: str) -> PieceIds:
-    """The piece encoder of a tokenizer file, one for each worker process."""
-    if path not in _ENCODERS:
+def encoder(path: str, *, added: bool = False) -> PieceIds:
+    """The piece encoder of a tokenizer file, one for each worker process.
+
+    With ``added`` the file's added tokens are found in texts, as the tokenizer does if left at its
+    defaults; without, their strings are text like any other.
+    """
+    if (path, added) not in _ENCODERS:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _ENCODERS[path] = PieceIds(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
-    return _ENCODERS[path]
+        tokenizer.encode_special_tokens = not added
+        tokens = list(tokenizer.get_added_tokens_decoder().values()) if added else []
+        if any(t.single_word or t.lstrip or t.rstrip for t in tokens):
+            raise ValueError(f"{path}: added tokens that look at what stands beside them")
+        encode = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        _ENCODERS[path, added] = PieceIds(encode, tokens=[t.content.encode() for t in tokens if t.content])
+    return _ENCODERS[path, added]
 
 
 def _store(where: str) -> tuple[fs.FileSystem, str]:
@@ -103,7 +111,8 @@ def write_records(docs: DataFrame, where: str, tokenizer: Callable[[], str], *,
     """Encode all texts and write record and index files into ``where``/files; returns the manifest.
 
     Documents stand in ascending doc_id order over the files in (part, file_no) order, null doc_ids
-    first, rows of one doc_id by text. A null or empty text is the end id alone. ``tokenizer`` names
+    first, rows of one doc_id by text. A null or empty text is the end id alone. Ids are those of the
+    tokenizer at its defaults, so the string of an added token gives that token. ``tokenizer`` names
     the tokenizer file on the machine that calls it. ``where`` must be a folder all executors share.
     """
     spark = docs.sparkSession
@@ -115,7 +124,7 @@ def write_records(docs: DataFrame, where: str, tokenizer: Callable[[], str], *,
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
         store, path = _store(folder)
-        pieces = encoder(tokenizer())
+        pieces = encoder(tokenizer(), added=True)
         held: list[bytes] = []
         ends: list[int] = [0]
         count, number = 0, 0

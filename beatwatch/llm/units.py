@@ -4,11 +4,14 @@ A byte-level BPE tokenizer splits a text by a pattern before it merges. Texts ar
 pattern always splits, whatever stands on either side: before a blank that follows a visible
 character, between an ASCII letter and ASCII punctuation, and after a single line feed before a visible
 character. So the ids of a text are those of its pieces in a row, and a piece needs encoding once.
+
+The added tokens of a tokenizer are taken out of a text before it is split. Each is a piece of its own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Sequence
 
 import numpy as np
 
@@ -29,8 +32,17 @@ _BYTE = odd_numbers(256, 21)
 _PLACE = odd_numbers(1 << 12, 22)
 
 
-def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where pieces begin; no piece reaches over the end of a text."""
+def places_of(tokens: Sequence[bytes], data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
+    """Where ``tokens`` begin and end in the texts: the first, of those the longest, then on behind it."""
+    raw = data.tobytes()
+    if not any(t in raw for t in tokens):
+        return []
+    any_token = re.compile(b"|".join(re.escape(t) for t in sorted(tokens, key=len, reverse=True)))
+    return [m.span() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()) for m in any_token.finditer(raw, a, b)]
+
+
+def piece_starts(data: np.ndarray, offsets: np.ndarray, tokens: Sequence[bytes] = ()) -> np.ndarray:
+    """Where pieces begin; no piece reaches over the end of a text, and each of the ``tokens`` is one."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
@@ -42,6 +54,9 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     opens = _VISIBLE[data] | (data == 0xC3)
     cut[2:] |= (data[1:-1] == 0x0A) & seen[:-2] & opens[2:]
     cut[offsets[:-1][offsets[:-1] < n]] = True
+    for a, b in places_of(tokens, data, offsets):
+        cut[a:b] = False
+        cut[[a, b] if b < n else a] = True
     # a blank that opens a text does not follow the text before it; the cut is there anyway
     return np.flatnonzero(cut)
 
@@ -55,10 +70,13 @@ def piece_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 class PieceIds:
-    """Ids of pieces seen by this process, at most ``most`` of them besides those of the current call."""
+    """Ids of pieces seen by this process, at most ``most`` of them besides those of the current call.
+
+    ``tokens`` are the strings that ``encode`` takes out of a text before it splits it.
+    """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = MOST_PIECES) -> None:
-        self.encode, self.most = encode, most
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = MOST_PIECES, tokens: Sequence[bytes] = ()) -> None:
+        self.encode, self.most, self.tokens = encode, most, tokens
         self.clear()
 
     def clear(self) -> None:
@@ -78,7 +96,7 @@ class PieceIds:
 
     def texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the number of the first id of each text."""
-        starts = piece_starts(data, offsets)
+        starts = piece_starts(data, offsets, self.tokens)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         kinds, one, place = np.unique(piece_hashes(data, starts), return_index=True, return_inverse=True)

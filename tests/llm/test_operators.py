@@ -409,6 +409,25 @@ def test_pieces_give_the_ids_of_whole_texts(encode):
     assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == encode(texts)
 
 
+def test_added_tokens_are_those_of_the_default_tokenizer(spark):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from beatwatch.llm.words import text_bytes
+
+    tokenizer = Tokenizer.from_file(queries.byte_bpe())
+    whole = lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    draw = random.Random(2)
+    parts = ["a", " ", "  ", "\n", "\t", "'s", ".", "é", "日", "1", "<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", "<|", "|>", "the", " b", "\r\n"]
+    texts = ["a<|endoftext|>b", "<|endof", "text|>", *("".join(draw.choice(parts) for _ in range(draw.randint(0, 30))) for _ in range(4000)), "<|endoftext|>"]
+    ids, first = records.encoder(queries.byte_bpe(), added=True).texts(*text_bytes(pa.array(texts)))
+    assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == whole(texts)
+    rows = list(enumerate(texts[:5]))
+    got = records.encoded_documents(spark.createDataFrame(rows, "doc_id long, text string"), queries.byte_bpe).collect()
+    assert next(r["ids"] for r in got if r["doc_id"] == 0) == [64, 50256, 65, 0]
+    assert sorted((r["doc_id"], r["start"], r["ids"]) for r in got) == [(d, start, ids.tolist()) for d, start, ids in brute.token_records(rows, whole)]
+
+
 def test_records_round_trip(spark, docs, rows, encode, tmp_path):
     where = str(tmp_path / "out")
     manifest = records.write_records(docs, where, queries.byte_bpe, file_bytes=100_000)
