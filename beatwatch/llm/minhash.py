@@ -217,14 +217,12 @@ def shared_counts(one: list[np.ndarray], two: list[np.ndarray], width: int = 409
     return out
 
 
-def cross_links(members: DataFrame, vals: DataFrame, least: float, num: int, den: int) -> DataFrame:
-    """Pairs ``a < b`` that join different labels of a bucket, and whether they were compared ``whole``.
+def tile_rows(members: DataFrame, vals: DataFrame) -> DataFrame:
+    """The rows of ``members`` with their ``vals``, as often as tiles ``key, t, u`` of their bucket hold them.
 
-    ``members``: key, label, id, n_shingles, private, s0..s3. A bucket's largest label is dealt over tiles, each
-    of which meets all rows of the other labels; these meet each other tile by tile. So a bucket of any
-    size is compared whole, by many tasks of bounded memory. A pair whose packed bits reach ``least`` is
-    counted on 32-bit hashes of its sets. Of pairs of whole sets that pass, a tile gives one for each two labels that it
-    joins; those of larger sets, whose least hashes only estimate, are all given.
+    A bucket's largest label and its other rows are dealt over tiles of about ``TILE`` rows. Each tile of the
+    others meets each of the main label (``t`` = -1 - its number, ``u`` that of the main tile; ``own`` is
+    -1 for main rows) and each other one (``t`` <= ``u``). So no group holds more than two tiles of rows.
     """
     held = ["label", "id", "n_shingles", "private", "s0", "s1", "s2", "s3", "vals"]
     per_label = members.groupBy("key", "label").agg(F.count("*").alias("n"))
@@ -236,12 +234,25 @@ def cross_links(members: DataFrame, vals: DataFrame, least: float, num: int, den
         F.ceil((F.col("all") - F.col("top.n")) / TILE).cast("int").alias("tiles"),
     )
     rows = members.join(per_key, "key").join(vals, "id")
-    tile = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
-    in_main = rows.filter("label = main").select("key", F.lit(-1).alias("t"), F.pmod(F.xxhash64("id"), F.col("main_tiles")).cast("int").alias("u"), F.lit(-1).alias("own"), *held)
-    other = rows.filter("label <> main").withColumn("own", tile)
-    against_main = other.select("key", F.lit(-1).alias("t"), F.explode(F.sequence(F.lit(0), F.col("main_tiles") - 1)).alias("u"), "own", *held)
-    with_each = other.select("key", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o"), "own", *held)
+    tile = lambda count: F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    main = rows.filter("label = main").withColumn("u", tile("main_tiles")).withColumn("own", F.lit(-1))
+    other = rows.filter("label <> main").withColumn("own", tile("tiles"))
+    in_main = main.select("key", each("tiles").alias("o"), "u", "own", *held).select("key", (-1 - F.col("o")).alias("t"), "u", "own", *held)
+    against_main = other.select("key", (-1 - F.col("own")).alias("t"), each("main_tiles").alias("u"), "own", *held)
+    with_each = other.select("key", each("tiles").alias("o"), "own", *held)
     among = with_each.select("key", F.least("own", "o").alias("t"), F.greatest("own", "o").alias("u"), "own", *held)
+    return in_main.union(against_main).union(among)
+
+
+def cross_links(members: DataFrame, vals: DataFrame, least: float, num: int, den: int) -> DataFrame:
+    """Pairs ``a < b`` that join different labels of a bucket, and whether they were compared ``whole``.
+
+    ``members``: key, label, id, n_shingles, private, s0..s3. A bucket of any size is compared whole, tile by
+    tile, by many tasks of bounded memory. A pair whose packed bits reach ``least`` is
+    counted on 32-bit hashes of its sets. Of pairs of whole sets that pass, a tile gives one for each two labels that it
+    joins; those of larger sets, whose least hashes only estimate, are all given.
+    """
     margin = 6 * (num / den * (1 - num / den) / BOTTOM) ** 0.5
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
@@ -280,7 +291,7 @@ def cross_links(members: DataFrame, vals: DataFrame, least: float, num: int, den
         pairs = np.stack([np.minimum(ids[one], ids[two]), np.maximum(ids[one], ids[two])]) if found else np.zeros((2, 0), np.int64)
         return pa.table({"a": pairs[0], "b": pairs[1], "whole": pa.array([f[2] for f in found], pa.bool_())})
 
-    found = in_main.union(against_main).union(among).groupBy("key", "t", "u").applyInArrow(compare, "a long, b long, whole boolean")
+    found = tile_rows(members, vals).groupBy("key", "t", "u").applyInArrow(compare, "a long, b long, whole boolean")
     return found.distinct()
 
 

@@ -120,6 +120,34 @@ def test_chains_of_near_copies(spark):
     assert got == brute.components(data)
 
 
+def test_buckets_of_many_labels_are_compared_in_small_tiles(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "TILE", 8)
+    bits = ", ".join(f"s{i} long" for i in range(4))
+    for sizes in ([5] + [1] * 80, [40] + [1] * 30):
+        label = [n for n, size in enumerate(sizes) for _ in range(size)]
+        members = spark.createDataFrame([(1, x, i, 9, 0, 0, 0, 0, 0) for i, x in enumerate(label)], f"key long, label long, id long, n_shingles long, private long, {bits}")
+        vals = members.selectExpr("id", "binary('') vals")
+        groups = {}
+        for r in minhash.tile_rows(members, vals).collect():
+            groups.setdefault((r["t"], r["u"]), []).append((r["id"], r["own"]))
+        assert max(map(len, groups.values())) <= 40
+        met = set()
+        for (t, u), rows in groups.items():
+            first, second = ([i for i, own in rows if own >= 0], [i for i, own in rows if own < 0]) if t < 0 else ([i for i, own in rows if own == t], [i for i, own in rows if own == u])
+            met |= {frozenset((i, j)) for i in first for j in second}
+        assert all(frozenset((i, j)) in met for i in range(len(label)) for j in range(i) if label[i] != label[j])
+    # a template whose texts share bands and stay below the threshold, with a few linked copies among them
+    draw, data = random.Random(6), []
+    for n in range(120):
+        text = [f"w{i}" for i in range(200)]
+        for at in range(15, 195, 20):
+            text[at] = f"fill{draw.randrange(5)}"
+        data.append((n, " ".join(text)))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df).collect()}
+    assert got == brute.components(data) and 16 < len({c for _, c in got.values()}) < len(data)
+
+
 def test_texts_of_one_doc_id_are_one_document(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
     data = [(7, a), (3, a + " end"), (7, b), (9, b), (9, c), (1, c + " end"), (5, "alone here with five words"), (5, "and once more with others")]
