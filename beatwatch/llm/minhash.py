@@ -8,6 +8,7 @@ the full sets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,8 @@ SHINGLE = 5
 MINIMA = 128
 BITS = 2
 BAND = 4
-# six standard deviations of the estimate below the link threshold of 0.85
-LEAST_ESTIMATE = 0.62
+# standard deviations of the estimate that a pair at the threshold may fall below it
+DEVIATIONS = 6
 TILE = 1024
 # 32-bit hashes kept of a set to compare it in tiles; larger sets are estimated from so many
 BOTTOM = 1024
@@ -120,6 +121,14 @@ def estimate(left: str, right: str) -> Column:
     return (F.lit(1.0) - (part(0, 2) + part(1, 3)) / F.lit(float(MINIMA)) - F.lit(chance)) / F.lit(1.0 - chance)
 
 
+def least_estimate(percent: int) -> float:
+    """The estimate a pair needs: ``DEVIATIONS`` below the link threshold, rounded down to hundredths."""
+    chance = 1.0 / (1 << BITS)
+    equal = chance + (1 - chance) * percent / 100
+    deviation = math.sqrt(equal * (1 - equal) / MINIMA) / (1 - chance)
+    return math.floor(percent - 100 * DEVIATIONS * deviation) / 100
+
+
 def node_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``id, text``: one text of each node ``id, at, fp1, fp2``: that of doc_id ``at`` with the node's fingerprint."""
     found = docs.select(F.col("doc_id").alias("at"), "text").join(nodes.select("id", "at", "fp1", "fp2"), "at")
@@ -314,7 +323,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
         raise ValueError("bands and margin are laid out for 80 to 100 percent")
     spark = docs.sparkSession
     where = shared_dir(spark, "minhash")
-    least = LEAST_ESTIMATE - 0.85 + percent / 100
+    least = least_estimate(percent)
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     sketches(docs).write.parquet(f"{where}/sketches")
     all_docs = spark.read.parquet(f"{where}/sketches")
@@ -388,7 +397,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     return found.union(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def without_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
+def without_duplicates(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     """One document of each group of near-duplicates, with all columns.
 
     Of rows that share a doc_id one stays, that with the least hash of its text; a null doc_id stays.

@@ -148,6 +148,23 @@ def test_buckets_of_many_labels_are_compared_in_small_tiles(spark, monkeypatch):
     assert got == brute.components(data) and 16 < len({c for _, c in got.values()}) < len(data)
 
 
+def test_pipeline_stage_links_at_80_percent(spark, docs, rows):
+    import corpus_pipeline
+
+    want = brute.components([r[:2] for r in rows], 80)
+    assert want != brute.components([r[:2] for r in rows], 85)
+    left = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, SF)
+    assert {r["doc_id"] for r in left.select("doc_id").collect()} == {d for d, (_, c) in want.items() if c == d}
+
+
+def test_least_estimate_is_six_deviations_below_the_threshold():
+    for percent in range(80, 101):
+        share = 0.25 + 0.75 * percent / 100
+        most = percent / 100 - 6 * math.sqrt(share * (1 - share) / minhash.MINIMA) / 0.75
+        assert most - 0.011 < minhash.least_estimate(percent) <= most + 1e-9
+    assert (minhash.least_estimate(80), minhash.least_estimate(85)) == (0.54, 0.62)
+
+
 def test_texts_of_one_doc_id_are_one_document(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
     data = [(7, a), (3, a + " end"), (7, b), (9, b), (9, c), (1, c + " end"), (5, "alone here with five words"), (5, "and once more with others")]
