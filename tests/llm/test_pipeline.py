@@ -26,14 +26,13 @@ def test_pipeline(spark):
     stage = frames["quality_rules"](spark, table, SF)
     assert stage.columns == table.columns and {r["doc_id"] for r in stage.select("doc_id").collect()} == left.keys() < docs.keys()
 
-    groups = brute.components(list(left.items()))
+    groups = brute.components(list(left.items()), percent=80)
     left = {d: t for d, t in left.items() if groups[d][1] == d}
     bad = brute.contaminated(list(left.items()), benchmark)
     left = {d: t for d, t in left.items() if not bad[d]}
     copies, _ = brute.mix([(d, t, docs[d]["source"]) for d, t in left.items()])
 
     tokenizer = Tokenizer.from_file(queries.byte_bpe())
-    tokenizer.encode_special_tokens = True
     rows = [(d, t) for d, t in left.items() for _ in range(copies[d])]
     want = brute.token_records(rows, lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)])
     got = corpus_pipeline.run(spark, SF).collect()
