@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beatwatch.llm import language, minhash, mixing, pii, recompression, records, repetition, sharding, suffix_tree, tiling
+from beatwatch.llm import language, minhash, mixing, pii, recompression, records, repetition, sharding, suffix_tree, tiling, whitening
 from beatwatch.llm.ship import ship
 
 
@@ -100,6 +100,14 @@ def op10_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contaminated(documents(spark, sf_dir), benchmark(spark, sf_dir))
 
 
+def op12_jacobi_davidson_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the four leading components of the distinct vectors' covariance."""
+    ship(spark)
+    vectors = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+    rows = whitening.whiten(vectors, whitening.fit(vectors))
+    return rows.withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_tree_scores": op1_suffix_tree_scores,
     "op2_minhash_near_duplicates": op2_minhash_near_duplicates,
@@ -111,4 +119,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rendezvous_shards": op8_rendezvous_shards,
     "op9_token_records": op9_token_records,
     "op10_benchmark_tiling": op10_benchmark_tiling,
+    "op12_jacobi_davidson_whitening": op12_jacobi_davidson_whitening,
 }
