@@ -55,8 +55,10 @@ _QUALITY = rf"""
 WITH {_WORDS}, {", ".join(_covered(n) for n in _LIMITS)},
 chars AS (SELECT doc_id, count(*) AS n_words, sum(length(word))::BIGINT AS word_chars FROM w GROUP BY doc_id),
 lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
-again AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS dup FROM lines WHERE regexp_matches(line, '[^ 	-]')),
-dups AS (SELECT doc_id, count(*) AS n_dup_lines, sum(length(regexp_replace(line, '[ 	-]', '', 'g')))::BIGINT AS dup_line_chars FROM again WHERE dup GROUP BY doc_id),
+again AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS dup FROM lines WHERE regexp_matches(line, '[^ 	-
+]')),
+dups AS (SELECT doc_id, count(*) AS n_dup_lines, sum(length(regexp_replace(line, '[ 	-
+]', '', 'g')))::BIGINT AS dup_line_chars FROM again WHERE dup GROUP BY doc_id),
 found AS (SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
     coalesce(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')), 0) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(words_5, 0) AS n_repeat_words,
     coalesce(dup_line_chars, 0) AS dup_line_chars, {", ".join(f"coalesce(covered_{n}, 0) AS covered_{n}" for n in _LIMITS)}
@@ -75,7 +77,8 @@ SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_re
 """
 
 _NEAR = rf"""
-WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS ws FROM documents),
+WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS ws FROM documents),
 w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM split),
 sh AS (SELECT DISTINCT doc_id, gram FROM ({_windows(5)}) UNION SELECT doc_id, array_to_string(ws, ' ') FROM split WHERE len(ws) BETWEEN 1 AND 4),
 n AS (SELECT doc_id, count(*) AS k FROM sh GROUP BY doc_id),
@@ -87,9 +90,25 @@ SELECT d.doc_id, coalesce(n.k, 0) AS n_shingles, least(d.doc_id, coalesce(r.low,
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) r ON r.a = d.doc_id
 """
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+_SEARCH = f"""
+WITH split AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents),
+docs AS (SELECT r, doc_id, len(ts)::BIGINT AS n FROM split WHERE len(ts) > 0),
+total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM docs),
+asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+tf AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ts) AS term FROM split) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(total.docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total WHERE term IN (SELECT term FROM asked) GROUP BY term),
+scored AS (SELECT a.item_id, d.r, d.doc_id, sum(w.w * ((1000000000 * t.tf) // (1000 * t.tf + 8 * (10 + (90 * d.n * total.docs) // total.terms))))::BIGINT AS score
+  FROM asked a JOIN weights w USING (term) JOIN tf t USING (term) JOIN docs d USING (r), total GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r)::INT AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 SQL: dict[str, str] = {
     "op2_minhash_near_duplicates": _NEAR,
     "op3_mix_sources": _MIX,
     "op5_repetition_rules": _QUALITY,
     "op6_recompression_repeats": _REPEATS,
+    "op13_block_max_search": _SEARCH,
 }

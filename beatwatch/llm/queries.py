@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beatwatch.llm import language, minhash, mixing, pii, recompression, records, repetition, sharding, suffix_tree, tiling, whitening
+from beatwatch.llm import language, minhash, mixing, pii, recompression, records, repetition, search, sharding, suffix_tree, tiling, whitening
 from beatwatch.llm.ship import ship
 
 
@@ -108,6 +108,11 @@ def op12_jacobi_davidson_whitening(spark: SparkSession, sf_dir: str) -> DataFram
     return rows.withColumn("deviation", F.expr("try_cast(deviation as long)"))
 
 
+def op13_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return search.ranked_search(documents(spark, sf_dir), benchmark(spark, sf_dir), top=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_tree_scores": op1_suffix_tree_scores,
     "op2_minhash_near_duplicates": op2_minhash_near_duplicates,
@@ -120,4 +125,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_records": op9_token_records,
     "op10_benchmark_tiling": op10_benchmark_tiling,
     "op12_jacobi_davidson_whitening": op12_jacobi_davidson_whitening,
+    "op13_block_max_search": op13_block_max_search,
 }

@@ -102,9 +102,9 @@ def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int
         row = end
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Words of the texts that ``offsets`` cut from ``data``."""
-    inside = _IN_WORD[data]
+def find_words(data: np.ndarray, offsets: np.ndarray, of: np.ndarray = _IN_WORD) -> Words:
+    """Words of the texts that ``offsets`` cut from ``data``; ``of`` tells for each byte whether words hold it."""
+    inside = of[data]
     edge = np.empty(len(data) + 1, bool)
     edge[0] = True
     edge[-1] = True
