@@ -169,32 +169,45 @@ def _dictionary(row: dict) -> pa.Array:
 
 
 class Shard:
-    """A shard row for reading; postings stay packed."""
+    """A shard row for reading. A block is unpacked when it is first asked for, and then stays for other items."""
 
     def __init__(self, row: dict) -> None:
         self.ids, self.no_id, self.m = (_array(row[k], ARRAYS[k]) for k in ("doc_ids", "no_id", "m"))
-        self.terms, self.df = _dictionary(row), _array(row["df"], np.int32).astype(np.int64)
+        self.terms, df = _dictionary(row), _array(row["df"], np.int32).astype(np.int64)
         self.low, self.high, self.best = (_array(row[k], np.int32).astype(np.int64) for k in ("low", "high", "best"))
         wide = _array(row["wide"], np.uint8)
         self.step, self.more = wide & 15, wide >> 4
-        # blocks of term t: from[t] to from[t + 1]
-        blocks = -(-self.df // BLOCK)
-        self.first = np.concatenate(([0], np.cumsum(blocks)))
+        # blocks of term t: first[t] to first[t + 1]; postings of block b: place[b] to place[b + 1]
+        self.first = np.concatenate(([0], np.cumsum(-(-df // BLOCK))))
         self.count = np.full(len(self.low), BLOCK, np.int64)
-        some = self.df > 0
-        self.count[self.first[1:][some] - 1] = (self.df[some] - 1) % BLOCK + 1
+        self.count[self.first[1:] - 1] = (df - 1) % BLOCK + 1
+        self.place = np.concatenate(([0], np.cumsum(self.count)))
+        self.bound = np.maximum.reduceat(self.best, self.first[:-1]) if len(df) else df
         self.starts = _starts(self.count, self.step, self.more)
         self.body = np.frombuffer(row["postings"], np.uint8)
-
-    def unpack(self, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Documents and frequencies in some blocks, in the blocks' order."""
+        self.packed = np.ones(len(self.low), bool)
+        # a packed block stands there as its last document, so that lists stay in order
+        self.doc = np.repeat(self.high, self.count)
+        self.factor = np.zeros(len(self.doc), np.int64)
+
+    def postings(self, term: int) -> tuple[np.ndarray, np.ndarray]:
+        """Documents and factors of a list; those of packed blocks are not to be used."""
+        a, b = self.place[self.first[term]], self.place[self.first[term + 1]]
+        return self.doc[a:b], self.factor[a:b]
+
+    def unpack(self, blocks: np.ndarray) -> None:
+        blocks = blocks[self.packed[blocks]]
+        if not len(blocks):
+            return
+        self.packed[blocks] = False
         count, start = self.count[blocks], self.starts[blocks]
-        total = int(count.sum())
-        doc, tf = np.repeat(self.low[blocks], count), np.ones(total, np.int64)
+        doc, tf = np.repeat(self.low[blocks], count), np.ones(int(count.sum()), np.int64)
         for into, begin, width in ((doc, start, self.step[blocks]), (tf, start + count * self.step[blocks], self.more[blocks])):
             for plane, has, at in _planes(begin, count, width):
                 into[has] += self.body[at].astype(np.int64) << (8 * plane)
-        return doc, tf
+        at = np.arange(len(doc)) + np.repeat(self.place[blocks] - (np.cumsum(count) - count), count)
+        self.doc[at] = doc
+        self.factor[at] = factors(tf, self.m[doc])
 
 
 @dataclass
@@ -221,32 +234,28 @@ class Ranking:
         self.score, self.ids, self.no_id = score[order], ids[order], no_id[order]
 
 
-def rank_in_shard(shard: Shard, codes: np.ndarray, weights: np.ndarray, ranking: Ranking) -> int:
-    """Add the shard's documents that may be among the best to ``ranking``; how many blocks were unpacked.
+def rank_in_shard(shard: Shard, codes: np.ndarray, weights: np.ndarray, ranking: Ranking) -> None:
+    """Add the shard's documents that may be among the best to ``ranking``.
 
     ``codes``: the item's terms that the shard has, ``weights``: theirs.
     """
-    bounds = weights * np.array([shard.best[shard.first[c] : shard.first[c + 1]].max() for c in codes], np.int64)
+    bounds = weights * shard.bound[codes]
     order = np.argsort(-bounds, kind="stable")
     codes, weights, bounds = codes[order], weights[order], bounds[order]
     # what lists from i on can add
     left = np.append(np.cumsum(bounds[::-1])[::-1], 0)
     score = np.zeros(len(shard.m), np.int64)
     seen = np.zeros(len(shard.m), bool)
-    opened = 0
-
-    def essential(a: int, b: int) -> None:
-        nonlocal opened
-        for i in range(a, b):
-            blocks = np.arange(shard.first[codes[i]], shard.first[codes[i] + 1])
-            opened += len(blocks)
-            doc, tf = shard.unpack(blocks)
-            score[doc] += weights[i] * factors(tf, shard.m[doc])
+
+    def essential(start: int, end: int) -> None:
+        for i in range(start, end):
+            shard.unpack(np.arange(shard.first[codes[i]], shard.first[codes[i] + 1]))
+            doc, factor = shard.postings(codes[i])
+            score[doc] += weights[i] * factor
             seen[doc] = True
 
     def complete(doc: np.ndarray, start: int) -> None:
         """Scores of documents by the lists from ``start`` on, dropping those that cannot reach the bar."""
-        nonlocal opened
         sums = score[doc]
         for i in range(start, len(codes)):
             stays = sums + left[i] >= ranking.bar
@@ -256,26 +265,25 @@ def rank_in_shard(shard: Shard, codes: np.ndarray, weights: np.ndarray, ranking:
             a, b = shard.first[codes[i]], shard.first[codes[i] + 1]
             block = a + np.searchsorted(shard.high[a:b], doc)
             inside = block < b
-            inside[inside] = shard.low[block[inside]] <= doc[inside]
-            room = np.zeros(len(doc), np.int64)
-            room[inside] = weights[i] * shard.best[block[inside]]
-            stays = sums + room + left[i + 1] >= ranking.bar
+            block = np.minimum(block, b - 1)
+            inside &= shard.low[block] <= doc
+            stays = sums + np.where(inside, weights[i] * shard.best[block], 0) + left[i + 1] >= ranking.bar
             doc, sums, block, inside = doc[stays], sums[stays], block[stays], inside[stays]
             if not inside.any():
                 continue
-            wanted = np.unique(block[inside])
-            opened += len(wanted)
-            there, tf = shard.unpack(wanted)
-            at = np.minimum(np.searchsorted(there, doc), len(there) - 1)
-            hit = there[at] == doc
-            sums[hit] += weights[i] * factors(tf[at[hit]], shard.m[doc[hit]])
+            shard.unpack(np.unique(block[inside]))
+            there, factor = shard.postings(codes[i])
+            at = np.searchsorted(there, doc)
+            at[~inside] = 0
+            hit = inside & (there[at] == doc)
+            sums[hit] += weights[i] * factor[at[hit]]
         stays = sums >= ranking.bar
         ranking.add(sums[stays], shard.ids[doc[stays]], shard.no_id[doc[stays]])
 
     # the lists with the highest maxima give some documents, and these a bar for the rest
     e, have = 0, 0
     while e < len(codes) and have < FIRST and left[e] >= ranking.bar:
-        have += int(shard.df[codes[e]])
+        have += len(shard.postings(codes[e])[0])
         e += 1
     essential(0, e)
     found = np.flatnonzero(seen)
@@ -291,7 +299,6 @@ def rank_in_shard(shard: Shard, codes: np.ndarray, weights: np.ndarray, ranking:
     rest |= seen
     rest[ahead] = False
     complete(np.flatnonzero(rest), last)
-    return opened
 
 
 def build_index(docs: DataFrame, where: str, total: Totals | None = None) -> tuple[DataFrame, Totals]:
