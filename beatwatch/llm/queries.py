@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from beatwatch.llm import language, minhash, mixing, pii, recompression, records, repetition, search, sharding, suffix_tree, tiling, whitening
+from beatwatch.llm import language, minhash, mixing, pii, quality_net, recompression, records, repetition, search, sharding, suffix_tree, tiling, whitening
 from beatwatch.llm.ship import ship
 
 
@@ -100,6 +100,14 @@ def op10_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contaminated(documents(spark, sf_dir), benchmark(spark, sf_dir))
 
 
+def op11_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by a network trained on the labels of three quarters of them."""
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet").filter(~quality_net.held_out())
+    net = quality_net.fit(docs, labels.select("doc_id", F.col("quality").alias("label")))
+    return quality_net.score(docs, net).select("doc_id", quality_net.held_out().alias("held_out"), "score", "predicted")
+
+
 def op12_jacobi_davidson_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector on the four leading components of the distinct vectors' covariance."""
     ship(spark)
@@ -124,6 +132,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rendezvous_shards": op8_rendezvous_shards,
     "op9_token_records": op9_token_records,
     "op10_benchmark_tiling": op10_benchmark_tiling,
+    "op11_byte_cnn_quality": op11_byte_cnn_quality,
     "op12_jacobi_davidson_whitening": op12_jacobi_davidson_whitening,
     "op13_block_max_search": op13_block_max_search,
 }
