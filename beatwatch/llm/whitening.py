@@ -71,7 +71,7 @@ def matrix(x: np.ndarray, first: np.ndarray, dims: int) -> np.ndarray:
     """Rows of ``dims`` entries; shorter ones are filled with zeros."""
     sizes = np.diff(first)
     if len(sizes) and (sizes == dims).all():
-        return x.reshape(-1, dims)
+        return x.reshape(len(sizes), dims)
     out = np.zeros((len(sizes), dims), np.int64)
     row = np.repeat(np.arange(len(sizes)), sizes)
     place = np.arange(len(x)) - np.repeat(first[:-1], sizes)
