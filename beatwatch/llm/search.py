@@ -282,7 +282,7 @@ def rank_in_shard(shard: Shard, codes: np.ndarray, weights: np.ndarray, ranking:
 
     # the lists with the highest maxima give some documents, and these a bar for the rest
     e, have = 0, 0
-    while e < len(codes) and have < FIRST and left[e] >= ranking.bar:
+    while e < len(codes) and have < ranking.top and left[e] >= ranking.bar:
         have += len(shard.postings(codes[e])[0])
         e += 1
     essential(0, e)
