@@ -16,12 +16,12 @@ from beatwatch.session import build_session, shared_dir
 from beatwatch.sinks.tables import overwrite_table
 from beatwatch.sources.csv_files import find_csv, land_counted, project, split_corrupt
 
-# The part of each dataset's file name that identifies it.
-FILE_KEYWORDS = {
+# The part of each dataset's file name that identifies it, in each of its spellings.
+FILE_KEYWORDS: dict[str, str | tuple[str, ...]] = {
     "crimes": "rimes",
     "arrests": "rrests",
     "violence": "iolence",
-    "sex-offenders": "ex_Off",
+    "sex-offenders": ("ex_Off", "ex Off"),
     "police-stations": "tations",
 }
 
@@ -31,14 +31,14 @@ def load_raw(
 ) -> tuple[dict[str, DataFrame], dict[str, dict[str, int]]]:
     """The well-formed rows of the five datasets, and how many rows were read and malformed in each.
 
-    Each CSV is read once into Parquet over ``partitions`` tasks (default: twice the cores); a multi-line
-    CSV is one task and would be re-read by every table. Malformed rows stay in the landed table.
+    Each CSV is parsed once into Parquet, in ``partitions`` files if given, so that no table parses it again.
+    Malformed rows stay in the landed table.
     """
     landing = landing or shared_dir(spark, "landing")
     rows, counts = {}, {}
     for dataset, word in FILE_KEYWORDS.items():
         raw = project(find_csv(spark, data_dir, word, dataset, keep_corrupt=True), dataset)
-        landed, counts[dataset] = land_counted(raw, f"{landing}/{dataset}", partitions or 2 * spark.sparkContext.defaultParallelism)
+        landed, counts[dataset] = land_counted(raw, f"{landing}/{dataset}", partitions)
         rows[dataset], _ = split_corrupt(landed)
     return rows, counts
 

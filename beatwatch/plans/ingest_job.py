@@ -28,7 +28,7 @@ def publish(
     counts = []
     for number, dataset in enumerate(STREAMED_DATASETS):
         raw = project(find_csv(spark, data_dir, FILE_KEYWORDS[dataset], dataset, keep_corrupt=True), dataset)
-        landed, seen = land_counted(raw, f"{landing.rstrip('/')}/{dataset}", partitions or 2 * spark.sparkContext.defaultParallelism)
+        landed, seen = land_counted(raw, f"{landing.rstrip('/')}/{dataset}", partitions)
         good, _ = split_corrupt(landed)
         sent = Observation()
         messages = raw_messages(unify({dataset: good}, ids=source_place()), codec=codec)

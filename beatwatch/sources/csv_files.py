@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, DataFrameReader, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from beatwatch.functions.text import null_if_empty
 from beatwatch.schemas import RAW_COLUMNS, STREAMED_DATASETS, raw_schema
-
-CORRUPT = "_corrupt_record"
+from beatwatch.sources.csv_records import CORRUPT, read_records
 
 # File-name rules in the order they apply.
 FILE_RULES = (
@@ -24,44 +21,18 @@ FILE_RULES = (
 )
 
 
-def _reader(spark: SparkSession) -> DataFrameReader:
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE")
-
-
-def files_by_header(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """The files under ``path`` by their header; for each file one job that reads its first record. Files without a line are left out."""
-    found: dict[tuple[str, ...], list[str]] = {}
-    for file in sorted(spark.read.format("text").load(path).inputFiles()):
-        header = tuple(_reader(spark).csv(file).columns)
-        if header:
-            found.setdefault(header, []).append(file)
-    return found
-
-
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, keep_corrupt: bool = False) -> DataFrame:
     """The columns of ``schema`` by name from all-text CSV with header, multi-line quoted fields and doubled quotes.
 
-    Columns may stand in any order and among others; a missing one is an error. Files with
-    different headers are read apart. An empty field is null, quoted or not. A multi-line file cannot be split, so
-    it is one task; ``land`` it once as Parquet and query that.
+    Columns may stand in any order and among others; a missing one is an error. Every file goes by its own
+    header. An empty field is null, quoted or not. Large files are cut over many tasks wherever records end (see
+    ``csv_records``); rows come in no order. The files are read once, when this is called.
     With ``keep_corrupt`` rows with a wrong number of fields carry their text in ``_corrupt_record``.
     """
-    parts = []
-    for header, files in files_by_header(spark, path).items():
-        if missing := [f.name for f in schema if f.name not in header]:
-            raise ValueError(f"{files[0]} has no column {', '.join(missing)}")
-        fields = [T.StructField(name, T.StringType()) for name in header]
-        reader = _reader(spark)
-        if keep_corrupt:
-            fields.append(T.StructField(CORRUPT, T.StringType()))
-            # all columns are parsed even when few are asked for, so short rows are always noticed
-            reader = reader.option("columnPruning", False).option("columnNameOfCorruptRecord", CORRUPT)
-        rows = reader.schema(T.StructType(fields)).csv(files)
-        parts.append(rows.select(*[F.col(f"`{f.name}`") for f in schema], *([CORRUPT] if keep_corrupt else [])))
-    if not parts:
-        empty = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]) if keep_corrupt else schema
-        return spark.createDataFrame([], empty)
-    return reduce(DataFrame.unionByName, parts)
+    rows = read_records(spark, path, schema.fieldNames(), keep_corrupt)
+    if rows is None:
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]) if keep_corrupt else schema)
+    return rows
 
 
 def any_case_glob(keyword: str) -> str:
@@ -69,11 +40,12 @@ def any_case_glob(keyword: str) -> str:
     return "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else f"[{c}]" for c in keyword) + "*.csv"
 
 
-def find_csv(spark: SparkSession, folder: str, keyword: str, dataset: str, keep_corrupt: bool = False) -> DataFrame:
-    """Read every CSV file (or folder of CSV parts) in ``folder`` whose name contains ``keyword`` in
-    any case and ends in .csv; none is an error."""
+def find_csv(spark: SparkSession, folder: str, keyword: str | tuple[str, ...], dataset: str, keep_corrupt: bool = False) -> DataFrame:
+    """Read every CSV file (or folder of CSV parts) in ``folder`` whose name contains ``keyword``, or one of
+    several, in any case and ends in .csv; none is an error."""
+    words = (keyword,) if isinstance(keyword, str) else keyword
     try:
-        return read_csv(spark, f"{folder.rstrip('/')}/{any_case_glob(keyword)}", raw_schema(dataset), keep_corrupt)
+        return read_csv(spark, f"{folder.rstrip('/')}/{{{','.join(map(any_case_glob, words))}}}", raw_schema(dataset), keep_corrupt)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -104,10 +76,7 @@ def project(df: DataFrame, dataset: str) -> DataFrame:
 
 
 def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(well-formed rows, quarantined rows with their text) of a landed dataset.
-
-    Spark does not answer queries on the corrupt-record column straight from the CSV.
-    """
+    """(well-formed rows, quarantined rows with their text) of a landed dataset."""
     good = df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
     bad = df.filter(F.col(CORRUPT).isNotNull()).select(
         F.col(CORRUPT).alias("record"), F.lit("wrong_field_count").alias("reason")
