@@ -15,10 +15,5 @@ def content_id(*cols: Column | str) -> Column:
     return F.sha2(F.concat_ws("\x1f", *parts), 256)
 
 
-def source_place() -> Column:
-    """Where a row of a Parquet (or other file) scan stands: its file and its number in it. The same in every read."""
-    return F.concat(F.col("_metadata.file_path"), F.lit("#"), F.col("_metadata.row_index").cast("string"))
-
-
 def random_id() -> Column:
     return F.uuid()

@@ -20,8 +20,8 @@ _BODY = [c for c in UNIFIED_COLUMNS if c not in ("event_id", "processed_timestam
 def _event(df: DataFrame, dataset: str, ids: str | Column, now: Column | None, **fields: Column) -> DataFrame:
     """Fill the unified columns; those not given are typed nulls, empty text becomes null.
 
-    ``ids``: 'content' (equal rows share an id), 'random', or a column that tells rows apart, such as
-    ``ids.source_place()`` of a landed table: then ids are unique and the same when the table is read again.
+    ``ids``: 'content' (equal rows share an id; ``numbering.unique_ids`` tells them apart once they are written),
+    'random', or a column of the rows that tells them apart.
     """
 
     def one(name: str) -> Column:

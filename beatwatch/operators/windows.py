@@ -49,6 +49,29 @@ def district_metrics(
     )
 
 
+def _moments(x: Column) -> list[Column]:
+    """Count, mean and sum of squared distances from the mean."""
+    return [F.count(x).alias("_n"), F.avg(x).alias("_mean"), (F.var_pop(x) * F.count(x)).alias("_m2")]
+
+
+def _merged_moments() -> Column:
+    """``n, mean, m2`` of many ``_moments`` put together two by two, by the distance of their means (Chan's rule).
+
+    Nothing grows with the square of the values, so a mean of millions of deviations does no harm. A group has as many
+    parts as a window has panes.
+    """
+    part = F.struct(F.col("_n").cast("double").alias("n"), F.col("_mean").alias("mean"), F.col("_m2").alias("m2"))
+
+    def merge(a: Column, b: Column) -> Column:
+        n, apart = a["n"] + b["n"], b["mean"] - a["mean"]
+        mean = a["mean"] + apart * b["n"] / n
+        m2 = a["m2"] + b["m2"] + apart * apart * a["n"] * b["n"] / n
+        return F.struct(n.alias("n"), mean.alias("mean"), m2.alias("m2"))
+
+    none = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    return F.aggregate(F.sort_array(F.collect_list(F.when(F.col("_n") > 0, part))), none, merge)
+
+
 def sliding_stats(
     events: DataFrame,
     ts: str = "processed_at",
@@ -60,27 +83,20 @@ def sliding_stats(
 ) -> DataFrame:
     """Count, mean, sample standard deviation and maximum per window and key.
 
-    A batch frame is merged from panes by sums of the measure and its square, in double: exact for whole
-    numbers up to 2^53 in the sum of squares; for others good while the mean is not millions of deviations.
+    A batch frame is merged from panes: counts, maxima, and moments by Chan's rule, as the engine merges them in a stream.
     """
     if not events.isStreaming:
         x = F.col(measure).cast("double")
-        partials = [
-            F.count("event_id").alias("_c"),
-            F.count(x).alias("_n"),
-            F.sum(x).alias("_s"),
-            F.sum(x * x).alias("_q"),
-            F.max(measure).alias("_m"),
-        ]
+        partials = [F.count("event_id").alias("_c"), *_moments(x), F.max(measure).alias("_m")]
         rows = _panes(events, ts, size, slide, [key], partials).groupBy(F.window(ts, size, slide).alias("w"), key)
-        sums = rows.agg(*[F.sum(c).alias(c) for c in ("_c", "_n", "_s", "_q")], F.max("_m").alias("max_severity"))
-        n, s, q = (F.col(c).cast("double") for c in ("_n", "_s", "_q"))
-        stats = sums.select(
+        merged = rows.agg(F.sum("_c").alias("_c"), F.max("_m").alias("max_severity"), _merged_moments().alias("_all"))
+        n = F.col("_all.n")
+        stats = merged.select(
             "w",
             key,
             F.col("_c").alias("window_count"),
-            F.when(n > 0, s / n).alias("mean_severity"),
-            F.when(n > 1, F.sqrt(F.greatest(n * q - s * s, F.lit(0.0)) / (n * (n - 1)))).alias("stddev_severity"),
+            F.when(n > 0, F.col("_all.mean")).alias("mean_severity"),
+            F.when(n > 1, F.sqrt(F.col("_all.m2") / (n - 1))).alias("stddev_severity"),
             "max_severity",
         )
     else:

@@ -8,11 +8,13 @@ from pyspark.sql import SparkSession
 
 from beatwatch.session import build_session
 from beatwatch.sinks.tables import compact_versions
+from beatwatch.streaming.batches import ANOMALY_KEYS
 
 # Tables of the stream application in update or complete mode, with their keys.
 VERSIONED = {
     "metrics": ["window_start", "window_end", "district"],
     "counters": ["severity", "dataset"],
+    **{f"{kind}_alerts": keys for kind, keys in ANOMALY_KEYS.items()},
 }
 
 

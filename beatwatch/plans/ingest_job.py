@@ -7,8 +7,8 @@ import argparse
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from beatwatch.functions.ids import source_place
 from beatwatch.operators.normalise import unify
+from beatwatch.operators.numbering import unique_ids
 from beatwatch.plans.batch_job import FILE_KEYWORDS
 from beatwatch.schemas import STREAMED_DATASETS
 from beatwatch.session import build_session
@@ -21,17 +21,20 @@ def publish(
 ) -> DataFrame:
     """Publish every well-formed row as a unified event; returns ``dataset, read, malformed, published``.
 
-    Each dataset is landed once, which counts its rows, and read from there. Event ids come from a row's
-    content and its place in the landed table, so equal rows are events of their own and a repeated
-    write sends the same ids. Rows without a place for a field are malformed: they stay in the landed table with their text.
+    Each dataset is landed once, which counts its rows, and read from there; its events are written as well and sent
+    from that table. Event ids come from a row's content and its number among equal ones, so equal rows are events of
+    their own and another run over the same rows sends the same ids. Rows without a place for a field are malformed:
+    they stay in the landed table with their text.
     """
     counts = []
     for number, dataset in enumerate(STREAMED_DATASETS):
         raw = project(find_csv(spark, data_dir, FILE_KEYWORDS[dataset], dataset, keep_corrupt=True), dataset)
         landed, seen = land_counted(raw, f"{landing.rstrip('/')}/{dataset}", partitions)
         good, _ = split_corrupt(landed)
+        events = f"{landing.rstrip('/')}/events/{dataset}"
+        unify({dataset: good}).write.mode("overwrite").parquet(events)
         sent = Observation()
-        messages = raw_messages(unify({dataset: good}, ids=source_place()), codec=codec)
+        messages = raw_messages(unique_ids(spark.read.parquet(events)), codec=codec)
         target.write(messages.observe(sent, F.count(F.lit(1)).alias("published")), "raw", number)
         counts.append((dataset, seen["read"], seen["malformed"], sent.get["published"]))
     return spark.createDataFrame(counts, "dataset string, read long, malformed long, published long")

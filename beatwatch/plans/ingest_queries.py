@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from beatwatch.functions import envelope, ids, text, times
-from beatwatch.operators import normalise
+from beatwatch.operators import normalise, numbering
 from beatwatch.plans.registry import Tables, register
 from beatwatch.schemas import RAW_COLUMNS, UNIFIED_COLUMNS, raw_schema
 from beatwatch.sinks.topics import alert_messages, raw_messages
@@ -269,17 +269,31 @@ def _(t: Tables) -> DataFrame:
     )
 
 
+def _doubled_arrests(t: Tables, files: int) -> DataFrame:
+    path = t.work_dir("events")
+    normalise.arrest_events(t.arrests.unionAll(t.arrests)).repartition(files).write.parquet(path)
+    return numbering.unique_ids(t.spark.read.parquet(path))
+
+
 @register("nrm8b", "SELECT 2 * count(*) AS n, 2 * count(*) AS ids, 2 * count(*) AS same_again FROM arrests", "arrests")
 def _(t: Tables) -> DataFrame:
-    """Ids by place over a landed table in which every row stands twice, and how many a second read repeats."""
-    path = t.work_dir("landed")
-    t.arrests.unionAll(t.arrests).write.parquet(path)
-    read = lambda: normalise.arrest_events(t.spark.read.parquet(path), ids=ids.source_place())
-    first = read().agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
-    again = read().join(read().select("event_id"), "event_id", "left_semi").agg(F.count("*").alias("same_again"))
+    """Unique ids of a table in which every row stands twice, and how many of them a second run in other files repeats."""
+    runs = [_doubled_arrests(t, files) for files in (3, 5)]
+    first = runs[0].agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
+    again = runs[1].join(runs[0].select("event_id"), "event_id", "left_semi").agg(F.count("*").alias("same_again"))
     return first.select("n", "ids", again.scalar().alias("same_again"))
 
 
+@register(
+    "nrm8c",
+    f"""WITH doubled AS (SELECT event_id, row_number() OVER (PARTITION BY event_id) - 1 AS k FROM (({EVENTS_SQL['arrests']}) UNION ALL ({EVENTS_SQL['arrests']})))
+SELECT CASE WHEN k = 0 THEN event_id ELSE sha256(event_id || chr(31) || k) END AS event_id FROM doubled""",
+    "arrests",
+)
+def _(t: Tables) -> DataFrame:
+    return _doubled_arrests(t, 4).select("event_id")
+
+
 @register("nrm9", "SELECT arrest, lower(trim(arrest)) IN ('true', 'yes', '1') AS arrested, count(*) AS n FROM crimes GROUP BY ALL", "crimes")
 def _(t: Tables) -> DataFrame:
     return t.crimes.groupBy("arrest", text.truthy("arrest").alias("arrested")).agg(F.count("*").alias("n"))

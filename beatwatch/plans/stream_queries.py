@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from beatwatch.functions.ids import content_id
 from beatwatch.operators import trends, windows
 from beatwatch.operators.enrich import alerts_only, enrich, valid_events, with_event_time
 from beatwatch.operators.normalise import crime_events, offender_events
+from beatwatch.operators.numbering import unique_ids
 from beatwatch.operators.summaries import dataset_summary, topic_counters
 from beatwatch.plans.batch_queries import TRENDS
 from beatwatch.plans.ingest_queries import EVENTS_SQL, GOLD_EVENT, wire
@@ -23,7 +25,7 @@ from beatwatch.sinks.tables import compact_versions, newest_per_key, overwrite_t
 from beatwatch.sinks.topics import TopicTarget, on_topic, raw_messages
 from beatwatch.sources import topics
 from beatwatch.sources.tables import read_table
-from beatwatch.streaming.batches import Outputs, to_table
+from beatwatch.streaming.batches import ANOMALY_KEYS, Outputs, to_table
 from beatwatch.streaming.queries import start_counters, start_main, start_malformed, start_metrics, start_volume, start_zscore
 
 ONCE = {"availableNow": True}
@@ -40,6 +42,11 @@ def gold_stream(t: Tables) -> DataFrame:
     return stream_of(t, "events", "gold")
 
 
+def crime_content(gold: DataFrame) -> DataFrame:
+    """Unified events with ids of their content."""
+    return gold.select(content_id("event_id", "incident_date", "crime_type").alias("event_id"), *UNIFIED_COLUMNS[1:])
+
+
 def drain(*queries: StreamingQuery) -> None:
     """Wait until everything available was processed; a failed query raises."""
     for query in queries:
@@ -209,6 +216,46 @@ def _(t: Tables) -> DataFrame:
     return parsed.select("topic", "key", "v.*").drop("detected_at", "district")
 
 
+def _stored_in_parts(t: Tables, rows: DataFrame, parts: int) -> tuple[str, DataFrame]:
+    """A table in files that each hold rows of all windows, and a stream that takes one file a batch."""
+    path = t.work_dir("parts")
+    rows.repartition(parts, "event_id").write.parquet(path)
+    return path, topics.replay(t.spark, path, t.spark.read.parquet(path).schema, files_per_batch=1)
+
+
+def _volume_in_batches(t: Tables) -> Outputs:
+    """City-wide volume anomalies of valid events that come in four batches, most windows in several."""
+    out = outputs(t, "volume")
+    zoned = [F.col(c).cast("timestamp").alias(c) if k == "timestamp_ntz" else F.col(c) for c, k in t.gold.dtypes]
+    _, stream = _stored_in_parts(t, t.gold.select(*zoned), 4)
+    city = with_event_time(valid_events(stream)).withColumn("district", F.lit("CITY"))
+    with state_partitions(t.spark):
+        drain(start_volume(city, out, t.work_dir("checkpoint"), threshold=1, windows={"watermark": "3650 days"}, **ONCE))
+    return out
+
+
+@register("str10c", f"WITH {CITY_VOLUME}, {ANOMALIES} SELECT * FROM anomalies", "gold")
+def _(t: Tables) -> DataFrame:
+    """Each anomaly once with its newest count, compacted in between."""
+    table = f"{_volume_in_batches(t).root}/volume_alerts"
+    compact_versions(t.spark, table, ANOMALY_KEYS["volume"])
+    return conform(read_versions(t.spark, table, ANOMALY_KEYS["volume"]), "alerts").drop("detected_at")
+
+
+@register(
+    "str7b",
+    f"""WITH {CITY_VOLUME}, {ANOMALIES} SELECT source_dataset, window_start, alert_severity AS last_level, 0 AS sent_twice FROM anomalies""",
+    "gold",
+)
+def _(t: Tables) -> DataFrame:
+    """The last level sent of each window, and how often one level was sent again."""
+    sent = read_batches(t.spark, f"{_volume_in_batches(t).root}/topics/volume")
+    v = sent.select("batch_id", F.from_json("value", VOLUME_MESSAGE).alias("v")).select("batch_id", "v.*")
+    last = F.max_by("alert_severity", "batch_id").alias("last_level")
+    again = (F.count("*") - F.countDistinct("alert_severity")).cast("int").alias("sent_twice")
+    return v.groupBy("source_dataset", "window_start").agg(last, again)
+
+
 @register("str8", MALFORMED, "gold")
 def _(t: Tables) -> DataFrame:
     out = t.work_dir("malformed")
@@ -398,6 +445,19 @@ def _(t: Tables) -> DataFrame:
     return topic_counters(read_batches(t.spark, f"{root}/raw"))
 
 
+@register("snk6b", """SELECT 'raw-events-' || coalesce(source_dataset, 'unknown') AS topic, 2 * count(*) AS sent, 2 * count(*) AS keys FROM gold GROUP BY 1""", "gold")
+def _(t: Tables) -> DataFrame:
+    """Keys of two runs of a producer over the same rows, each of them there twice: every message of the second has a key of the first."""
+    root = t.work_dir("published")
+    content = crime_content(t.gold)
+    for run, files in enumerate((3, 5)):
+        path = t.work_dir("events")
+        content.unionAll(content).repartition(files).write.parquet(path)
+        TopicTarget(folder=root).write(raw_messages(unique_ids(t.spark.read.parquet(path))), "raw", run)
+    both = read_batches(t.spark, f"{root}/raw")
+    return both.groupBy("topic").agg(F.count_if(F.col("batch_id") == 1).alias("sent"), F.countDistinct("key").alias("keys"))
+
+
 @register("snk7", COUNTERS, "gold")
 def _(t: Tables) -> DataFrame:
     """The counters that the console shows, whole, from a table: the last batch's rows."""

@@ -77,16 +77,25 @@ def _whole(spark: SparkSession, path: str) -> bool:
     return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
 
 
-def read_versions(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The newest version of every key: the last compaction and the batches after it.
+def earlier_versions(spark: SparkSession, path: str, keys: list[str], batch_id: int) -> DataFrame | None:
+    """``read_versions`` as it was before the batch ``batch_id``, also where that batch is written already; None if there was none."""
+    batches, bases = (_children(spark, p, prefix) for p, prefix in ((path.rstrip("/"), "batch_id"), (f"{path.rstrip('/')}/_base", "upto")))
+    if not any(n < batch_id for n in batches) and not any(n < batch_id and _whole(spark, p) for n, p in bases.items()):
+        return None
+    return read_versions(spark, path, keys, batch_id)
+
+
+def read_versions(spark: SparkSession, path: str, keys: list[str], before: int | None = None) -> DataFrame:
+    """The newest version of every key: the last compaction and the batches after it, up to but not with batch ``before``.
 
     ``path`` must hold a batch or a compaction.
     """
     path = path.rstrip("/")
-    bases = {n: p for n, p in _children(spark, f"{path}/_base", "upto").items() if _whole(spark, p)}
+    wanted = lambda n: before is None or n < before
+    bases = {n: p for n, p in _children(spark, f"{path}/_base", "upto").items() if wanted(n) and _whole(spark, p)}
     upto = max(bases, default=-1)
     parts = [spark.read.parquet(bases[upto]).withColumn("batch_id", F.lit(upto).cast("long"))] if bases else []
-    later = [p for n, p in sorted(_children(spark, path, "batch_id").items()) if n > upto]
+    later = [p for n, p in sorted(_children(spark, path, "batch_id").items()) if n > upto and wanted(n)]
     if later:
         parts.append(spark.read.option("basePath", path).parquet(*later).withColumn("batch_id", F.col("batch_id").cast("long")))
     return newest_per_key(reduce(DataFrame.unionByName, parts), keys)

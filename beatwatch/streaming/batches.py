@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, Row
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from beatwatch.functions.severity import ALERT_FROM
 from beatwatch.operators.enrich import alerts_only
 from beatwatch.operators.windows import volume_alerts, zscore_alerts
 from beatwatch.schemas import conform
-from beatwatch.sinks.tables import write_batch, write_documents
+from beatwatch.sinks.tables import earlier_versions, write_batch, write_documents
 from beatwatch.sinks.topics import TopicTarget, alert_messages, on_topic
 
 log = logging.getLogger(__name__)
@@ -56,8 +57,36 @@ def fan_out(outputs: Outputs) -> Callable[[DataFrame, int], None]:
     return body
 
 
+# What names an anomaly, and the column in which it may rise.
+ANOMALY_KEYS = {
+    "volume": ["source_dataset", "district", "window_start", "window_end"],
+    "zscore": ["district", "window_start", "window_end"],
+}
+ANOMALY_LEVEL = {"volume": "alert_severity"}
+
+
+def not_yet_sent(batch: DataFrame, path: str, kind: str, batch_id: int) -> DataFrame:
+    """The rows of a batch whose anomaly was not in the table before, or had another level there.
+
+    A window's count only grows, so its level only rises, and the newest stored version tells all that was sent. Only
+    stored windows of the batch's span are read; a repeated batch is compared with what was there before it.
+    """
+    keys, level = ANOMALY_KEYS[kind], ANOMALY_LEVEL.get(kind)
+    before = earlier_versions(batch.sparkSession, path, keys, batch_id)
+    if before is None:
+        return batch
+    span = batch.agg(F.min("window_start").alias("a"), F.max("window_start").alias("b")).first()
+    known = before.filter(F.col("window_start").between(span["a"], span["b"])).select(*[F.col(c).alias(f"_{c}") for c in [*keys, *([level] if level else [])]])
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*keys, *([level] if level else [])]]
+    return batch.join(known, reduce(lambda a, b: a & b, same), "left_anti")
+
+
 def anomaly_fan_out(outputs: Outputs, kind: str) -> Callable[[DataFrame, int], None]:
-    """Anomalies to a table and to the anomaly topic; volume anomalies also to a document log."""
+    """Anomalies to a table of versions; what is new in them to the anomaly topic, new volume anomalies also to a document log.
+
+    The update-mode stream gives a window again whenever its count grows: ``read_versions`` of the table has it
+    once, with the newest count, and it is sent once for each level that it reaches.
+    """
     message = {"volume": volume_alerts, "zscore": zscore_alerts}[kind]
     checked = (lambda df: conform(df, "alerts")) if kind == "volume" else (lambda df: df)
 
@@ -66,10 +95,12 @@ def anomaly_fan_out(outputs: Outputs, kind: str) -> Callable[[DataFrame, int], N
         try:
             if kept.isEmpty():
                 return
-            outputs.attempt("table", lambda: write_batch(checked(kept), f"{outputs.root}/{kind}_alerts", batch_id))
+            table = f"{outputs.root}/{kind}_alerts"
+            outputs.attempt("table", lambda: write_batch(checked(kept), table, batch_id))
+            new = not_yet_sent(kept, table, kind, batch_id)
             if kind == "volume":
-                outputs.attempt("log", lambda: write_documents(kept, f"{outputs.root}/volume_log", batch_id))
-            outputs.attempt("topic", lambda: outputs.topics.write(on_topic(message(kept)), kind, batch_id))
+                outputs.attempt("log", lambda: write_documents(new, f"{outputs.root}/volume_log", batch_id))
+            outputs.attempt("topic", lambda: outputs.topics.write(on_topic(message(new)), kind, batch_id))
         finally:
             kept.unpersist()
 
