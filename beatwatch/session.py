@@ -21,6 +21,9 @@ RUNTIME_CONF = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
+# folders named within each open ``scratch``
+_OPEN: list[list[str]] = []
+
 
 def build_session(app_name: str = "beatwatch", master: str | None = None, **conf: str) -> SparkSession:
     """Create (or reuse) a session with the settings the operators expect.
@@ -55,7 +58,31 @@ def shared_dir(spark: SparkSession, label: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         root = tempfile.mkdtemp(prefix="beatwatch-")
-    return f"{root.rstrip('/')}/beatwatch/{label}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/beatwatch/{label}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Drop at the end what ``shared_dir`` names meanwhile; for a step whose result is written when it ends.
+
+    A step that fails leaves its folders, as what reads them may run again.
+    """
+    mine: list[str] = []
+    _OPEN.append(mine)
+    try:
+        yield
+        for path in mine:
+            drop_folder(spark, path)
+    finally:
+        _OPEN.remove(mine)
 
 
 @contextmanager
