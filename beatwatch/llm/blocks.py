@@ -27,6 +27,8 @@ BUCKET_BYTES = 32 << 20
 BLOCK = "block long, n_bytes long, doc_ids binary, offsets binary, body binary, body_bytes long"
 ASK = "bucket long, block long, keys binary, extra binary"
 ANSWER = "bucket long, block long, reply binary, total long, kinds long"
+# what a null doc_id stands as in a block
+NO_ID = -(1 << 63)
 # questions of one stage have buckets from stage << STAGE on
 STAGE = 32
 
@@ -95,7 +97,7 @@ def write_blocks(docs: DataFrame, where: str, size: int = BLOCK_BYTES, pack: Pac
         if ids:
             yield block()
 
-    rows = docs.selectExpr("coalesce(cast(doc_id as long), -9223372036854775808) doc_id", "cast(text as string) text")
+    rows = docs.selectExpr(f"coalesce(cast(doc_id as long), {NO_ID}) doc_id", "cast(text as string) text")
     with dropping_shuffles(docs.sparkSession):
         rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, BLOCK).write.option("compression", "none").parquet(where)
     return docs.sparkSession.read.parquet(where)

@@ -30,15 +30,16 @@ _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 class Settings:
     """Bounds of the training sample and shape of the network.
 
-    ``per_language``: texts of a language, ``languages``: the most frequent ones, ``pieces``: segments
-    of a text. Together they bound what is brought to the driver.
+    ``per_language``: texts of a language, ``pieces``: segments of a text; they bound what each language brings to the
+    driver, and every language that is labelled has its share. Training makes ``passes`` over the sample,
+    and at least ``steps`` steps.
     """
 
     per_language: int = 600
-    languages: int = 64
     pieces: int = 4
     segment: int = 64
     hidden: int = 8
+    passes: int = 6
     steps: int = 250
     batch: int = 256
     rate: float = 0.02
@@ -170,14 +171,15 @@ def train(names: list[str], text: np.ndarray, lang: np.ndarray, mask: np.ndarray
     first = [np.zeros_like(w) for w in net.weights()]
     second = [np.zeros_like(w) for w in net.weights()]
     n = text.shape[1]
+    steps = max(settings.steps, -(-settings.passes * n // settings.batch))
     waiting = np.zeros(0, np.int64)
-    for turn in range(1, settings.steps + 1):
+    for turn in range(1, steps + 1):
         if len(waiting) < min(settings.batch, n):
             waiting = draw.permutation(n)
         at, waiting = waiting[: settings.batch], waiting[settings.batch :]
         _, grads = gradients(net, text[:, at], lang[at], mask[:, at])
         size = np.sqrt(sum(float((g * g).sum()) for g in grads))
-        rate = settings.rate * (1 - 0.9 * turn / settings.steps)
+        rate = settings.rate * (1 - 0.9 * turn / steps)
         for w, g, m, v in zip(net.weights(), grads, first, second):
             g = g * np.float32(min(1.0, 1.0 / (size + 1e-9)))
             m += 0.1 * (g - m)
@@ -221,15 +223,15 @@ def _pieces(docs: DataFrame, settings: Settings) -> DataFrame:
 def fit(labelled: DataFrame, settings: Settings = Settings()) -> Network | None:
     """A network from a bounded sample of ``doc_id, text, lang``; None if nothing is labelled.
 
-    The sample takes about ``per_language`` texts of each of the most frequent languages by a hash of the
-    doc_id; the rows are ordered by it as well, so the network is the same in every run.
+    The sample takes about ``per_language`` texts of each language by a hash of doc_id and text; segments are ordered by
+    a hash as well, so the network is the same in every run.
     """
     known = labelled.filter("lang is not null and text is not null")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.languages).collect()
+    counts = known.groupBy("lang").count().orderBy("lang").collect()
     if not counts:
         return None
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, settings.per_language / r["count"]))])
-    place = F.shiftrightunsigned(F.xxhash64(F.lit(settings.seed), "doc_id"), 11) / F.lit(float(1 << 53))
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(settings.seed), "doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), 11) / F.lit(float(1 << 53))
     sample = known.filter(place < F.try_element_at(share, F.col("lang")))
     most = 2 * settings.per_language * len(counts) * settings.pieces
     rows = _pieces(sample, settings).orderBy(F.xxhash64("piece", "lang")).limit(most).toArrow()

@@ -13,11 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beatwatch.llm.blocks import dropping_shuffles
 from beatwatch.llm.graph import components
+from beatwatch.llm.rows import numbered
 from beatwatch.llm.words import chunks, find_words, gram_hashes, mix64, odd_numbers
 from beatwatch.session import shared_dir
 
@@ -398,12 +399,14 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
 
 
 def without_duplicates(docs: DataFrame, *, percent: int = 80) -> DataFrame:
-    """One document of each group of near-duplicates, with all columns.
+    """One row of each group of near-duplicates, with all columns: that with the smallest doc_id, none last.
 
-    Of rows that share a doc_id one stays, that with the least hash of its text; a null doc_id stays.
+    Each row is judged by its own text, whatever its doc_id: rows that share an id, or have none, are documents of their
+    own. Of rows of a group that share the smallest id the first in the copy stays. Rows without words stay.
     """
-    gone = near_duplicates(docs, percent=percent).filter(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    one = left.filter(F.col("doc_id").isNotNull()).withColumn("_nth", F.row_number().over(order)).filter("_nth = 1")
-    return one.select(*docs.columns).union(left.filter(F.col("doc_id").isNull()))
+    rows, row = numbered(docs)
+    found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), percent=percent)
+    ids = rows.select(F.col(row).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
+    members = found.select(F.col("doc_id").alias("_row"), "component_id").join(ids, "_row")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row"))["_row"].alias("_row"))
+    return rows.join(first.select(F.col("_row").alias(row)), row, "left_semi").select(*docs.columns)

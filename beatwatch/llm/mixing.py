@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from beatwatch.llm.rows import numbered
 from beatwatch.session import shared_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -125,12 +126,10 @@ def mix(
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: the rows of ``docs`` with all their columns, each as often as ``mix`` says.
 
-    The rows are numbered in a copy in the shared folder, and the copies come back by that number; a
-    column named ``_mix_row`` or ``_mix_copies`` would be taken for it. ``settings`` are those of ``mix``.
+    The rows are numbered in a copy in the shared folder, and the copies come back by that number. ``settings`` are
+    those of ``mix``.
     """
-    where = shared_dir(docs.sparkSession, "mixing_rows")
-    docs.withColumn("_mix_row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(where)
-    numbered = docs.sparkSession.read.parquet(where)
-    copies = mix(numbered, row=F.col("_mix_row"), **settings).filter("copies > 0").select(F.col("row").alias("_mix_row"), F.col("copies").alias("_mix_copies"))
-    found = numbered.join(copies, "_mix_row")
-    return found.withColumn("_mix_copies", F.explode(F.array_repeat(F.lit(1), F.col("_mix_copies").cast("int")))).select(*docs.columns)
+    rows, row = numbered(docs)
+    copies = mix(rows, row=F.col(row), **settings).filter("copies > 0").select(F.col("row").alias(row), F.array_repeat(F.lit(1), F.col("copies").cast("int")).alias(f"{row}s"))
+    found = rows.join(copies, row)
+    return found.withColumn(f"{row}s", F.explode(f"{row}s")).select(*docs.columns)

@@ -202,6 +202,6 @@ def _kept(ids: np.ndarray, words, gone: np.ndarray) -> Iterator[pa.RecordBatch]:
         texts = [body[out_at[x] : max(out_at[x], out_at[y] - 1)].tobytes().decode() for x, y in zip(cut[:-1], cut[1:])]
         n_words = np.diff(first)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[a:b]), pa.array(n_words), pa.array(lost[first[1:]] - lost[first[:-1]]), pa.array(texts, pa.string())],
+            [pa.array(ids[a:b], mask=ids[a:b] == B.NO_ID), pa.array(n_words), pa.array(lost[first[1:]] - lost[first[:-1]]), pa.array(texts, pa.string())],
             names=["doc_id", "n_words", "n_removed", "kept_text"],
         )

@@ -207,7 +207,12 @@ def contaminated(docs: DataFrame, items: DataFrame, *, least: int = SEED, covera
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, *, least: int = SEED, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of ``docs`` whose doc_id holds no benchmark item, with all columns; a null doc_id stays."""
-    tiled, _ = matches(docs, items, least=least, coverage=coverage)
-    bad = tiled.filter(F.col("coverage") >= coverage).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` whose text holds no benchmark item, with all columns.
+
+    Each row is judged by its own text, whatever its doc_id. Texts go by a 64-bit hash here: a clean one is taken for one
+    of ``h`` hit texts with odds of ``h`` in 2^64. Null texts stay.
+    """
+    body = F.xxhash64(F.col("text").cast("string"))
+    tiled, _ = matches(docs.select(body.alias("doc_id"), "text"), items, least=least, coverage=coverage)
+    bad = tiled.filter(F.col("coverage") >= coverage).select(F.col("doc_id").alias("_body")).distinct()
+    return docs.join(bad, F.col("text").isNotNull() & (body == F.col("_body")), "left_anti").select(*docs.columns)
