@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from beatwatch.llm import minhash, mixing, queries, records, repetition, tiling
 from beatwatch.llm.ship import ship
-from beatwatch.session import shared_dir
+from beatwatch.session import scratch, shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +53,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn on the documents, each written to the shared folder and read again."""
+    """All stages in turn on the documents, each written to the shared folder and read again.
+
+    What a stage wrote for itself is dropped when its result is there.
+    """
     docs = queries.documents(spark, sf_dir)
     where = shared_dir(spark, "pipeline")
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{where}/{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{where}/{name}")
         docs = spark.read.parquet(f"{where}/{name}")
     return docs
