@@ -1,7 +1,8 @@
-"""Stream-health detectors over the event table: silence, low rate, a dataset gone quiet."""
+"""Stream-health detectors: silence, low rate, a dataset gone quiet; over the event table, and over the stream itself."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -80,3 +81,30 @@ def silent_datasets(
     events: DataFrame, ts: str = "processed_at", minutes: int = 5, key: str = "source_dataset", as_of: datetime | Column | None = None, hold: int = 0
 ) -> DataFrame:
     return held(windowed_rates(events, minutes, ts, key, as_of).filter(F.col("event_count") == 0), minutes, hold, key)
+
+
+def heartbeats(clock: DataFrame, expected: Sequence[str | None], at: str = "timestamp", key: str = "source_dataset") -> DataFrame:
+    """A row for every tick of a clock and every expected key: a rate stream, or any table of times, batch or stream."""
+    keys = F.array(*[F.lit(k).cast("string") for k in expected])
+    return clock.select(F.col(at).cast("timestamp").alias("_at"), F.explode(keys).alias(key))
+
+
+def live_rates(
+    events: DataFrame, beats: DataFrame, minutes: int, ts: str = "processed_at", key: str = "source_dataset", watermark: str = "1 minute"
+) -> DataFrame:
+    """Count and rate of every window and key that had an event or a heartbeat, for streams in append mode.
+
+    Heartbeats weigh nothing but stand in their windows and push the watermark on, so a feed that stops has
+    windows with count 0 as long as the clock runs. A window comes once, when the watermark has passed its end.
+    """
+    rows = events.select(F.col(ts).cast("timestamp").alias("_at"), key, F.lit(1).alias("_weight"))
+    both = rows.unionByName(beats.select("_at", key, F.lit(0).alias("_weight")))
+    if both.isStreaming:
+        both = both.withWatermark("_at", watermark)
+    counts = both.groupBy(F.window("_at", f"{minutes} minutes").alias("w"), key).agg(F.sum("_weight").alias("event_count"))
+    return counts.select(F.col("w.start").alias("window_start"), key, "event_count", (F.col("event_count") / (minutes * 60)).alias("events_per_second"))
+
+
+def live_silence(rates: DataFrame, below: float | None = None) -> DataFrame:
+    """Windows without an event, or with a rate under ``below``."""
+    return rates.filter(F.col("event_count") == 0 if below is None else F.col("events_per_second") < below)

@@ -11,6 +11,10 @@ from pyspark.storagelevel import StorageLevel
 from beatwatch.operators.enrich import with_coordinates
 
 
+# how far a centre may still move, in degrees, when a fit ends
+TOLERANCE = 1e-4
+
+
 def fit_hotspots(
     points: DataFrame,
     k: int = 10,
@@ -24,7 +28,7 @@ def fit_hotspots(
     features = VectorAssembler(inputCols=[lat, lon], outputCol="features")
     vectors = features.transform(points.select(lat, lon)).select("features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        means = KMeans(featuresCol="features", predictionCol="cluster_id", k=k, seed=seed, maxIter=max_iter, initMode=init)
+        means = KMeans(featuresCol="features", predictionCol="cluster_id", k=k, seed=seed, maxIter=max_iter, initMode=init, tol=TOLERANCE)
         return means.fit(vectors)
     finally:
         vectors.unpersist()

@@ -205,3 +205,28 @@ def rate_per_second(events: DataFrame, key: str, ts: str = "processed_at", size:
     """Events per second in tumbling windows, per key."""
     rows = _late(events, ts, watermark).groupBy(F.window(ts, size).alias("w"), key).agg(F.count("*").alias("n"))
     return rows.select(F.col("w.start").alias("window_start"), key, (F.col("n") / seconds).alias("events_per_second"))
+
+
+def distinct_panes(
+    events: DataFrame,
+    column: str = "district",
+    ts: str = "processed_at",
+    size: str = "5 minutes",
+    slide: str = "1 minute",
+    watermark: str | None = "1 minute",
+    lg_k: int = 12,
+) -> DataFrame:
+    """``pane_start, sketch``: a HyperLogLog sketch of the non-empty values for each pane; batch or stream.
+
+    A sketch has at most 2^lg_k registers, whatever the pane holds: the state of a stream is a few sketches. Its
+    standard error is 1.04 / sqrt(2^lg_k), 1.6 percent as set; up to some hundred values it counts exactly.
+    """
+    pane = F.window(ts, f"{gcd(_length(size), _length(slide))} milliseconds")
+    rows = _late(events.filter(F.col(column) != ""), ts, watermark).groupBy(pane.alias("w"))
+    return rows.agg(F.hll_sketch_agg(column, lg_k).alias("sketch")).select(F.col("w.start").alias("pane_start"), "sketch")
+
+
+def distinct_windows(panes: DataFrame, size: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
+    """``window_start, window_end, distinct_count`` of every sliding window, from the sketches of its panes."""
+    rows = panes.groupBy(F.window("pane_start", size, slide).alias("w")).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_count"))
+    return rows.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "distinct_count")

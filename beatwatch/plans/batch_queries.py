@@ -588,15 +588,17 @@ def _(t: Tables) -> DataFrame:
     model = hotspots.fit_hotspots(points, K, max_iter=500)
     means = hotspots.assign_clusters(points, model).groupBy("cluster_id").agg(F.count("*").alias("n"), F.avg("latitude").alias("lat"), F.avg("longitude").alias("lon"))
     both = means.join(hotspots.centroid_table(points, model), "cluster_id")
-    off = (F.abs(F.col("lat") - F.col("centroid_lat")) > 0.5) | (F.abs(F.col("lon") - F.col("centroid_lon")) > 0.5)
+    # the fit ends when no centre moves by more than its tolerance; one more step moves them as little
+    off = F.hypot(F.col("lat") - F.col("centroid_lat"), F.col("lon") - F.col("centroid_lon")) > 2 * hotspots.TOLERANCE
     return both.agg(F.sum("n").alias("points"), F.count("*").alias("centres"), F.count_if(off).alias("off_centre"))
 
 
 @register("ml3", f"SELECT count(*) AS points, CAST({K} AS BIGINT) AS hotspots, CAST(0 AS BIGINT) AS out_of_order FROM {VALID_POINTS}", "points")
 def _(t: Tables) -> DataFrame:
     """Points in the ranked hotspots, and hotspots that stand above a larger one."""
-    ranked = hotspots.ranked_hotspots(hotspots.hotspots(t.points, K))
-    above = F.lag("crime_count").over(Window.orderBy(F.desc("crime_count"), F.asc("cluster_id")))
+    # numbered as they come, so the order is the function's own
+    ranked = hotspots.ranked_hotspots(hotspots.hotspots(t.points, K)).withColumn("place", F.monotonically_increasing_id())
+    above = F.lag("crime_count").over(Window.orderBy("place"))
     return ranked.withColumn("above", above).agg(
         F.sum("crime_count").alias("points"), F.count("*").alias("hotspots"), F.count_if(F.col("above") < F.col("crime_count")).alias("out_of_order")
     )

@@ -14,6 +14,7 @@ from beatwatch.streaming.batches import ANOMALY_KEYS
 VERSIONED = {
     "metrics": ["window_start", "window_end", "district"],
     "counters": ["severity", "dataset"],
+    "active": ["pane_start"],
     **{f"{kind}_alerts": keys for kind, keys in ANOMALY_KEYS.items()},
 }
 

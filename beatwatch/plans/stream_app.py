@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from beatwatch.operators.enrich import enrich
+from beatwatch.operators.health import heartbeats
+from beatwatch.schemas import STREAMED_DATASETS
 from beatwatch.session import build_session, state_partitions
 from beatwatch.sinks.topics import TopicTarget
 from beatwatch.sources.topics import decode_events, kafka_stream
 from beatwatch.streaming.batches import Outputs
 from beatwatch.streaming.queries import (
+    start_active,
     start_counters,
+    start_health,
     start_main,
     start_malformed,
     start_metrics,
@@ -27,10 +31,18 @@ STREAM_CONF = {
 }
 
 
-def start_all(events: DataFrame, outputs: Outputs, checkpoints: str, threshold: int = 50, windows: dict | None = None, **trigger) -> list[StreamingQuery]:
-    """All six queries; ``windows`` sets size, slide and watermark of the volume windows."""
+def start_all(
+    events: DataFrame, outputs: Outputs, checkpoints: str, threshold: int = 50, windows: dict | None = None, clock: DataFrame | None = None, **trigger
+) -> list[StreamingQuery]:
+    """All queries; ``windows`` sets size, slide and watermark of the volume windows.
+
+    ``clock`` is a stream with a ``timestamp``, such as the rate source: with it the streamed datasets are watched for silence.
+    """
     enriched = enrich(events)
+    watch = [start_health(enriched, heartbeats(clock, STREAMED_DATASETS), f"{outputs.root}/silence", checkpoints, **trigger)] if clock is not None else []
     return [
+        *watch,
+        start_active(enriched, f"{outputs.root}/active", checkpoints, **trigger),
         start_main(enriched, outputs, checkpoints, **trigger),
         start_metrics(enriched, f"{outputs.root}/metrics", checkpoints, **trigger),
         start_zscore(enriched, outputs, checkpoints, **trigger),
@@ -57,7 +69,8 @@ def main() -> None:
     events = decode_events(kafka_stream(spark, given.brokers), given.codec)
     outputs = Outputs(given.out, TopicTarget(brokers=given.brokers), given.best_effort)
     with state_partitions(spark, given.state_partitions):
-        start_all(events, outputs, given.checkpoints, given.threshold, {"size": given.window, "slide": given.slide, "watermark": given.watermark})
+        clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+        start_all(events, outputs, given.checkpoints, given.threshold, {"size": given.window, "slide": given.slide, "watermark": given.watermark}, clock)
     spark.streams.awaitAnyTermination()
 
 

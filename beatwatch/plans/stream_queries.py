@@ -10,13 +10,14 @@ from pyspark.sql.streaming import StreamingQuery
 from beatwatch.functions.ids import content_id
 from beatwatch.operators import trends, windows
 from beatwatch.operators.enrich import alerts_only, enrich, valid_events, with_event_time
+from beatwatch.operators.health import heartbeats
 from beatwatch.operators.normalise import crime_events, offender_events
 from beatwatch.operators.numbering import unique_ids
 from beatwatch.operators.summaries import dataset_summary, topic_counters
 from beatwatch.plans.batch_queries import TRENDS
 from beatwatch.plans.ingest_queries import EVENTS_SQL, GOLD_EVENT, wire
 from beatwatch.plans.registry import Tables, register
-from beatwatch.plans.serving_queries import ANOMALIES, CENTS, CITY_VOLUME, MEASURES, STATS, STATS_SHOWN, VOLUME, in_cents, rounded, slid
+from beatwatch.plans.serving_queries import ANOMALIES, AS_OF, CENTS, CITY_VOLUME, MEASURES, STATS, STATS_SHOWN, VOLUME, grid, in_cents, rounded, slid
 from beatwatch.plans.shapes import shape
 from beatwatch.plans.stream_app import start_all
 from beatwatch.schemas import ALERT_MESSAGE, TABLES, UNIFIED_COLUMNS, conform
@@ -26,7 +27,7 @@ from beatwatch.sinks.topics import TopicTarget, on_topic, raw_messages
 from beatwatch.sources import topics
 from beatwatch.sources.tables import read_table
 from beatwatch.streaming.batches import ANOMALY_KEYS, Outputs, to_table
-from beatwatch.streaming.queries import start_counters, start_main, start_malformed, start_metrics, start_volume, start_zscore
+from beatwatch.streaming.queries import start_active, start_counters, start_health, start_main, start_malformed, start_metrics, start_volume, start_zscore
 
 ONCE = {"availableNow": True}
 
@@ -73,6 +74,43 @@ FROM gold WHERE incident_date = '' OR coalesce(district, '') = ''"""
 HOURS = {"size": "6 hours", "slide": "3 hours", "watermark": "30 seconds"}
 
 
+SILENT_EXPECTED = grid(5, True, "event_count = 0", 5)
+
+
+@register("str14d", f"WITH {SILENT_EXPECTED}", "gold")
+def _(t: Tables) -> DataFrame:
+    """Silent windows found in the stream itself: events and the heartbeats of a clock up to the given time."""
+    expected = [r[0] for r in t.gold.select("source_dataset").distinct().collect()]
+    ticks = t.work_dir("ticks")
+    first = t.gold.agg(F.ceil(F.unix_timestamp(F.min("processed_at").cast("timestamp")) / 300) * 300).first()[0]
+    end = F.unix_timestamp(F.lit(AS_OF).cast("timestamp"))
+    # a tick for each whole window, and one later on that lets the last of them end
+    times = F.concat(F.sequence(F.lit(first).cast("long"), end - 300, F.lit(300).cast("long")), F.array(end + 3600))
+    t.spark.range(1).select(F.explode(times).alias("s")).select(F.timestamp_seconds("s").alias("timestamp")).write.parquet(ticks)
+    clock = topics.replay(t.spark, ticks, t.spark.read.parquet(ticks).schema)
+    out = t.work_dir("silence")
+    with state_partitions(t.spark):
+        drain(start_health(gold_stream(t), heartbeats(clock, expected), out, t.work_dir("checkpoint"), **ONCE))
+    return read_batches(t.spark, out).drop("batch_id")
+
+
+ACTIVE = slid("known", "processed_at", 5, 1)
+
+
+@register(
+    "agg25b",
+    f"""WITH known AS (SELECT district, processed_at FROM gold WHERE district <> ''), {ACTIVE}
+SELECT window_start, window_end, count(DISTINCT district) AS distinct_count FROM slid GROUP BY 1, 2""",
+    "gold",
+)
+def _(t: Tables) -> DataFrame:
+    """Active districts of every five minutes, from the sketches that a stream keeps by minute."""
+    out = t.work_dir("active")
+    with state_partitions(t.spark):
+        drain(start_active(gold_stream(t), out, t.work_dir("checkpoint"), **ONCE))
+    return windows.distinct_windows(read_versions(t.spark, out, ["pane_start"]))
+
+
 # Sources --------------------------------------------------------------------------------------
 
 

@@ -9,8 +9,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from beatwatch.operators.enrich import malformed_events, valid_events, with_event_time
+from beatwatch.operators.health import live_rates, live_silence
 from beatwatch.operators.summaries import event_counters
-from beatwatch.operators.windows import district_metrics, score, sliding_stats, volume_anomalies, volume_windows
+from beatwatch.operators.windows import distinct_panes, district_metrics, score, sliding_stats, volume_anomalies, volume_windows
 from beatwatch.streaming.batches import Outputs, anomaly_fan_out, counted, fan_out, to_console, to_table
 
 
@@ -53,6 +54,21 @@ def start_malformed(events: DataFrame, path: str | None, checkpoints: str, **tri
     return _start(writer.foreachBatch(to_table(path) if path else to_console()), "malformed", checkpoints, trigger)
 
 
+def start_health(
+    events: DataFrame, beats: DataFrame, path: str | None, checkpoints: str, minutes: int = 5, below: float | None = None, watermark: str = "1 minute", **trigger
+) -> StreamingQuery:
+    """Silent (or slow) windows of every expected dataset, each once when it is over (append mode), to a table or the console."""
+    found = live_silence(live_rates(events, beats, minutes, watermark=watermark), below)
+    writer = found.writeStream.outputMode("append")
+    return _start(writer.foreachBatch(to_table(path) if path else to_console()), "health", checkpoints, trigger)
+
+
+def start_active(events: DataFrame, path: str, checkpoints: str, **trigger) -> StreamingQuery:
+    """Sketches of the active districts by pane (update mode); ``distinct_windows`` of the newest versions gives the counts."""
+    writer = distinct_panes(events).writeStream.outputMode("update")
+    return _start(writer.foreachBatch(to_table(path)), "active", checkpoints, trigger)
+
+
 def start_counters(events: DataFrame, path: str | None, checkpoints: str, show: Callable | None = None, **trigger) -> StreamingQuery:
     """Running totals by severity and dataset (complete mode), to a table or shown on the console."""
     body = to_table(path) if path else show or to_console(100)
