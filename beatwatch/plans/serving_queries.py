@@ -9,6 +9,7 @@ from beatwatch.operators import health, paging, summaries, windows
 from beatwatch.operators.enrich import valid_events, with_event_time
 from beatwatch.plans.registry import Tables, register
 from beatwatch.schemas import STREAMED_DATASETS
+from beatwatch.sinks.tables import compact_events
 from beatwatch.streaming.batches import counted
 
 MEASURES = """count(*) AS total_events, coalesce(avg(severity), 0) AS avg_severity,
@@ -168,7 +169,17 @@ SELECT event_id, processed_at FROM r, n WHERE rn > skip AND rn <= skip + 50""",
 )
 def _(t: Tables) -> DataFrame:
     rows = t.gold.select("event_id", "processed_at")
-    return paging.replay_page(rows, 37, rows.count())
+    return paging.replay_page(rows, 37, paging.write_order_index(rows, t.work_dir("order")))
+
+
+@register("pag3b", "SELECT event_id, processed_at FROM gold ORDER BY processed_at, event_id DESC LIMIT 50", "gold")
+def _(t: Tables) -> DataFrame:
+    """The oldest page of the compacted event table, by the index that the compaction keeps beside it."""
+    path, order = t.work_dir("compacted"), t.work_dir("order")
+    rows = t.gold.select("event_id", "source_dataset", F.col("processed_at").cast("timestamp").alias("processed_at"))
+    compact_events(rows, path, index=order)
+    stored = t.spark.read.parquet(path)
+    return paging.replay_page(stored, 0, t.spark.read.parquet(order)).select("event_id", "processed_at")
 
 
 # Windows over stored events ------------------------------------------------------------------

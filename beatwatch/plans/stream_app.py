@@ -16,6 +16,7 @@ from beatwatch.sources.topics import decode_events, kafka_stream
 from beatwatch.streaming.batches import Outputs
 from beatwatch.streaming.queries import (
     start_active,
+    start_buffer,
     start_counters,
     start_health,
     start_main,
@@ -43,6 +44,7 @@ def start_all(
     return [
         *watch,
         start_active(enriched, f"{outputs.root}/active", checkpoints, **trigger),
+        start_buffer(enriched, f"{outputs.root}/newest", checkpoints, **trigger),
         start_main(enriched, outputs, checkpoints, **trigger),
         start_metrics(enriched, f"{outputs.root}/metrics", checkpoints, **trigger),
         start_zscore(enriched, outputs, checkpoints, **trigger),

@@ -13,7 +13,7 @@ from beatwatch.operators.enrich import alerts_only, enrich, valid_events, with_e
 from beatwatch.operators.health import heartbeats
 from beatwatch.operators.normalise import crime_events, offender_events
 from beatwatch.operators.numbering import unique_ids
-from beatwatch.operators.summaries import dataset_summary, topic_counters
+from beatwatch.operators.summaries import critical_in_buffer, dataset_summary, topic_counters
 from beatwatch.plans.batch_queries import TRENDS
 from beatwatch.plans.ingest_queries import EVENTS_SQL, GOLD_EVENT, wire
 from beatwatch.plans.registry import Tables, register
@@ -22,12 +22,12 @@ from beatwatch.plans.shapes import shape
 from beatwatch.plans.stream_app import start_all
 from beatwatch.schemas import ALERT_MESSAGE, TABLES, UNIFIED_COLUMNS, conform
 from beatwatch.session import state_partitions
-from beatwatch.sinks.tables import compact_versions, newest_per_key, overwrite_table, read_batches, read_versions, write_batch, write_documents
+from beatwatch.sinks.tables import compact_versions, newest_per_key, overwrite_table, read_batches, read_newest, read_versions, write_batch, write_documents
 from beatwatch.sinks.topics import TopicTarget, on_topic, raw_messages
 from beatwatch.sources import topics
 from beatwatch.sources.tables import read_table
 from beatwatch.streaming.batches import ANOMALY_KEYS, Outputs, to_table
-from beatwatch.streaming.queries import start_active, start_counters, start_health, start_main, start_malformed, start_metrics, start_volume, start_zscore
+from beatwatch.streaming.queries import start_active, start_buffer, start_counters, start_health, start_main, start_malformed, start_metrics, start_volume, start_zscore
 
 ONCE = {"availableNow": True}
 
@@ -272,6 +272,30 @@ def _volume_in_batches(t: Tables) -> Outputs:
     return out
 
 
+def _live_buffer(t: Tables) -> DataFrame:
+    """The newest 150 events of a stream in four batches, which come in no order of time."""
+    out = t.work_dir("newest")
+    zoned = [F.col(c).cast("timestamp").alias(c) if k == "timestamp_ntz" else F.col(c) for c, k in t.gold.dtypes]
+    _, stream = _stored_in_parts(t, t.gold.select(*zoned), 4)
+    drain(start_buffer(stream, out, t.work_dir("checkpoint"), **ONCE))
+    return read_newest(t.spark, out)
+
+
+@register("top2b", "SELECT event_id, processed_at FROM gold ORDER BY processed_at DESC NULLS LAST, event_id LIMIT 150", "gold")
+def _(t: Tables) -> DataFrame:
+    return _live_buffer(t).select("event_id", "processed_at")
+
+
+@register(
+    "agg26b",
+    """SELECT count(*) FILTER (WHERE severity >= 4) AS critical_count FROM
+  (SELECT severity FROM gold ORDER BY processed_at DESC NULLS LAST, event_id LIMIT 150)""",
+    "gold",
+)
+def _(t: Tables) -> DataFrame:
+    return critical_in_buffer(_live_buffer(t))
+
+
 @register("str10c", f"WITH {CITY_VOLUME}, {ANOMALIES} SELECT * FROM anomalies", "gold")
 def _(t: Tables) -> DataFrame:
     """Each anomaly once with its newest count, compacted in between."""

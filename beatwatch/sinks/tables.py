@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from beatwatch.operators.paging import write_order_index
+from beatwatch.operators.summaries import rolling_buffer
 from beatwatch.schemas import conform
 
 
@@ -34,16 +36,19 @@ def read_batches(spark: SparkSession, path: str, schema=None, form: str = "parqu
     return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
-def compact_events(events: DataFrame, path: str, partitions: int | None = None, ts: str = "processed_at") -> None:
+def compact_events(events: DataFrame, path: str, partitions: int | None = None, ts: str = "processed_at", index: str | None = None) -> None:
     """Rewrite the many small micro-batch files for serving, by dataset and day, newest first.
 
     Rows are spread by ranges of (dataset, time), so a dataset or day that holds a large share
-    is cut into several tasks; filters on dataset, day and time then skip files and row groups.
+    is cut into several tasks; filters on dataset, day and time then skip files and row groups. With ``index`` the
+    order index of the new table is written there, for pages of any depth.
     """
     by = ["source_dataset", "event_date", F.desc(ts)]
     dated = events.withColumn("event_date", F.to_date(ts))
     spread = dated.repartitionByRange(partitions, *by) if partitions else dated.repartitionByRange(*by)
     spread.sortWithinPartitions(*by).write.mode("overwrite").partitionBy("source_dataset", "event_date").parquet(path)
+    if index:
+        write_order_index(events.sparkSession.read.parquet(path), index, ts)
 
 
 def newest_per_key(df: DataFrame, keys: list[str], version: str = "batch_id") -> DataFrame:
@@ -85,6 +90,29 @@ def earlier_versions(spark: SparkSession, path: str, keys: list[str], batch_id:
     return read_versions(spark, path, keys, batch_id)
 
 
+def merge_newest(batch: DataFrame, path: str, batch_id: int, n: int = 150, ts: str = "processed_at", key: str = "event_id") -> None:
+    """Keep the ``n`` newest rows of a stream: those of the last state and of this batch, as the state of this batch.
+
+    The order is by time, not by arrival, so late rows fall into their place or out. The state before is kept for a
+    repeated batch, older ones are dropped.
+    """
+    spark, path = batch.sparkSession, path.rstrip("/")
+    states = {i: p for i, p in _children(spark, path, "batch_id").items() if i < batch_id and _whole(spark, p)}
+    rows = batch
+    if states:
+        rows = rows.unionByName(spark.read.parquet(states[max(states)]))
+    write_batch(rolling_buffer(rows, n, ts, key).coalesce(1), path, batch_id)
+    for i, old in states.items():
+        if i < max(states):
+            _drop(spark, old)
+
+
+def read_newest(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that ``merge_newest`` holds now."""
+    states = _children(spark, path.rstrip("/"), "batch_id")
+    return spark.read.parquet(states[max(i for i, p in states.items() if _whole(spark, p))])
+
+
 def read_versions(spark: SparkSession, path: str, keys: list[str], before: int | None = None) -> DataFrame:
     """The newest version of every key: the last compaction and the batches after it, up to but not with batch ``before``.
 

@@ -15,7 +15,7 @@ from beatwatch.functions.severity import ALERT_FROM
 from beatwatch.operators.enrich import alerts_only
 from beatwatch.operators.windows import volume_alerts, zscore_alerts
 from beatwatch.schemas import conform
-from beatwatch.sinks.tables import earlier_versions, write_batch, write_documents
+from beatwatch.sinks.tables import earlier_versions, merge_newest, write_batch, write_documents
 from beatwatch.sinks.topics import TopicTarget, alert_messages, on_topic
 
 log = logging.getLogger(__name__)
@@ -116,6 +116,15 @@ def to_table(path: str) -> Callable[[DataFrame, int], None]:
     return body
 
 
+def to_buffer(path: str, n: int = 150) -> Callable[[DataFrame, int], None]:
+    """The newest ``n`` rows of all batches so far, at ``path``."""
+
+    def body(batch: DataFrame, batch_id: int) -> None:
+        merge_newest(batch, path, batch_id, n)
+
+    return body
+
+
 def print_rows(batch_id: int, rows: list[Row]) -> None:
     print(f"-- batch {batch_id}", *rows, sep="\n")
 

@@ -12,7 +12,7 @@ from beatwatch.operators.enrich import malformed_events, valid_events, with_even
 from beatwatch.operators.health import live_rates, live_silence
 from beatwatch.operators.summaries import event_counters
 from beatwatch.operators.windows import distinct_panes, district_metrics, score, sliding_stats, volume_anomalies, volume_windows
-from beatwatch.streaming.batches import Outputs, anomaly_fan_out, counted, fan_out, to_console, to_table
+from beatwatch.streaming.batches import Outputs, anomaly_fan_out, counted, fan_out, to_buffer, to_console, to_table
 
 
 def _start(writer: DataStreamWriter, name: str, checkpoints: str, trigger: dict) -> StreamingQuery:
@@ -69,6 +69,11 @@ def start_active(events: DataFrame, path: str, checkpoints: str, **trigger) -> S
     return _start(writer.foreachBatch(to_table(path)), "active", checkpoints, trigger)
 
 
+def start_buffer(enriched: DataFrame, path: str, checkpoints: str, n: int = 150, **trigger) -> StreamingQuery:
+    """The newest ``n`` events, kept up with every batch (append mode)."""
+    return _start(enriched.writeStream.outputMode("append").foreachBatch(to_buffer(path, n)), "buffer", checkpoints, trigger)
+
+
 def start_counters(events: DataFrame, path: str | None, checkpoints: str, show: Callable | None = None, **trigger) -> StreamingQuery:
     """Running totals by severity and dataset (complete mode), to a table or shown on the console."""
     body = to_table(path) if path else show or to_console(100)
