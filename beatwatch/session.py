@@ -82,7 +82,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         for path in mine:
             drop_folder(spark, path)
     finally:
-        _OPEN.remove(mine)
+        _OPEN.pop()
 
 
 @contextmanager
