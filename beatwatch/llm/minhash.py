@@ -20,7 +20,7 @@ from beatwatch.llm.blocks import dropping_shuffles
 from beatwatch.llm.graph import components
 from beatwatch.llm.rows import numbered
 from beatwatch.llm.words import chunks, find_words, gram_hashes, mix64, odd_numbers
-from beatwatch.session import shared_dir
+from beatwatch.session import scratch, shared_dir
 
 SHINGLE = 5
 MINIMA = 128
@@ -405,8 +405,12 @@ def without_duplicates(docs: DataFrame, *, percent: int = 80) -> DataFrame:
     own. Of rows of a group that share the smallest id the first in the copy stays. Rows without words stay.
     """
     rows, row = numbered(docs)
-    found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), percent=percent)
-    ids = rows.select(F.col(row).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
-    members = found.select(F.col("doc_id").alias("_row"), "component_id").join(ids, "_row")
-    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row"))["_row"].alias("_row"))
-    return rows.join(first.select(F.col("_row").alias(row)), row, "left_semi").select(*docs.columns)
+    kept = shared_dir(docs.sparkSession, "minhash_kept")
+    # only the rows that stay are needed later; what led to them is dropped
+    with scratch(docs.sparkSession):
+        found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), percent=percent)
+        ids = rows.select(F.col(row).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
+        members = found.select(F.col("doc_id").alias("_row"), "component_id").join(ids, "_row")
+        first = members.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row"))["_row"].alias(row))
+        first.select(row).write.parquet(kept)
+    return rows.join(docs.sparkSession.read.parquet(kept), row, "left_semi").select(*docs.columns)
