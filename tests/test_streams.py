@@ -163,13 +163,14 @@ def test_whole_application(spark, bus):
     for key, value in STREAM_CONF.items():  # state in RocksDB, as on a cluster
         spark.conf.set(key, value)
     running = start_all(stream(spark, path, first.schema), out, shared_dir(spark, "checkpoint"), threshold=10, **ONCE)
-    assert sorted(q.name for q in running) == ["counters", "main", "malformed", "metrics", "volume", "zscore"]
+    assert sorted(q.name for q in running) == ["active", "buffer", "counters", "main", "malformed", "metrics", "volume", "zscore"]
     finish(*running)
     for key in STREAM_CONF:
         spark.conf.unset(key)
     counters = tables.newest_per_key(tables.read_batches(spark, f"{out.root}/counters"), ["severity", "dataset"])
     assert counters.agg(F.sum("events_total")).first()[0] == 400
     assert counters.filter("severity = 'unknown'").count() == 3
+    assert tables.read_newest(spark, f"{out.root}/newest").count() == 150
 
 
 def test_console_shows_a_bounded_number_of_rows(spark, bus, capsys):
