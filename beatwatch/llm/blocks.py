@@ -109,17 +109,18 @@ def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["offsets"], np.int64), np.frombuffer(body, np.uint8)
 
 
-def bucket_count(blocks: DataFrame, size: int = BUCKET_BYTES) -> int:
-    total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    return max(1, math.ceil(total / size))
+def counts(blocks: DataFrame, size: int = BUCKET_BYTES) -> tuple[int, int]:
+    """How many buckets the texts need, and how many blocks there are; both are one at least."""
+    total, number = blocks.agg(F.sum("n_bytes"), F.count("block")).first()
+    return max(1, math.ceil((total or 0) / size)), max(1, number)
 
 
-def split(keys: np.ndarray, buckets: int) -> list[np.ndarray]:
-    """Places of the sorted distinct keys of each bucket; the bucket is taken from the scrambled low bits."""
+def split(keys: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
+    """Buckets that hold keys, with the places of their sorted distinct keys; the bucket is taken from the scrambled low bits."""
     where = (keys * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)).astype(np.int64) % buckets
     order = np.argsort(where, kind="stable")
-    cut = np.searchsorted(where[order], np.arange(buckets + 1))
-    return [order[cut[b] : cut[b + 1]] for b in range(buckets)]
+    held, cut = np.unique(where[order], return_index=True)
+    return list(zip(held.tolist(), np.split(order, cut[1:])))
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -148,9 +149,8 @@ def unpack_keys(packed: bytes, count: int) -> np.ndarray:
 def ask(block: int, keys: np.ndarray, buckets: int, extra: Callable[[np.ndarray], bytes] | None = None, stage: int = 0) -> pa.RecordBatch:
     """The ``ASK`` rows of a block: for each bucket its keys, and what ``extra`` makes of their places."""
     rows: list[tuple] = []
-    for b, at in enumerate(split(keys, buckets)):
-        if len(at):
-            rows.append(((stage << STAGE) + b, block, len(at).to_bytes(4, "little") + pack_keys(keys[at]), extra(at) if extra else b""))
+    for b, at in split(keys, buckets):
+        rows.append(((stage << STAGE) + b, block, len(at).to_bytes(4, "little") + pack_keys(keys[at]), extra(at) if extra else b""))
     kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
     return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], names=["bucket", "block", "keys", "extra"])
 
@@ -162,8 +162,8 @@ def asked(packed: bytes) -> np.ndarray:
 Merge = Callable[[int, list[np.ndarray], list[bytes]], tuple[list[bytes], int, int]]
 
 
-def answers(asks: DataFrame, merge: Merge) -> DataFrame:
-    """``ANSWER`` rows of all buckets.
+def answers(asks: DataFrame, merge: Merge, parts: int) -> DataFrame:
+    """``ANSWER`` rows of all buckets, which ``parts`` tasks share.
 
     ``merge`` gets stage, key arrays and extras of a bucket by ascending block; it returns the answers in
     that order and two numbers, which stand on the bucket's first row.
@@ -177,18 +177,20 @@ def answers(asks: DataFrame, merge: Merge) -> DataFrame:
         numbers = {"total": pa.array([total, *rest], pa.int64()), "kinds": pa.array([kinds, *rest], pa.int64())}
         return pa.table({"bucket": table.column("bucket"), "block": table.column("block"), "reply": pa.array(replies, pa.binary())} | numbers)
 
-    return asks.groupBy("bucket").applyInArrow(run, ANSWER)
+    return asks.repartition(parts, "bucket").groupBy("bucket").applyInArrow(run, ANSWER)
 
 
-def with_answers(blocks: DataFrame, replies: DataFrame, work: Callable[[dict, dict[int, bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``work`` on each block with its answers by bucket."""
+def with_answers(
+    blocks: DataFrame, replies: DataFrame, work: Callable[[dict, dict[int, bytes]], Iterator[pa.RecordBatch]], schema: str, parts: int
+) -> DataFrame:
+    """``work`` on each block with its answers by bucket; ``parts`` tasks share the blocks."""
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         got = dict(zip(right.column("bucket").to_pylist(), right.column("reply").to_pylist()))
         out = [batch for row in left.to_pylist() for batch in work(row, got)]
         return pa.Table.from_batches(out)
 
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, schema)
+    return blocks.repartition(parts, "block").groupBy("block").cogroup(replies.repartition(parts, "block").groupBy("block")).applyInArrow(run, schema)
 
 
 def on_blocks(blocks: DataFrame, work: Callable[[dict], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -201,12 +203,11 @@ def on_blocks(blocks: DataFrame, work: Callable[[dict], Iterator[pa.RecordBatch]
     return blocks.mapInArrow(run, schema)
 
 
-def read_bits(replies: dict[int, bytes], places: list[np.ndarray], count: int, stage: int = 0) -> np.ndarray:
+def read_bits(replies: dict[int, bytes], places: list[tuple[int, np.ndarray]], count: int, stage: int = 0) -> np.ndarray:
     """One flag for each of ``count`` keys, from the answers of their buckets."""
     out = np.zeros(count, bool)
-    for b, at in enumerate(places):
-        if len(at):
-            out[at] = np.unpackbits(np.frombuffer(replies[(stage << STAGE) + b], np.uint8), count=len(at)).astype(bool)
+    for b, at in places:
+        out[at] = np.unpackbits(np.frombuffer(replies[(stage << STAGE) + b], np.uint8), count=len(at)).astype(bool)
     return out
 
 
@@ -219,10 +220,9 @@ def unpack_numbers(packed: bytes, count: int, kind: type) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed, max_output_size=max(1, size)), kind)
 
 
-def read_numbers(replies: dict[int, bytes], places: list[np.ndarray], count: int, kind: type, stage: int = 0) -> np.ndarray:
+def read_numbers(replies: dict[int, bytes], places: list[tuple[int, np.ndarray]], count: int, kind: type, stage: int = 0) -> np.ndarray:
     """One number for each of ``count`` keys, from the answers of their buckets."""
     out = np.zeros(count, kind)
-    for b, at in enumerate(places):
-        if len(at):
-            out[at] = unpack_numbers(replies[(stage << STAGE) + b], len(at), kind)
+    for b, at in places:
+        out[at] = unpack_numbers(replies[(stage << STAGE) + b], len(at), kind)
     return out

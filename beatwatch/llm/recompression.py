@@ -150,7 +150,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
     spark = docs.sparkSession
     where = shared_dir(spark, "recompression")
     blocks = B.write_blocks(docs, f"{where}/blocks")
-    buckets = B.bucket_count(blocks)
+    buckets, number = B.counts(blocks)
 
     def ask_symbols(row: dict) -> Iterator[pa.RecordBatch]:
         *_, symbols, _, _ = _windows(row, window)
@@ -162,9 +162,9 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
         yield B.ask(row["block"], _distinct(found)[0], buckets, stage=1)
 
     with B.dropping_shuffles(spark):
-        B.answers(B.on_blocks(blocks, ask_symbols, B.ASK), _twice).write.parquet(f"{where}/symbols")
+        B.answers(B.on_blocks(blocks, ask_symbols, B.ASK), _twice, buckets).write.parquet(f"{where}/symbols")
         symbols = spark.read.parquet(f"{where}/symbols")
-        B.answers(B.with_answers(blocks, symbols, ask_windows, B.ASK), _first).write.parquet(f"{where}/windows")
+        B.answers(B.with_answers(blocks, symbols, ask_windows, B.ASK, number), _first, buckets).write.parquet(f"{where}/windows")
     both = symbols.union(spark.read.parquet(f"{where}/windows"))
 
     def removed(row: dict, replies: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +182,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
         gone = np.cumsum(step[: len(hashes)]) > 0
         yield from _kept(ids, words, gone)
 
-    return B.with_answers(blocks, both, removed, "doc_id long, n_words long, n_removed long, kept_text string")
+    return B.with_answers(blocks, both, removed, "doc_id long, n_words long, n_removed long, kept_text string", number)
 
 
 def _kept(ids: np.ndarray, words, gone: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -1,10 +1,14 @@
 """Scores of texts under a probabilistic suffix tree learned from the corpus.
 
-Symbols are lower-cased words and one end mark a text. A context of one or two words is a state if
-its next-word distribution differs from that of its suffix: the gain in log likelihood over all of its
-occurrences, each predicted without itself, must reach a threshold. A state's distribution is smoothed
+Symbols are lower-cased words and one end mark a text. A context of one word up to ``Settings.depth`` words
+is a state if its next-word distribution differs from that of its suffix: the gain in log likelihood over all
+of its occurrences, each predicted without itself, must reach a threshold. A state's distribution is smoothed
 with that of its longest suffix that is a state, down to the empty context; a word is scored by the longest
 suffix of its history that is a state.
+
+Depths are found one after the other. A round asks which contexts of its depth are states, and at the same time
+counts the n-grams that the next depth needs: those whose context training texts have often enough. Texts
+without long passages in common ask for next to nothing in the deeper rounds.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from beatwatch.llm import blocks as B
 from beatwatch.llm.words import find_words, gram_hashes, mix64
 from beatwatch.session import shared_dir
 
+# questions: counts of n-grams have stage n, gains of contexts of n words stage GAINS + n
+GAINS = 1 << 16
 END = mix64(np.array([0x656E64], np.uint64))[0]
 NULL_ID = -(1 << 63)
 # n-grams that repeat within a block are asked for once, so larger blocks ask less; a task holds some 15 times this
@@ -31,11 +37,13 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 @dataclass(frozen=True)
 class Settings:
-    """``least``: occurrences that a context needs; ``gain``: nats that it must save; ``pull``: weight of the suffix's distribution."""
+    """``depth``: words of the longest contexts; ``least``: occurrences that a context needs; ``gain``: nats that it must save;
+    ``pull``: weight of the suffix's distribution by depth, the last one for all deeper contexts."""
 
+    depth: int = 5
     least: int = 4
     gain: float = 3.0
-    pull: tuple[float, float] = (1000.0, 5.0)
+    pull: tuple[float, ...] = (1000.0, 5.0)
     parts: int = 5
     held: int = 1
 
@@ -72,40 +80,115 @@ def unpack_tokens(body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ranked[order], place[rank]
 
 
-class Block:
-    """Tokens of a block: the kind of each, and keys of pairs with the place of each position's."""
+@dataclass
+class Grams:
+    """Sorted keys of n-grams, the key of the n-gram that ends at each position (-1: none asked for), counts in training texts.
+
+    ``counts`` has a 0 more at its end, which is what -1 picks.
+    """
+
+    keys: np.ndarray
+    place: np.ndarray
+    counts: np.ndarray | None = None
+
+    def at(self, positions: np.ndarray) -> np.ndarray:
+        return self.counts[self.place[positions]]
+
+
+class Walk:
+    """The texts of a block, read with the states of one depth after the other.
+
+    ``context`` holds the n-grams of the present depth, ``longer`` those of one word more.
+    """
 
-    def __init__(self, row: dict, settings: Settings) -> None:
+    def __init__(self, row: dict, settings: Settings, buckets: int) -> None:
+        self.settings, self.buckets, self.block = settings, buckets, row["block"]
         self.ids, self.first, body = B.unpack(row)
         self.kinds, self.token = unpack_tokens(body)
         self.held = held_out(self.ids, settings.parts, settings.held)
-        n = len(self.token)
         doc = np.repeat(np.arange(len(self.ids)), np.diff(self.first))
         self.train = ~self.held[doc]
-        depth = np.arange(n) - self.first[doc]
-        # positions with one and with two words before them
-        self.at1, self.at2 = np.flatnonzero(depth >= 1), np.flatnonzero(depth >= 2)
-        hashes = self.kinds[self.token]
-        grams = gram_hashes(hashes, 2)
-        self.pairs, place = np.unique(grams[self.at1 - 1], return_inverse=True)
-        self.pair = np.full(n, -1, np.int32)
-        self.pair[self.at1] = place
-        self.hashes = hashes
+        self.before = np.arange(len(self.token), dtype=np.int32) - self.first[doc].astype(np.int32)
+        self.hashes = self.kinds[self.token]
+        self.depth = 1
+        self.context = Grams(self.kinds, self.token)
+        self.longer = self.grams(np.flatnonzero(self.before >= 1), 2)
+
+    def grams(self, ends: np.ndarray, n: int) -> Grams:
+        """The n-grams that end at some positions."""
+        place = np.full(len(self.token), -1, np.int32)
+        found = gram_hashes(self.hashes, n)[ends - (n - 1)] if len(ends) else np.zeros(0, np.uint64)
+        keys, place[ends] = np.unique(found, return_inverse=True)
+        return Grams(keys, place)
+
+    def ask_counts(self, grams: Grams, n: int) -> pa.RecordBatch:
+        own = np.bincount(grams.place[self.train & (grams.place >= 0)], minlength=len(grams.keys))
+        return B.ask(self.block, grams.keys, self.buckets, lambda at: B.pack_numbers(own[at], np.uint32), n)
+
+    def read_counts(self, grams: Grams, n: int, got: dict[int, bytes]) -> None:
+        grams.counts = np.append(B.read_numbers(got, B.split(grams.keys, self.buckets), len(grams.keys), np.uint32, n), np.uint32(0))
+
+    def start(self, got: dict[int, bytes], n: int, v: int) -> None:
+        """Read the counts of words and pairs; ``p`` is how likely each token is in the states so far, ``base`` in no context."""
+        self.read_counts(self.context, 1, got)
+        self.read_counts(self.longer, 2, got)
+        self.known = self.context.at(np.arange(len(self.token))) > 0
+        self.base = (self.context.at(np.arange(len(self.token))) + 0.5) / (n + 0.5 * (v + 1))
+        self.p, self.deep = self.base.copy(), np.zeros(len(self.token), bool)
+
+    def odds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions whose context may be a state: with and without the occurrence itself, how likely is its word."""
+        s = self.settings
+        may = np.flatnonzero(self.before >= self.depth)
+        may = may[self.context.at(may - 1) >= s.least]
+        context, follow = self.context.at(may - 1).astype(np.float64), self.longer.at(may).astype(np.float64)
+        pull = s.pull[min(self.depth, len(s.pull)) - 1]
+        back = pull * self.p[may]
+        return may, (follow + back) / (context + pull), (np.maximum(follow - 1, 0) + back) / (context - 1 + pull)
+
+    def ask_gains(self) -> pa.RecordBatch:
+        may, _, without = self.odds()
+        place = self.context.place[may - 1]
+        gain = np.bincount(place, weights=np.where(self.train[may], np.log(without / self.p[may]), 0.0), minlength=len(self.context.keys))
+        some = self.present(place)
+        return B.ask(self.block, self.context.keys[some], self.buckets, lambda at: B.pack_numbers(gain[some[at]], np.float32), GAINS + self.depth)
 
-    def counted(self, place: np.ndarray, positions: np.ndarray, size: int) -> np.ndarray:
-        """Occurrences in training texts of each key."""
-        return np.bincount(place[self.train[positions]], minlength=size)
+    def present(self, place: np.ndarray) -> np.ndarray:
+        used = np.zeros(len(self.context.keys), bool)
+        used[place] = True
+        return np.flatnonzero(used)
+
+    def next_grams(self) -> Grams:
+        """The n-grams that the next depth needs: their context may be a state, and training texts have what follows its first word."""
+        ends = np.flatnonzero(self.before > self.depth)
+        ends = ends[self.longer.at(ends - 1) >= self.settings.least]
+        return self.grams(ends[self.longer.at(ends) > 0], self.depth + 2)
+
+    def deepen(self, got: dict[int, bytes]) -> None:
+        """Use the states of this depth, and go on to the next if there is one."""
+        may, full, _ = self.odds()
+        place = self.context.place[may - 1]
+        some = self.present(place)
+        gain = np.zeros(len(self.context.keys), np.float32)
+        gain[some] = B.read_numbers(got, B.split(self.context.keys[some], self.buckets), len(some), np.float32, GAINS + self.depth)
+        state = gain[place] >= self.settings.gain
+        self.p[may[state]] = full[state]
+        self.deep[may[state]] = True
+        if self.depth < self.settings.depth:
+            longest = self.next_grams()
+            self.read_counts(longest, self.depth + 2, got)
+            self.context, self.longer, self.depth = self.longer, longest, self.depth + 1
 
 
 def merge(stage: int, keys: list[np.ndarray], extras: list[bytes]) -> tuple[list[bytes], int, int]:
-    """Stages 0 to 2: sums of counts. Stages 3 and 4: sums of gains."""
-    kind = np.uint32 if stage < 3 else np.float32
+    """Sums of counts or of gains; for single words also how many tokens and kinds there are."""
+    kind = np.uint32 if stage < GAINS else np.float32
     values = np.concatenate([B.unpack_numbers(e, len(k), kind) for k, e in zip(keys, extras)])
     _, place = np.unique(np.concatenate(keys), return_inverse=True)
     sums = np.bincount(place, weights=values)
     cut = np.cumsum([0, *map(len, keys)])
     replies = [B.pack_numbers(sums[place[a:b]], kind) for a, b in zip(cut[:-1], cut[1:])]
-    return replies, int(sums.sum()) if stage == 0 else 0, int((sums > 0).sum()) if stage == 0 else 0
+    return replies, int(sums.sum()) if stage == 1 else 0, int((sums > 0).sum()) if stage == 1 else 0
 
 
 def score_texts(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -116,129 +199,62 @@ def score_texts(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     rows; other columns are ignored. With nothing to learn from, all words are unknown.
 
     Counts stay in hash buckets; a block of texts learns the counts of its own n-grams only, so no task
-    and no broadcast holds the model. Three-word counts are asked for only where the two words before
-    can be a state.
+    and no broadcast holds the model.
     """
     spark = docs.sparkSession
     where = shared_dir(spark, "suffix_tree")
     blocks = B.write_blocks(docs, f"{where}/blocks", BLOCK_BYTES, pack_tokens)
-    buckets = B.bucket_count(blocks)
+    buckets, number = B.counts(blocks)
     s = settings
 
-    def ask_counts(row: dict) -> Iterator[pa.RecordBatch]:
-        k = Block(row, s)
-        for stage, keys, counts in (
-            (0, k.kinds, k.counted(k.token, np.arange(len(k.token)), len(k.kinds))),
-            (1, k.pairs, k.counted(k.pair[k.at1], k.at1, len(k.pairs))),
-        ):
-            yield B.ask(row["block"], keys, buckets, lambda at, c=counts: B.pack_numbers(c[at], np.uint32), stage)
+    def ask_words(row: dict) -> Iterator[pa.RecordBatch]:
+        walk = Walk(row, s, buckets)
+        yield walk.ask_counts(walk.context, 1)
+        yield walk.ask_counts(walk.longer, 2)
 
     with B.dropping_shuffles(spark):
-        B.answers(B.on_blocks(blocks, ask_counts, B.ASK), merge).write.parquet(f"{where}/counts")
-    counts = spark.read.parquet(f"{where}/counts")
-    totals = counts.agg(F.sum("total"), F.sum("kinds")).first()
+        B.answers(B.on_blocks(blocks, ask_words, B.ASK), merge, buckets).write.parquet(f"{where}/words")
+    replies = spark.read.parquet(f"{where}/words")
+    totals = replies.agg(F.sum("total"), F.sum("kinds")).first()
     n, v = int(totals[0] or 0), int(totals[1] or 0)
 
-    def known(row: dict, got: dict[int, bytes]) -> tuple:
-        """Block, counts by kind and by pair, and the smoothed probability of each token in no context."""
-        k = Block(row, s)
-        c1 = B.read_numbers(got, B.split(k.kinds, buckets), len(k.kinds), np.uint32, 0).astype(np.float64)
-        c2 = B.read_numbers(got, B.split(k.pairs, buckets), len(k.pairs), np.uint32, 1).astype(np.float64)
-        p0 = (c1 + 0.5) / (n + 0.5 * (v + 1))
-        return k, c1, c2, p0[k.token]
-
-    def triples(k: Block, c2: np.ndarray) -> tuple:
-        """Positions whose two words before may be a state, and of those the ones whose last pair was seen."""
-        may = k.at2[c2[k.pair[k.at2 - 1]] >= s.least]
-        seen = c2[k.pair[may]] > 0
-        grams = gram_hashes(k.hashes, 3)[may[seen] - 2] if len(may) else np.zeros(0, np.uint64)
-        keys, place = np.unique(grams, return_inverse=True)
-        return may, seen, keys, place
-
-    def one_word(k: Block, c1: np.ndarray, c2: np.ndarray, p0: np.ndarray) -> tuple:
-        """Positions whose word before may be a state: with and without the occurrence itself, how likely."""
-        may = k.at1[c1[k.token[k.at1 - 1]] >= s.least]
-        context, follow, pull = c1[k.token[may - 1]], c2[k.pair[may]], s.pull[0]
-        back = pull * p0[may]
-        return may, (follow + back) / (context + pull), (np.maximum(follow - 1, 0) + back) / (context - 1 + pull)
+    def at_depth(row: dict, got: dict[int, bytes], depth: int) -> Walk:
+        """A block with the states of all contexts shorter than ``depth`` in use."""
+        walk = Walk(row, s, buckets)
+        walk.start(got, n, v)
+        for _ in range(1, depth):
+            walk.deepen(got)
+        return walk
 
-    def gains(block: int, keys: np.ndarray, place: np.ndarray, gain: np.ndarray, stage: int) -> pa.RecordBatch:
-        sums = np.bincount(place, weights=gain, minlength=len(keys))
-        used = np.zeros(len(keys), bool)
-        used[place] = True
-        some = np.flatnonzero(used)
-        return B.ask(block, keys[some], buckets, lambda at: B.pack_numbers(sums[some][at], np.float32), stage)
-
-    def ask_triples(row: dict, got: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
-        k, c1, c2, p0 = known(row, got)
-        may, _, without = one_word(k, c1, c2, p0)
-        gain = np.where(k.train[may], np.log(without / p0[may]), 0.0)
-        yield gains(row["block"], k.kinds, k.token[may - 1], gain, 3)
-        may, seen, keys, place = triples(k, c2)
-        counted = k.counted(place, may[seen], len(keys))
-        yield B.ask(row["block"], keys, buckets, lambda at: B.pack_numbers(counted[at], np.uint32), 2)
+    def round_of(depth: int):
+        def ask(row: dict, got: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+            walk = at_depth(row, got, depth)
+            yield walk.ask_gains()
+            if depth < s.depth:
+                yield walk.ask_counts(walk.next_grams(), depth + 2)
 
-    with B.dropping_shuffles(spark):
-        B.answers(B.with_answers(blocks, counts, ask_triples, B.ASK), merge).write.parquet(f"{where}/triples")
-    counts = counts.union(spark.read.parquet(f"{where}/triples"))
-
-    def with_one(k: Block, c1: np.ndarray, c2: np.ndarray, p0: np.ndarray, got: dict[int, bytes]) -> tuple:
-        """Probability of each token with one-word states, and where one was used."""
-        may, full, _ = one_word(k, c1, c2, p0)
-        used = np.zeros(len(k.kinds), bool)
-        used[k.token[may - 1]] = True
-        some = np.flatnonzero(used)
-        gain = np.zeros(len(k.kinds), np.float32)
-        gain[some] = B.read_numbers(got, B.split(k.kinds[some], buckets), len(some), np.float32, 3)
-        state = gain[k.token[may - 1]] >= s.gain
-        p1, deep = p0.copy(), np.zeros(len(p0), bool)
-        p1[may[state]] = full[state]
-        deep[may[state]] = True
-        return p1, deep
-
-    def two_words(k: Block, c2: np.ndarray, p1: np.ndarray, got: dict[int, bytes]) -> tuple:
-        may, seen, keys, place = triples(k, c2)
-        c3 = B.read_numbers(got, B.split(keys, buckets), len(keys), np.uint32, 2).astype(np.float64)
-        follow = np.zeros(len(may))
-        follow[seen] = c3[place]
-        context, pull = c2[k.pair[may - 1]], s.pull[1]
-        back = pull * p1[may]
-        return may, (follow + back) / (context + pull), (np.maximum(follow - 1, 0) + back) / (context - 1 + pull)
+        return ask
 
-    def ask_states(row: dict, got: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
-        k, c1, c2, p0 = known(row, got)
-        p1, _ = with_one(k, c1, c2, p0, got)
-        may, _, without = two_words(k, c2, p1, got)
-        gain = np.where(k.train[may], np.log(without / p1[may]), 0.0)
-        yield gains(row["block"], k.pairs, k.pair[may - 1], gain, 4)
-
-    with B.dropping_shuffles(spark):
-        B.answers(B.with_answers(blocks, counts, ask_states, B.ASK), merge).write.parquet(f"{where}/states")
-    counts = counts.union(spark.read.parquet(f"{where}/states"))
+    for depth in range(1, s.depth + 1):
+        with B.dropping_shuffles(spark):
+            B.answers(B.with_answers(blocks, replies, round_of(depth), B.ASK, number), merge, buckets).write.parquet(f"{where}/depth{depth}")
+        replies = replies.union(spark.read.parquet(f"{where}/depth{depth}"))
 
     def scored(row: dict, got: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
-        k, c1, c2, p0 = known(row, got)
-        p, deep = with_one(k, c1, c2, p0, got)
-        may, full, _ = two_words(k, c2, p, got)
-        used = np.zeros(len(k.pairs), bool)
-        used[k.pair[may - 1]] = True
-        some = np.flatnonzero(used)
-        gain = np.zeros(len(k.pairs), np.float32)
-        gain[some] = B.read_numbers(got, B.split(k.pairs[some], buckets), len(some), np.float32, 4)
-        state = gain[k.pair[may - 1]] >= s.gain
-        p[may[state]] = full[state]
-        deep[may[state]] = True
+        w = at_depth(row, got, s.depth)
+        if s.depth:
+            w.deepen(got)
 
         def by_doc(values: np.ndarray) -> np.ndarray:
-            return np.add.reduceat(values, k.first[:-1]) if len(values) else np.zeros(0, values.dtype)
+            return np.add.reduceat(values, w.first[:-1]) if len(values) else np.zeros(0, values.dtype)
 
-        size = len(k.ids)
+        size = len(w.ids)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(k.ids, mask=k.ids == NULL_ID), pa.array(k.held), pa.array(np.diff(k.first)), pa.array(by_doc((c1[k.token] > 0).astype(np.int64))),
-                pa.array(np.full(size, n)), pa.array(by_doc(np.log10(p0))), pa.array(by_doc(np.log10(p))), pa.array(by_doc(deep.astype(np.int64))),
+                pa.array(w.ids, mask=w.ids == NULL_ID), pa.array(w.held), pa.array(np.diff(w.first)), pa.array(by_doc(w.known.astype(np.int64))),
+                pa.array(np.full(size, n)), pa.array(by_doc(np.log10(w.base))), pa.array(by_doc(np.log10(w.p))), pa.array(by_doc(w.deep.astype(np.int64))),
             ],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_states"],
         )
 
-    return B.with_answers(blocks, counts, scored, SCORES)
+    return B.with_answers(blocks, replies, scored, SCORES, number)

@@ -86,39 +86,40 @@ def without_repeats(docs, n=20):
     return out
 
 
-def suffix_scores(docs, least, gain, pull):
-    """{doc_id: (held out, tokens, known, train tokens, base score, score)}."""
+def suffix_scores(docs, depth, least, gain, pull):
+    """{doc_id: (held out, tokens, known, train tokens, base score, score)}; contexts of up to ``depth`` words."""
     end = ("end",)
     tokens = {d: [*words(t, True), end] for d, t in docs}
     held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d in tokens}
     train = [t for d, t in tokens.items() if not held[d]]
-    c1 = Counter(w for t in train for w in t)
-    c2 = Counter(p for t in train for p in zip(t, t[1:]))
-    c3 = Counter(p for t in train for p in zip(t, t[1:], t[2:]))
-    n, v = sum(c1.values()), len(c1)
-    p0 = lambda w: (c1[w] + 0.5) / (n + 0.5 * (v + 1))
-    g1, g2 = Counter(), Counter()
-    for t in train:
-        for a, w in zip(t, t[1:]):
-            if c1[a] >= least:
-                g1[a] += math.log((c2[a, w] - 1 + pull[0] * p0(w)) / (c1[a] - 1 + pull[0]) / p0(w))
-
-    def p1(a, w):
-        return (c2[a, w] + pull[0] * p0(w)) / (c1[a] + pull[0]) if c1[a] >= least and g1[a] >= gain else p0(w)
-
-    for t in train:
-        for b, a, w in zip(t, t[1:], t[2:]):
-            if c2[b, a] >= least:
-                g2[b, a] += math.log((c3[b, a, w] - 1 + pull[1] * p1(a, w)) / (c2[b, a] - 1 + pull[1]) / p1(a, w))
+    c = Counter(tuple(t[i : i + n]) for t in train for n in range(1, depth + 2) for i in range(len(t) - n + 1))
+    n, v = sum(len(t) for t in train), len({w for t in train for w in t})
+    states = set()
+    base = lambda w: (c[w,] + 0.5) / (n + 0.5 * (v + 1))
+
+    def odds(context, w):
+        """By the longest suffix of the context that is a state."""
+        if not context:
+            return base(w)
+        back = odds(context[1:], w)
+        if context not in states:
+            return back
+        weight = pull[min(len(context), len(pull)) - 1]
+        return (c[*context, w] + weight * back) / (c[context] + weight)
+
+    for k in range(1, depth + 1):
+        gains, weight = Counter(), pull[min(k, len(pull)) - 1]
+        for t in train:
+            for i in range(k, len(t)):
+                context = tuple(t[i - k : i])
+                if c[context] >= least:
+                    back = odds(context[1:], t[i])
+                    gains[context] += math.log((c[*context, t[i]] - 1 + weight * back) / (c[context] - 1 + weight) / back)
+        states |= {x for x, g in gains.items() if g >= gain}
     out = {}
     for d, t in tokens.items():
-        score = math.log10(p0(t[0]))
-        for i in range(1, len(t)):
-            p = p1(t[i - 1], t[i])
-            if i > 1 and c2[t[i - 2], t[i - 1]] >= least and g2[t[i - 2], t[i - 1]] >= gain:
-                p = (c3[t[i - 2], t[i - 1], t[i]] + pull[1] * p) / (c2[t[i - 2], t[i - 1]] + pull[1])
-            score += math.log10(p)
-        out[d] = (held[d], len(t), sum(c1[w] > 0 for w in t), n, sum(math.log10(p0(w)) for w in t), score)
+        score = sum(math.log10(odds(tuple(t[max(0, i - depth) : i]), w)) for i, w in enumerate(t))
+        out[d] = (held[d], len(t), sum(c[w,] > 0 for w in t), n, sum(math.log10(base(w)) for w in t), score)
     return out
 
 

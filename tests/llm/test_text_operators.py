@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 import brute
 
-from beatwatch.llm import language, minhash, mixing, pii, queries, recompression, records, repetition, sharding, suffix_tree, tiling
+from beatwatch.llm import blocks, language, minhash, mixing, pii, queries, recompression, records, repetition, sharding, suffix_tree, tiling
 
 SF = "/root/testdata/sf0.001"
 COPY = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty more"
@@ -73,7 +73,7 @@ def close(a, b):
 
 def test_suffix_tree_scores(docs, rows):
     s = suffix_tree.Settings()
-    want = brute.suffix_scores([r[:2] for r in rows], s.least, s.gain, s.pull)
+    want = brute.suffix_scores([r[:2] for r in rows], s.depth, s.least, s.gain, s.pull)
     got = by_id(suffix_tree.score_texts(docs))
     assert got.keys() == want.keys()
     for d, (held, n, known, train, base, score) in want.items():
@@ -84,6 +84,34 @@ def test_suffix_tree_scores(docs, rows):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+def test_suffix_tree_depth(spark):
+    """Only contexts of six words tell which of two words ends a passage; each depth agrees with the plain form."""
+    rng = random.Random(5)
+    texts = []
+    for i in range(240):
+        noise = " ".join(f"w{rng.randint(0, 3000)}" for _ in range(rng.randint(0, 12)))
+        texts.append((i, f"{noise} {('this', 'that')[i % 2]} page was last changed on {('monday', 'sunday')[i % 2]} {noise}"))
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    totals = []
+    for depth in (0, 1, 4, 6):
+        s = suffix_tree.Settings(depth=depth, pull=(20.0, 5.0, 2.0))
+        want = brute.suffix_scores(texts, depth, s.least, s.gain, s.pull)
+        got = by_id(suffix_tree.score_texts(df, s))
+        assert got.keys() == want.keys()
+        assert all(math.isclose(got[d]["score"], w[5], rel_tol=1e-5) for d, w in want.items())
+        totals.append(sum(r["score"] for r in got.values() if r["held_out"]))
+    assert totals == sorted(totals) and totals[3] - totals[2] > 5
+
+
+def test_keys_go_to_the_buckets_that_hold_them():
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 500).astype(np.uint64))
+    for buckets in (1, 7, 1 << 20):
+        places = blocks.split(keys, buckets)
+        assert all(len(at) and 0 <= b < buckets for b, at in places) and len(places) <= len(keys)
+        assert np.array_equal(np.sort(np.concatenate([at for _, at in places])), np.arange(len(keys)))
+    assert blocks.split(keys[:0], 9) == []
+
+
 def test_suffix_tree_edges(edge, empty):
     got = suffix_tree.score_texts(edge).collect()
     assert len(got) == edge.count()
@@ -324,7 +352,7 @@ def test_remove_repeats(docs, rows):
 def test_remove_repeats_with_runs_and_few_words(spark, monkeypatch):
     """Few kinds of words make runs, periods and repeats of every length; small blocks and buckets cut them often."""
     monkeypatch.setattr(recompression.B, "BUCKET_BYTES", 2000)
-    monkeypatch.setattr(recompression.B.bucket_count, "__defaults__", (2000,))
+    monkeypatch.setattr(recompression.B.counts, "__defaults__", (2000,))
     monkeypatch.setattr(recompression.B.write_blocks, "__defaults__", (1500, None))
     draw = random.Random(8)
     data = []
