@@ -118,6 +118,8 @@ def counts(blocks: DataFrame, size: int = BUCKET_BYTES) -> tuple[int, int]:
 def split(keys: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
     """Buckets that hold keys, with the places of their sorted distinct keys; the bucket is taken from the scrambled low bits."""
     where = (keys * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)).astype(np.int64) % buckets
+    # short numbers are sorted by digits
+    where = where.astype(np.uint16) if buckets <= 1 << 16 else where
     order = np.argsort(where, kind="stable")
     held, cut = np.unique(where[order], return_index=True)
     return list(zip(held.tolist(), np.split(order, cut[1:])))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from beatwatch.llm import blocks as B
-from beatwatch.llm.words import find_words, gram_hashes, mix64
+from beatwatch.llm.words import distinct, find_words, gram_hashes, gram_hashes_at, mix64
 from beatwatch.session import shared_dir
 
 # questions: counts of n-grams have stage n, gains of contexts of n words stage GAINS + n
@@ -106,19 +106,22 @@ class Walk:
         self.ids, self.first, body = B.unpack(row)
         self.kinds, self.token = unpack_tokens(body)
         self.held = held_out(self.ids, settings.parts, settings.held)
-        doc = np.repeat(np.arange(len(self.ids)), np.diff(self.first))
-        self.train = ~self.held[doc]
-        self.before = np.arange(len(self.token), dtype=np.int32) - self.first[doc].astype(np.int32)
+        lens = np.diff(self.first)
+        self.train = np.repeat(~self.held, lens)
+        self.before = np.arange(len(self.token), dtype=np.int32) - np.repeat(self.first[:-1].astype(np.int32), lens)
         self.hashes = self.kinds[self.token]
-        self.depth = 1
+        self.depth, self.may = 1, None
         self.context = Grams(self.kinds, self.token)
         self.longer = self.grams(np.flatnonzero(self.before >= 1), 2)
 
     def grams(self, ends: np.ndarray, n: int) -> Grams:
         """The n-grams that end at some positions."""
         place = np.full(len(self.token), -1, np.int32)
-        found = gram_hashes(self.hashes, n)[ends - (n - 1)] if len(ends) else np.zeros(0, np.uint64)
-        keys, place[ends] = np.unique(found, return_inverse=True)
+        if 2 * len(ends) > len(self.token):
+            found = gram_hashes(self.hashes, n)[ends - (n - 1)]
+        else:
+            found = gram_hashes_at(self.hashes, ends - (n - 1), n)
+        keys, place[ends] = distinct(found)
         return Grams(keys, place)
 
     def ask_counts(self, grams: Grams, n: int) -> pa.RecordBatch:
@@ -132,24 +135,32 @@ class Walk:
         """Read the counts of words and pairs; ``p`` is how likely each token is in the states so far, ``base`` in no context."""
         self.read_counts(self.context, 1, got)
         self.read_counts(self.longer, 2, got)
-        self.known = self.context.at(np.arange(len(self.token))) > 0
-        self.base = (self.context.at(np.arange(len(self.token))) + 0.5) / (n + 0.5 * (v + 1))
+        self.known = (self.context.counts > 0)[self.token]
+        self.base = ((self.context.counts + 0.5) / (n + 0.5 * (v + 1)))[self.token]
         self.p, self.deep = self.base.copy(), np.zeros(len(self.token), bool)
 
-    def odds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions whose context may be a state: with and without the occurrence itself, how likely is its word."""
-        s = self.settings
-        may = np.flatnonzero(self.before >= self.depth)
-        may = may[self.context.at(may - 1) >= s.least]
-        context, follow = self.context.at(may - 1).astype(np.float64), self.longer.at(may).astype(np.float64)
-        pull = s.pull[min(self.depth, len(s.pull)) - 1]
-        back = pull * self.p[may]
-        return may, (follow + back) / (context + pull), (np.maximum(follow - 1, 0) + back) / (context - 1 + pull)
+    def following(self, grams: Grams, positions: np.ndarray) -> np.ndarray:
+        """Of some positions, those that follow an n-gram that may be a state."""
+        often = grams.counts >= self.settings.least
+        return positions[often[grams.place[positions - 1]]]
+
+    def contexts(self) -> np.ndarray:
+        """Positions whose context may be a state."""
+        if self.may is None:
+            self.may = self.following(self.context, np.flatnonzero(self.before >= self.depth))
+        return self.may
+
+    def odds(self, at: np.ndarray, without: int) -> np.ndarray:
+        """How likely the words at some positions are in their contexts, with ``without`` of their own occurrences left out."""
+        pull = self.settings.pull[min(self.depth, len(self.settings.pull)) - 1]
+        follow = np.maximum(self.longer.at(at).astype(np.float64) - without, 0)
+        return (follow + pull * self.p[at]) / (self.context.at(at - 1) + (pull - without))
 
     def ask_gains(self) -> pa.RecordBatch:
-        may, _, without = self.odds()
+        may = self.contexts()
         place = self.context.place[may - 1]
-        gain = np.bincount(place, weights=np.where(self.train[may], np.log(without / self.p[may]), 0.0), minlength=len(self.context.keys))
+        own = may[self.train[may]]
+        gain = np.bincount(self.context.place[own - 1], weights=np.log(self.odds(own, 1) / self.p[own]), minlength=len(self.context.keys))
         some = self.present(place)
         return B.ask(self.block, self.context.keys[some], self.buckets, lambda at: B.pack_numbers(gain[some[at]], np.float32), GAINS + self.depth)
 
@@ -160,31 +171,34 @@ class Walk:
 
     def next_grams(self) -> Grams:
         """The n-grams that the next depth needs: their context may be a state, and training texts have what follows its first word."""
-        ends = np.flatnonzero(self.before > self.depth)
-        ends = ends[self.longer.at(ends - 1) >= self.settings.least]
+        # a context of this depth is in each longer one
+        may = self.contexts()
+        ends = self.following(self.longer, may[self.before[may] > self.depth])
         return self.grams(ends[self.longer.at(ends) > 0], self.depth + 2)
 
     def deepen(self, got: dict[int, bytes]) -> None:
         """Use the states of this depth, and go on to the next if there is one."""
-        may, full, _ = self.odds()
+        may = self.contexts()
         place = self.context.place[may - 1]
         some = self.present(place)
         gain = np.zeros(len(self.context.keys), np.float32)
         gain[some] = B.read_numbers(got, B.split(self.context.keys[some], self.buckets), len(some), np.float32, GAINS + self.depth)
-        state = gain[place] >= self.settings.gain
-        self.p[may[state]] = full[state]
-        self.deep[may[state]] = True
+        state = may[(gain >= self.settings.gain)[place]]
+        self.p[state] = self.odds(state, 0)
+        self.deep[state] = True
         if self.depth < self.settings.depth:
             longest = self.next_grams()
             self.read_counts(longest, self.depth + 2, got)
             self.context, self.longer, self.depth = self.longer, longest, self.depth + 1
+            # the next contexts are among these positions
+            self.may = self.following(self.context, may[self.before[may] >= self.depth])
 
 
 def merge(stage: int, keys: list[np.ndarray], extras: list[bytes]) -> tuple[list[bytes], int, int]:
     """Sums of counts or of gains; for single words also how many tokens and kinds there are."""
     kind = np.uint32 if stage < GAINS else np.float32
     values = np.concatenate([B.unpack_numbers(e, len(k), kind) for k, e in zip(keys, extras)])
-    _, place = np.unique(np.concatenate(keys), return_inverse=True)
+    _, place = distinct(np.concatenate(keys))
     sums = np.bincount(place, weights=values)
     cut = np.cumsum([0, *map(len, keys)])
     replies = [B.pack_numbers(sums[place[a:b]], kind) for a, b in zip(cut[:-1], cut[1:])]

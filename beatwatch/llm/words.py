@@ -130,6 +130,42 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
         return mix64(total + U(n))
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes, and the place among them of each given one.
+
+    The upper bits of a hash and its position are sorted as one number, which is several times faster than sorting
+    positions; runs of different hashes with equal upper bits are put in order afterwards.
+    """
+    if not len(keys):
+        return keys, np.zeros(0, np.int32)
+    bits = U(len(keys).bit_length())
+    mixed = (keys >> bits << bits) | np.arange(len(keys), dtype=U)
+    mixed.sort()
+    order = (mixed & ((U(1) << bits) - U(1))).astype(np.int64)
+    upper, held = mixed >> bits, keys[order]
+    new = np.append(True, held[1:] != held[:-1])
+    mixed_up = new[1:] & (upper[1:] == upper[:-1])
+    if mixed_up.any():
+        for x in np.unique(upper[1:][mixed_up]):
+            a, b = np.searchsorted(upper, x), np.searchsorted(upper, x, side="right")
+            order[a:b] = order[a:b][np.argsort(held[a:b], kind="stable")]
+        held = keys[order]
+        new = np.append(True, held[1:] != held[:-1])
+    place = np.empty(len(keys), np.int32)
+    place[order] = np.cumsum(new) - 1
+    return held[new], place
+
+
+def gram_hashes_at(hashes: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """What ``gram_hashes`` has at some places, in work by their number."""
+    factors = _GRAM if n <= len(_GRAM) else odd_numbers(n, 3)
+    with np.errstate(over="ignore"):
+        total = hashes[starts] * factors[0]
+        for j in range(1, n):
+            total += hashes[starts + j] * factors[j]
+        return mix64(total + U(n))
+
+
 def gram_places(first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Where n-grams that stay within a text begin, and how many each text has."""
     counts = np.maximum(np.diff(first) - (n - 1), 0)

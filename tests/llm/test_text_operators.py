@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 import brute
 
-from beatwatch.llm import blocks, language, minhash, mixing, pii, queries, recompression, records, repetition, sharding, suffix_tree, tiling
+from beatwatch.llm import blocks, language, minhash, mixing, pii, queries, recompression, records, repetition, sharding, suffix_tree, tiling, words
 
 SF = "/root/testdata/sf0.001"
 COPY = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty more"
@@ -112,6 +112,18 @@ def test_keys_go_to_the_buckets_that_hold_them():
     assert blocks.split(keys[:0], 9) == []
 
 
+@pytest.mark.parametrize("high", [3, 1 << 12, (1 << 64) - 1])
+def test_distinct_hashes(high):
+    """Also where many different keys have the same upper bits."""
+    rng = np.random.default_rng(2)
+    for size in (0, 1, 2, 1000):
+        keys = rng.integers(0, high, size, np.uint64, endpoint=True)
+        held, place = words.distinct(keys)
+        assert np.array_equal(held, np.unique(keys)) and np.array_equal(held[place], keys)
+    starts = np.array([5, 0, 90])
+    assert np.array_equal(words.gram_hashes_at(keys, starts, 7), words.gram_hashes(keys, 7)[starts])
+
+
 def test_suffix_tree_edges(edge, empty):
     got = suffix_tree.score_texts(edge).collect()
     assert len(got) == edge.count()
