@@ -26,8 +26,21 @@ _IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _URL = re.compile(r"(?:https?|ftp)://[^\s<>\"'`{}|\\^]+|www\.[^\s<>\"'`{}|\\^]+", re.I)
-_ACCOUNT = re.compile(r"(?:[ _-]?(?:number|no|nr|id|key|code))?\.?[ \t]*[:=#][ \t]*[\"']?([A-Za-z0-9](?:[A-Za-z0-9_./+-]*[A-Za-z0-9])?)", re.I)
-_IBAN = re.compile(r"[ \t]*[:=#]?[ \t]*([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)")
+# after a cue: its ending, then a sign and a value, or blanks and a token of digits
+_ACCOUNT = re.compile(
+    r"(?:[ _-]?(?:number|no|nr|id|key|code))?\.?(?:[\"']?[ \t]*[:=#][ \t]*[\"']?([A-Za-z0-9](?:[A-Za-z0-9_./+-]*[A-Za-z0-9])?)"
+    r"|[ \t]+([0-9](?:[0-9-]*[0-9])?)(?![A-Za-z0-9]))",
+    re.I,
+)
+_IBAN = re.compile(r"[\"']?[ \t]*[:=#]?[ \t]*[\"']?([A-Z]{2})[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+# fixed values: characters of an IBAN by country
+_IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 "
+    "GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 "
+    "NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+)
+IBAN_LENGTHS = {entry[:2]: int(entry[2:]) for entry in _IBAN_LENGTHS.split()}
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 SCHEMES = ("http://", "https://", "ftp://", "www.")
 CUES = ("account", "acct", "token", "api_key", "apikey", "secret", "password", "passwd", "license", "passport", "ssn", "customer", "user_id", "userid")
 
@@ -42,20 +55,29 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def iban(text: str) -> bool:
-    flat = text.replace(" ", "")
-    return 15 <= len(flat) <= 34 and int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
+def iban(text: str, at: int) -> tuple[int, int] | None:
+    """The span of the valid IBAN that follows a cue at ``at``: as many characters as its country has, whatever stands behind."""
+    match = _IBAN.match(text, at)
+    size = IBAN_LENGTHS.get(match.group(1)) if match else None
+    if size is None:
+        return None
+    places = [k for k in range(match.start(1), match.end()) if text[k] != " "][:size]
+    end = places[-1] + 1
+    if len(places) < size or text[end : end + 1].isalnum():
+        return None
+    flat = "".join(text[k] for k in places)
+    return (places[0], end) if int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1 else None
 
 
 def _automaton() -> ahocorasick.Automaton:
-    """Anchors with their kind; a cue stands in lower, upper and title case."""
+    """Anchors with their kind, in lower case."""
     found = ahocorasick.Automaton()
     anchors = {"@": "email"}
     anchors |= {f"+{d}": "phone" for d in DIGITS}
     anchors |= {f"{d}.{e}": "ip" for d in DIGITS for e in DIGITS}
     anchors |= {f"{d}{gap}{e}": "card" for d in DIGITS for e in DIGITS for gap in ("", " ", "-")}
     for kind, cues in (("url", SCHEMES), ("account", CUES), ("iban", ("iban",))):
-        anchors |= {form: kind for cue in cues for form in (cue, cue.upper(), cue.capitalize())}
+        anchors |= dict.fromkeys(cues, kind)
     for text, kind in anchors.items():
         found.add_word(text, (kind, len(text)))
     found.make_automaton()
@@ -76,7 +98,8 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
     spans: dict[str, list[tuple[int, int]]] = {kind: [] for kind in KINDS}
     # where the search of a kind goes on
     next_at = dict.fromkeys((*KINDS, "iban"), 0)
-    for last, (kind, size) in _ANCHORS[0].iter(text):
+    # anchors are sought in a copy with A-Z lowered, of the same length; parsers read the text itself
+    for last, (kind, size) in _ANCHORS[0].iter(text.lower() if text.isascii() else text.translate(_LOWER)):
         at = last + 1 - size
         floor = next_at[kind]
         if at < floor:
@@ -121,15 +144,16 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
                 if "." in text[at:end].split("//")[-1] or "://" in text[at:end]:
                     spans[kind].append((at, end))
         elif kind == "iban":
-            match = _IBAN.match(text, last + 1)
-            if match and iban(match.group(1)):
-                next_at[kind] = match.end()
-                spans["account"].append(match.span(1))
+            span = iban(text, last + 1)
+            if span:
+                next_at[kind] = span[1]
+                spans["account"].append(span)
         else:
             match = _ACCOUNT.match(text, last + 1)
-            if match and len(match.group(1)) >= 6 and any(c in DIGITS for c in match.group(1)):
+            value = match and (match.group(1) or match.group(2))
+            if value and len(value) >= 6 and any(c in DIGITS for c in value):
                 next_at[kind] = match.end()
-                spans[kind].append(match.span(1))
+                spans[kind].append(match.span(match.lastindex))
     return [(kind, a, b) for kind in KINDS for a, b in sorted(set(spans[kind]))]
 
 
