@@ -1,6 +1,6 @@
 """Quality rules on repetition: characters inside repeated n-grams and lines of a text.
 
-Word hashes are rolled into n-gram hashes of several lengths in numpy. All words of all n-grams that
+One rolling hash of the words gives the n-gram hashes of all lengths in numpy. All words of all n-grams that
 are found twice in a text, the first included, are covered; coverage is the share of the word characters.
 """
 
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from beatwatch.llm.words import Words, chunks, find_words, gram_hashes, gram_places, mix64
+from beatwatch.llm.words import Rolled, Words, chunks, find_words, gram_places, mix64
 
 # largest share of the characters that repeated n-grams of a length may cover
 MOST_COVERED: Mapping[int, float] = {5: 0.30, 6: 0.28, 8: 0.26, 10: 0.25}
@@ -38,12 +38,12 @@ def repeated_in_text(keys: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return twice[np.minimum(np.searchsorted(twice, own), len(twice) - 1)] == own
 
 
-def covered_words(words: Words, hashes: np.ndarray, n: int) -> np.ndarray:
+def covered_words(words: Words, rolled: Rolled, n: int) -> np.ndarray:
     """Which words lie in an n-gram that the text has twice or more."""
     at, counts = gram_places(words.first, n)
-    step = np.zeros(len(hashes) + 1, np.int32)
+    step = np.zeros(len(words.starts) + 1, np.int32)
     if len(at):
-        found = at[repeated_in_text(gram_hashes(hashes, n)[at], np.repeat(np.arange(len(counts)), counts))]
+        found = at[repeated_in_text(rolled.grams(n, at), np.repeat(np.arange(len(counts)), counts))]
         np.add.at(step, found, 1)
         np.add.at(step, found + n, -1)
     return np.cumsum(step[:-1]) > 0
@@ -94,7 +94,7 @@ def repeated_lines(words: Words, chars: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def measure(data: np.ndarray, offsets: np.ndarray, most: Mapping[int, float], most_line_chars: float) -> dict[str, np.ndarray]:
     words = find_words(data, offsets)
-    hashes = words.hashes()
+    rolled = Rolled(words.hashes())
     points = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=points[1:])
     chars = points[words.ends] - points[words.starts]
@@ -103,9 +103,9 @@ def measure(data: np.ndarray, offsets: np.ndarray, most: Mapping[int, float], mo
     np.cumsum(_SYMBOL[data], out=symbols[1:])
     n_words = np.diff(words.first)
     lines, line_chars = repeated_lines(words, chars)
-    five = covered_words(words, hashes, 5)
+    five = covered_words(words, rolled, 5)
     repeat = per_doc(five, words.first)
-    covered = np.stack([per_doc(chars * (five if n == 5 else covered_words(words, hashes, n)), words.first) for n in most], axis=1)
+    covered = np.stack([per_doc(chars * (five if n == 5 else covered_words(words, rolled, n)), words.first) for n in most], axis=1)
     failed = (n_words < 10) | (100 * repeat > 20 * n_words)
     limits = np.array(list(most.values()))
     good = (covered <= limits * word_chars[:, None]).all(axis=1) & (line_chars <= most_line_chars * word_chars)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from beatwatch.llm.words import chunks, find_words, gram_hashes, gram_places
+from beatwatch.llm.words import Rolled, chunks, find_words, gram_places
 from beatwatch.session import shared_dir
 
 SEED = 5
@@ -26,7 +26,7 @@ FILTER_BITS = 24
 
 def seed_hashes(hashes: np.ndarray, n: int = SEED) -> np.ndarray:
     """Distinct hashes of the ``n``-word runs of a word array."""
-    return np.unique(gram_hashes(hashes, n))
+    return np.unique(Rolled(hashes).grams(n))
 
 
 def may_be_seed(own: np.ndarray, keep: np.ndarray) -> np.ndarray:
@@ -38,61 +38,78 @@ def may_be_seed(own: np.ndarray, keep: np.ndarray) -> np.ndarray:
     return hit
 
 
-def _runs(a: np.ndarray, b: np.ndarray, free_a: np.ndarray, free_b: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Starts in ``a`` and ``b`` of equal unmarked runs of ``n`` words, found by hash and confirmed by word."""
-    def starts(free: np.ndarray) -> np.ndarray:
-        held = np.concatenate(([0], np.cumsum(~free)))
-        return np.flatnonzero(held[n:] == held[:-n]) if len(free) >= n else np.zeros(0, np.int64)
+def _free_starts(free: np.ndarray, n: int) -> np.ndarray:
+    """Places from which ``n`` words are unmarked."""
+    if len(free) < n:
+        return np.zeros(0, np.int64)
+    held = np.concatenate(([0], np.cumsum(~free)))
+    return np.flatnonzero(held[n:] == held[:-n])
 
-    at_a, at_b = starts(free_a), starts(free_b)
-    if not len(at_a) or not len(at_b):
-        return []
-    ha, hb = gram_hashes(a, n)[at_a], gram_hashes(b, n)[at_b]
-    order = np.argsort(hb, kind="stable")
-    left, right = np.searchsorted(hb[order], ha, "left"), np.searchsorted(hb[order], ha, "right")
-    found = []
-    for i in np.flatnonzero(right > left).tolist():
-        for j in order[left[i] : right[i]].tolist():
-            x, y = int(at_a[i]), int(at_b[j])
-            if (a[x : x + n] == b[y : y + n]).all():
-                found.append((x, y))
-    return found
+
+def _mark(item: np.ndarray, text: np.ndarray, free_i: np.ndarray, free_t: np.ndarray, keys: tuple, n: int) -> list[tuple[int, int, int]]:
+    """Tiles of ``n`` words: from the left, each unmarked run of the item takes the first equal one of the text.
+
+    The text's places of a hash stand together in ascending order with one pointer. Marked places stay marked, so the
+    pointer only goes forward and no list of pairs is needed. Hashes propose, words confirm.
+    """
+    at_i, own, at_t, theirs = keys
+    order = np.argsort(theirs, kind="stable")
+    places, theirs = at_t[order], theirs[order]
+    left, right = np.searchsorted(theirs, own, "left"), np.searchsorted(theirs, own, "right")
+    pointer: dict[int, int] = {}
+    out = []
+    for k in np.flatnonzero(right > left).tolist():
+        x, begin, end = int(at_i[k]), int(left[k]), int(right[k])
+        # tiles of this round have n words as well, so one that overlaps a run covers an end of it
+        if not (free_i[x] and free_i[x + n - 1]):
+            continue
+        at = pointer.get(begin, begin)
+        while at < end and not (free_t[places[at]] and free_t[places[at] + n - 1]):
+            at += 1
+        pointer[begin] = at
+        for y in places[at:end]:
+            if free_t[y] and free_t[y + n - 1] and (item[x : x + n] == text[y : y + n]).all():
+                out.append((x, int(y), n))
+                free_i[x : x + n] = False
+                free_t[y : y + n] = False
+                break
+    return out
 
 
 def tiles(item: np.ndarray, text: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
     """Greedy tiling of two word arrays: (start in item, start in text, length), longest tiles first.
 
     The longest length with a common unmarked run is found by halving (a run of n words holds runs of all
-    shorter lengths), its runs are marked from the left, and the search goes on with what is unmarked.
+    shorter lengths), its runs are marked from the left, and the search goes on with what is unmarked. A round sorts the item's
+    hashes and looks the text's up; each round marks a length of its own, so there are at most as many as the root of twice the item's words.
     """
     free_i, free_t = np.ones(len(item), bool), np.ones(len(text), bool)
+    rolled_i, rolled_t = Rolled(item), Rolled(text)
     out: list[tuple[int, int, int]] = []
     top = min(len(item), len(text))
     while top >= least:
-        low, high, best = least, top, []
+        low, high, best = least, top, None
         while low <= high:
             n = (low + high) // 2
-            found = _runs(item, text, free_i, free_t, n)
-            if found:
-                best, low = found, n + 1
+            at_i, at_t = _free_starts(free_i, n), _free_starts(free_t, n)
+            own, theirs = rolled_i.grams(n, at_i), rolled_t.grams(n, at_t)
+            known = np.sort(own)
+            hit = known[np.minimum(np.searchsorted(known, theirs), len(known) - 1)] == theirs if len(known) else np.zeros(len(theirs), bool)
+            if hit.any():
+                best, low = (at_i, own, at_t[hit], theirs[hit]), n + 1
             else:
                 high = n - 1
-        if not best:
+        if best is None:
             break
-        n = high
-        for x, y in best:
-            if free_i[x : x + n].all() and free_t[y : y + n].all():
-                out.append((x, y, n))
-                free_i[x : x + n] = False
-                free_t[y : y + n] = False
-        top = n
+        out += _mark(item, text, free_i, free_t, best, high)
+        top = high - 1
     return out
 
 
 def _seeded(df: DataFrame, key: str, least: int, keep: np.ndarray | None) -> DataFrame:
-    """``key, text, n_words, seeds`` of each row; with a filter, rows without a seed in it have none.
+    """``key, text, n_words, seeds`` of each row; with a filter, distinct seeds, and rows without a seed in it have none.
 
-    A text shorter than a seed is its own seed.
+    Without one, a seed stands as often as the text has it, and a text shorter than a seed is its own seed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,9 +118,8 @@ def _seeded(df: DataFrame, key: str, least: int, keep: np.ndarray | None) -> Dat
             for row, end, data, offsets in chunks(column):
                 words = find_words(data, offsets)
                 hashes = words.hashes(lower=True)
-                grams = gram_hashes(hashes, least)
                 at, counts = gram_places(words.first, least)
-                own = grams[at]
+                own = Rolled(hashes).grams(least, at)
                 doc = np.repeat(np.arange(len(counts)), counts)
                 if keep is not None:
                     hit = may_be_seed(own, keep)
@@ -111,12 +127,13 @@ def _seeded(df: DataFrame, key: str, least: int, keep: np.ndarray | None) -> Dat
                 cut = np.searchsorted(doc, np.arange(len(counts) + 1))
                 seeds: list = [[]] * len(counts)
                 for d in np.flatnonzero(np.diff(cut)).tolist():
-                    seeds[d] = np.unique(own[cut[d] : cut[d + 1]]).view(np.int64)
+                    held = own[cut[d] : cut[d + 1]]
+                    seeds[d] = (held if keep is None else np.unique(held)).view(np.int64)
                 n_words = np.diff(words.first)
                 if keep is None:
                     for d in np.flatnonzero((n_words > 0) & (n_words < least)).tolist():
                         part = hashes[words.first[d] : words.first[d + 1]]
-                        seeds[d] = gram_hashes(part, len(part)).view(np.int64)
+                        seeds[d] = Rolled(part).grams(len(part)).view(np.int64)
                 texts = column.take(pa.array([row + d if len(s) else None for d, s in enumerate(seeds)], pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(key).slice(row, end - row), texts, pa.array(n_words), pa.array(seeds, pa.list_(pa.int64()))],
@@ -136,25 +153,30 @@ def _filter_of(seeds: DataFrame) -> np.ndarray:
     return bits.view(np.uint8)
 
 
-def matches(docs: DataFrame, items: DataFrame, *, least: int = SEED, coverage: float = COVERAGE) -> tuple[DataFrame, DataFrame]:
+def matches(docs: DataFrame, items: DataFrame, *, least: int = SEED, reach: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """Tiled pairs ``doc_id, item_id, tiles, tiled_words, item_words, coverage`` and ``doc_id, n_words`` of all rows.
 
     Only pairs that share a seed are tiled, so a pair without a common run of ``least`` words is absent.
-    An item shorter than ``least`` words has no run of that length and matches nothing.
+    An item shorter than ``least`` words has no run of that length and matches nothing. Pairs whose coverage cannot come to
+    ``reach`` are left out before a text is moved: tiled words lie in shared seeds, so the item's places of these seeds
+    times ``least`` bound them.
     """
     spark = docs.sparkSession
     where = shared_dir(spark, "tiling")
     _seeded(items, "item_id", least, None).write.parquet(f"{where}/items")
     # an item's null id is dropped with its text: nothing could be reported for it
     known = spark.read.parquet(f"{where}/items").filter("item_id is not null and text is not null")
-    item_seeds = known.filter(F.col("n_words") >= least).select("item_id", F.explode("seeds").alias("seed"))
+    item_seeds = known.filter(F.col("n_words") >= least).select("item_id", "n_words", F.explode("seeds").alias("seed"))
+    item_seeds = item_seeds.groupBy("item_id", "seed").agg(F.count("*").alias("places"), F.min("n_words").alias("words"))
     keep = _filter_of(item_seeds)
     _seeded(docs, "doc_id", least, keep).write.parquet(f"{where}/docs")
     seen = spark.read.parquet(f"{where}/docs")
     held = seen.filter("text is not null and doc_id is not null").select("doc_id", "text", "seeds", F.xxhash64("text").alias("body"))
     # equal texts are tiled once; the texts stay with the pairs and are not gathered by item
     bodies = held.groupBy("body", "text").agg(F.first("seeds").alias("seeds"), F.min("doc_id").alias("one"))
-    pairs = bodies.select("body", F.explode("seeds").alias("seed")).join(item_seeds, "seed").select("body", "item_id").distinct()
+    shared = bodies.select("body", F.explode("seeds").alias("seed")).join(item_seeds, "seed")
+    bound = shared.groupBy("body", "item_id").agg(F.sum("places").alias("places"), F.min("words").alias("words"))
+    pairs = bound.filter(F.col("places") * least / F.col("words") >= F.lit(float(reach))).select("body", "item_id")
     ready = pairs.join(bodies.select("body", "text", "one"), "body").join(known.select("item_id", F.col("text").alias("item")), "item_id")
     ready = ready.select("body", "item_id", "text", "item")
 
@@ -194,7 +216,7 @@ def contaminated(docs: DataFrame, items: DataFrame, *, least: int = SEED, covera
     hold nothing; an empty benchmark leaves every document clean; rows that share a doc_id are judged
     together and each returned; repeated items are reported once; other columns are ignored.
     """
-    tiled, seen = matches(docs, items, least=least, coverage=coverage)
+    tiled, seen = matches(docs, items, least=least)
     hit = tiled.groupBy("doc_id").agg(
         F.array_sort(F.collect_set(F.when(F.col("coverage") >= coverage, F.col("item_id")))).alias("item_ids"),
         F.max("coverage").alias("best_coverage"),
@@ -213,6 +235,6 @@ def without_contaminated(docs: DataFrame, items: DataFrame, *, least: int = SEED
     of ``h`` hit texts with odds of ``h`` in 2^64. Null texts stay.
     """
     body = F.xxhash64(F.col("text").cast("string"))
-    tiled, _ = matches(docs.select(body.alias("doc_id"), "text"), items, least=least, coverage=coverage)
+    tiled, _ = matches(docs.select(body.alias("doc_id"), "text"), items, least=least, reach=coverage)
     bad = tiled.filter(F.col("coverage") >= coverage).select(F.col("doc_id").alias("_body")).distinct()
     return docs.join(bad, F.col("text").isNotNull() & (body == F.col("_body")), "left_anti").select(*docs.columns)

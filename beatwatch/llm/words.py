@@ -43,6 +43,8 @@ _BYTE = odd_numbers(256, 1)
 _BYTE_LOWER = _BYTE[_LOWER]
 _PLACE = odd_numbers(1 << 12, 2)
 _GRAM = odd_numbers(64, 3)
+_BASE = int(odd_numbers(1, 4)[0])
+_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 @dataclass
@@ -130,6 +132,36 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
         return mix64(total + U(n))
 
 
+class Rolled:
+    """Rolling n-gram hashes of a word array, of any length: one polynomial hash modulo 2^64 of its beginnings.
+
+    The hash of the ``n`` words from a place on is a difference of two beginnings, moved down by the inverse power of that
+    place; a length costs one subtraction and one product, whatever ``n`` is.
+    """
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        with np.errstate(over="ignore"):
+            self.sums = np.zeros(len(hashes) + 1, np.uint64)
+            np.cumsum(hashes * _powers(_BASE, len(hashes)), out=self.sums[1:])
+            self.down = _powers(_BASE_INVERSE, len(hashes))
+
+    def grams(self, n: int, at: np.ndarray | None = None) -> np.ndarray:
+        """Hash of the ``n`` words from each place on, or from the places ``at`` on."""
+        with np.errstate(over="ignore"):
+            if at is not None:
+                return mix64((self.sums[at + n] - self.sums[at]) * self.down[at] + U(n))
+            count = len(self.down) - n + 1
+            if count <= 0:
+                return np.zeros(0, np.uint64)
+            return mix64((self.sums[n:] - self.sums[:count]) * self.down[:count] + U(n))
+
+
+def _powers(base: int, count: int) -> np.ndarray:
+    steps = np.full(count, base, np.uint64)
+    steps[:1] = 1
+    return np.cumprod(steps, out=steps)
+
+
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes, and the place among them of each given one.
 

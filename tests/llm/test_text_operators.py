@@ -122,6 +122,15 @@ def test_distinct_hashes(high):
         assert np.array_equal(held, np.unique(keys)) and np.array_equal(held[place], keys)
     starts = np.array([5, 0, 90])
     assert np.array_equal(words.gram_hashes_at(keys, starts, 7), words.gram_hashes(keys, 7)[starts])
+    rolled = words.Rolled(np.concatenate([keys, keys]))
+    for n in (1, 2, 5, 40, len(keys)):
+        grams = rolled.grams(n)
+        # equal runs at other places, and nothing else, have equal hashes
+        assert len(grams) == 2 * len(keys) - n + 1
+        assert np.array_equal(grams[: len(keys) - n + 1], grams[len(keys) :])
+        assert len(np.unique(grams)) == len({tuple(np.concatenate([keys, keys])[k : k + n].tolist()) for k in range(len(grams))})
+        assert np.array_equal(rolled.grams(n, starts), grams[starts])
+    assert not len(words.Rolled(keys[:0]).grams(1)) and not len(words.Rolled(keys[:3]).grams(4))
 
 
 def test_suffix_tree_edges(edge, empty):
@@ -319,6 +328,30 @@ def test_further_kinds():
     assert pii.redacted("a@b.co x", [("email", 0, 6)]) == "[EMAIL] x"
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ('{"password": "hunter22x"}', ["hunter22x"]),
+        ("account number 12345678", ["12345678"]),
+        ("Account No. 1234-5678, then", ["1234-5678"]),
+        ("apiKey=ab12cd34", ["ab12cd34"]),
+        ("User_ID: qwe123x", ["qwe123x"]),
+        ("é TOKEN=ab12cd34", ["ab12cd34"]),
+        ("account number 12345678x", []),
+        ("account 1234", []),
+        ("secretary 123456", []),
+        ("IBAN ES91 2100 0418 4502 0005 1332 IN EURO", ["ES91 2100 0418 4502 0005 1332"]),
+        ('"iban":"AT611904300234573201"', ["AT611904300234573201"]),
+        ("Iban NO93 8601 1117 947", ["NO93 8601 1117 947"]),
+        ("IBAN ES91 2100 0418 4502 0005 1333", []),
+        ("IBAN AT6119043002345732011", []),
+        ("IBAN ZZ61 1904 3002 3457 3201", []),
+    ],
+)
+def test_cues_in_any_spelling(text, want):
+    assert [text[a:b] for kind, a, b in pii.find_spans(text) if kind == "account"] == want
+
+
 def test_personal_data(docs, rows, edge, empty, spark):
     got = by_id(queries.op4_anchor_pii(spark, SF))
     for d, text, *_ in rows:
@@ -635,6 +668,41 @@ def test_tiling_is_greedy_and_catches_reordering():
         assert sum(n for *_, n in tiling.tiles(h(item), h(text))) == brute.tiling(item, text)
 
 
+def test_tiling_of_long_repetitive_texts():
+    h = lambda w: words.mix64(np.array(w, np.uint64))
+    # one word throughout: a single tile as long as the item
+    assert tiling.tiles(h([1] * 1000), h([1] * 100_000)) == [(0, 0, 1000)]
+    draw = random.Random(9)
+    for kinds in (1, 2, 3):
+        for _ in range(100):
+            item, text = ([draw.randrange(kinds) for _ in range(draw.randint(0, most))] for most in (50, 90))
+            assert sum(n for *_, n in tiling.tiles(h(item), h(text))) == brute.tiling(item, text)
+
+
+def test_equal_hashes_of_different_words_are_no_match(monkeypatch):
+    monkeypatch.setattr(words, "mix64", lambda x: x % np.uint64(7))
+    draw = random.Random(10)
+    for _ in range(60):
+        item, text = ([draw.randrange(4) for _ in range(draw.randint(0, most))] for most in (30, 60))
+        found = tiling.tiles(np.array(item, np.uint64), np.array(text, np.uint64))
+        assert all(item[x : x + n] == text[y : y + n] for x, y, n in found)
+        assert sum(n for *_, n in found) == brute.tiling(item, text)
+
+
+def test_pairs_that_cannot_reach_the_coverage_are_left_out(spark):
+    w = COPY.split()
+    shared = " ".join(w[:5])
+    docs = spark.createDataFrame([(1, f"{shared} other words"), (2, COPY), (3, " ".join(w[3:15]))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, COPY), (2, f"{shared} " * 3)], "item_id long, text string")
+    every, _ = tiling.matches(docs, items)
+    some, _ = tiling.matches(docs, items, reach=0.5)
+    pairs = lambda df: {(r["doc_id"], r["item_id"]): r["coverage"] for r in df.collect()}
+    assert pairs(every).keys() == {(1, 1), (1, 2), (2, 1), (2, 2), (3, 1)}
+    assert (1, 1) not in pairs(some)
+    assert {p for p, c in pairs(every).items() if c >= 0.5} <= pairs(some).keys()
+    assert {r["doc_id"] for r in tiling.without_contaminated(docs, items).collect()} == {r["doc_id"] for r in tiling.contaminated(docs, items).collect() if r["kept"]}
+
+
 def test_contamination_edges(spark, edge, empty):
     w = COPY.split()
     items = spark.createDataFrame([(1, " ".join(w[10:] + w[:10])), (2, None), (3, ""), (4, "one two"), (5, "nothing of this is found in any text"), (None, COPY)], "item_id long, text string")
