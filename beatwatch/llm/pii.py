@@ -40,7 +40,6 @@ _IBAN_LENGTHS = (
     "NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
 )
 IBAN_LENGTHS = {entry[:2]: int(entry[2:]) for entry in _IBAN_LENGTHS.split()}
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 SCHEMES = ("http://", "https://", "ftp://", "www.")
 CUES = ("account", "acct", "token", "api_key", "apikey", "secret", "password", "passwd", "license", "passport", "ssn", "customer", "user_id", "userid")
 
@@ -99,7 +98,7 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
     # where the search of a kind goes on
     next_at = dict.fromkeys((*KINDS, "iban"), 0)
     # anchors are sought in a copy with A-Z lowered, of the same length; parsers read the text itself
-    for last, (kind, size) in _ANCHORS[0].iter(text.lower() if text.isascii() else text.translate(_LOWER)):
+    for last, (kind, size) in _ANCHORS[0].iter(text.encode().lower().decode()):
         at = last + 1 - size
         floor = next_at[kind]
         if at < floor:
