@@ -12,6 +12,9 @@ from beatwatch.schemas import RAW_COLUMNS, UNIFIED_COLUMNS, raw_schema
 from beatwatch.sinks.topics import alert_messages, raw_messages
 from beatwatch.sources import csv_files, topics
 
+# rows that ``written_twice`` deals over its number of files
+WRITTEN_ROWS = 1 << 22
+
 # CSV datasets --------------------------------------------------------------------------------
 
 AWKWARD_BLOCK = """block || ', "side" ' || chr(10) || 'lot'"""
@@ -269,10 +272,20 @@ def _(t: Tables) -> DataFrame:
     )
 
 
+def written_twice(t: Tables, rows: DataFrame, files: int) -> DataFrame:
+    """A table in which every row stands twice, read from at least ``files`` files; no row is shuffled to be written.
+
+    What can be told from a row, such as its id, is left to the reader: it takes less to compute than to store.
+    """
+    path = t.work_dir("rows")
+    most = max(1, min(2 * rows.count(), WRITTEN_ROWS) // files)
+    doubled = rows.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_copy")).drop("_copy")
+    doubled.write.option("maxRecordsPerFile", most).option("compression", "zstd").parquet(path)
+    return t.spark.read.parquet(path)
+
+
 def _doubled_arrests(t: Tables, files: int) -> DataFrame:
-    path = t.work_dir("events")
-    normalise.arrest_events(t.arrests.unionAll(t.arrests)).repartition(files).write.parquet(path)
-    return numbering.unique_ids(t.spark.read.parquet(path))
+    return numbering.unique_ids(normalise.arrest_events(written_twice(t, t.arrests, files)))
 
 
 @register("nrm8b", "SELECT 2 * count(*) AS n, 2 * count(*) AS ids, 2 * count(*) AS same_again FROM arrests", "arrests")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from datetime import datetime
 
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from beatwatch.operators import numbering
 from beatwatch.plans import ingest_job
+from beatwatch.plans.ingest_queries import written_twice
+from beatwatch.plans.registry import Tables
 from beatwatch.schemas import RAW_COLUMNS
 from beatwatch.sinks.tables import compact_versions, read_batches, read_versions
 from beatwatch.sinks.topics import TopicTarget
@@ -40,6 +43,51 @@ def test_ids_depend_on_the_rows_alone(spark, tmp_path):
     assert {("a", 1), ("b", 2), ("c", 3)} < found[0].keys()
 
 
+def shuffles(df):
+    """Shuffles by key in the plan of a frame."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_rows_are_shuffled_once_to_be_numbered(spark, tmp_path):
+    ids = [f"{i % 500:064x}" for i in range(1000)] + ["K1", "0A", "0a", "", "0a", "K1", None, None]
+    path = str(tmp_path / "ids")
+    spark.createDataFrame([(k, i) for i, k in enumerate(ids)], "event_id string, v int").repartition(3).write.parquet(path)
+    got = numbering.unique_ids(spark.read.parquet(path))
+    assert got.columns == ["event_id", "v"] and shuffles(got) == 1
+    rows = got.collect()
+    assert sorted(r["v"] for r in rows) == list(range(len(ids)))
+    by: dict = {}
+    for r in rows:
+        by.setdefault(ids[r["v"]], []).append(r["event_id"])
+    for key, own in by.items():
+        text = "" if key is None else key + "\x1f"
+        assert sorted(map(str, own)) == sorted(str(key) if k == 0 else hashlib.sha256(f"{text}{k}".encode()).hexdigest() for k in range(len(own)))
+
+
+def test_hot_keys_are_numbered_beside_others(spark, tmp_path):
+    """Several hot keys, one null, that share large buckets with keys of few rows; copies lie in all files."""
+    keys = ([None] * 90 + ["a"] * 130 + ["b"] * 61 + [f"k{i}" for i in range(80)]) * 2
+    path = str(tmp_path / "keys")
+    spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "key string, v int").repartition(4).write.parquet(path)
+    for chunk_rows in (5, 60, 1 << 16):
+        rows = numbering.number_repeats(spark.read.parquet(path), "key", chunk_rows).collect()
+        assert sorted(r["v"] for r in rows) == list(range(len(keys)))
+        assert Counter((r["key"], r["ordinal"]) for r in rows) == Counter((k, i) for k, n in Counter(keys).items() for i in range(n))
+
+
+def test_rows_written_twice_stay_where_they_are(spark, tmp_path):
+    tables = Tables(spark, str(tmp_path))
+    rows = spark.range(1000).selectExpr("id", "cast(id % 7 as string) AS v")
+    dealt = []
+    for files in (3, 5):
+        twice = written_twice(tables, rows.coalesce(1), files)
+        assert sorted(r["id"] for r in twice.collect()) == sorted([*range(1000)] * 2)
+        found = twice.inputFiles()
+        assert len(found) >= files and all(f.endswith(".zstd.parquet") for f in found)
+        dealt.append(Counter(r["n"] for r in twice.groupBy("_metadata.file_path").agg(F.count("*").alias("n")).collect()))
+    assert dealt[0] != dealt[1]
+
+
 def test_two_runs_of_the_producer_send_the_same_keys(spark, tmp_path):
     for dataset, name in {"crimes": "Crimes", "arrests": "Arrests", "violence": "Violence", "sex-offenders": "Sex Offenders"}.items():
         names = list(RAW_COLUMNS[dataset])
