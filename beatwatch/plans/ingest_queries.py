@@ -290,11 +290,19 @@ def _doubled_arrests(t: Tables, files: int) -> DataFrame:
 
 @register("nrm8b", "SELECT 2 * count(*) AS n, 2 * count(*) AS ids, 2 * count(*) AS same_again FROM arrests", "arrests")
 def _(t: Tables) -> DataFrame:
-    """Unique ids of a table in which every row stands twice, and how many of them a second run in other files repeats."""
-    runs = [_doubled_arrests(t, files) for files in (3, 5)]
-    first = runs[0].agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
-    again = runs[1].join(runs[0].select("event_id"), "event_id", "left_semi").agg(F.count("*").alias("same_again"))
-    return first.select("n", "ids", again.scalar().alias("same_again"))
+    """Unique ids of a table in which every row stands twice, and how many of them a second run in other files repeats.
+
+    The ids of both runs meet once, as bytes; text that is no hex is no id and counts for nothing.
+    """
+    runs = [_doubled_arrests(t, files).select(F.unhex("event_id").alias("id"), F.lit(run).alias("run")) for run, files in enumerate((3, 5))]
+    in_run = [F.count_if(F.col("run") == run).alias(f"in_{run}") for run in (0, 1)]
+    met = runs[0].unionAll(runs[1]).groupBy("id").agg(*in_run)
+    known = F.col("id").isNotNull() & (F.col("in_0") > 0)
+    return met.agg(
+        F.sum("in_0").alias("n"),
+        F.count_if(known).alias("ids"),
+        F.coalesce(F.sum(F.when(known, F.col("in_1"))), F.lit(0)).alias("same_again"),
+    )
 
 
 @register(

@@ -9,7 +9,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from beatwatch.operators import numbering
-from beatwatch.plans import ingest_job
+from beatwatch.plans import all_entries, ingest_job
 from beatwatch.plans.ingest_queries import written_twice
 from beatwatch.plans.registry import Tables
 from beatwatch.schemas import RAW_COLUMNS
@@ -88,6 +88,11 @@ def test_rows_written_twice_stay_where_they_are(spark, tmp_path):
     assert dealt[0] != dealt[1]
 
 
+def test_ids_of_two_runs_meet_in_one_shuffle(spark):
+    got = all_entries()["nrm8b"](spark, "/root/testdata/sf0.001")
+    assert shuffles(got) == 3  # each run is numbered in one
+
+
 def test_two_runs_of_the_producer_send_the_same_keys(spark, tmp_path):
     for dataset, name in {"crimes": "Crimes", "arrests": "Arrests", "violence": "Violence", "sex-offenders": "Sex Offenders"}.items():
         names = list(RAW_COLUMNS[dataset])
