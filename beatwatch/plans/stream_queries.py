@@ -15,7 +15,7 @@ from beatwatch.operators.normalise import crime_events, offender_events
 from beatwatch.operators.numbering import unique_ids
 from beatwatch.operators.summaries import critical_in_buffer, dataset_summary, topic_counters
 from beatwatch.plans.batch_queries import TRENDS
-from beatwatch.plans.ingest_queries import EVENTS_SQL, GOLD_EVENT, wire
+from beatwatch.plans.ingest_queries import EVENTS_SQL, GOLD_EVENT, wire, written_twice
 from beatwatch.plans.registry import Tables, register
 from beatwatch.plans.serving_queries import ANOMALIES, AS_OF, CENTS, CITY_VOLUME, MEASURES, STATS, STATS_SHOWN, VOLUME, grid, in_cents, rounded, slid
 from beatwatch.plans.shapes import shape
@@ -511,13 +511,11 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """Keys of two runs of a producer over the same rows, each of them there twice: every message of the second has a key of the first."""
     root = t.work_dir("published")
-    content = crime_content(t.gold)
     for run, files in enumerate((3, 5)):
-        path = t.work_dir("events")
-        content.unionAll(content).repartition(files).write.parquet(path)
-        TopicTarget(folder=root).write(raw_messages(unique_ids(t.spark.read.parquet(path))), "raw", run)
+        events = crime_content(written_twice(t, t.gold.select(*UNIFIED_COLUMNS), files))
+        TopicTarget(folder=root).write(raw_messages(unique_ids(events)), "raw", run)
     both = read_batches(t.spark, f"{root}/raw")
-    return both.groupBy("topic").agg(F.count_if(F.col("batch_id") == 1).alias("sent"), F.countDistinct("key").alias("keys"))
+    return both.groupBy("topic").agg(F.count_if(F.col("batch_id") == 1).alias("sent"), F.countDistinct(F.unhex("key")).alias("keys"))
 
 
 @register("snk7", COUNTERS, "gold")

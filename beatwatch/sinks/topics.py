@@ -27,7 +27,7 @@ class TopicTarget:
             messages.write.format("kafka").option("kafka.bootstrap.servers", self.brokers).save()
         elif self.folder:
             path = f"{self.folder.rstrip('/')}/{label}/batch_id={batch_id}"
-            messages.write.mode("overwrite").partitionBy("topic").parquet(path)
+            messages.write.mode("overwrite").option("compression", "zstd").partitionBy("topic").parquet(path)
         else:
             raise ValueError("give brokers or a folder")
 

@@ -93,6 +93,16 @@ def test_ids_of_two_runs_meet_in_one_shuffle(spark):
     assert shuffles(got) == 3  # each run is numbered in one
 
 
+def test_messages_in_files_are_packed(spark, tmp_path):
+    rows = spark.range(20000).select(F.lit("t").alias("topic"), F.sha2(F.col("id").cast("string"), 256).alias("key"), F.lit("v").alias("value"))
+    target = TopicTarget(folder=str(tmp_path))
+    target.write(rows.coalesce(1), "raw", 0)
+    target.write(rows.coalesce(1), "raw", 0)  # a repeated batch replaces itself
+    assert read_batches(spark, f"{tmp_path}/raw").select("key").distinct().count() == 20000
+    # 64 hex digits hold 32 bytes
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 20000 * 50
+
+
 def test_two_runs_of_the_producer_send_the_same_keys(spark, tmp_path):
     for dataset, name in {"crimes": "Crimes", "arrests": "Arrests", "violence": "Violence", "sex-offenders": "Sex Offenders"}.items():
         names = list(RAW_COLUMNS[dataset])
